@@ -3,8 +3,8 @@
 The built-in exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer. Here a mergeable sketch narrows the range that holds the
 wanted rank, twice, and only the values left inside are counted and ranked:
-about a millionth of the rows. The final rank check uses exact counts, so the
-result never depends on the sketch being right.
+about 1 / 125000 of a large group. The final rank check uses exact counts, so
+a result never depends on the sketch being right.
 """
 
 from __future__ import annotations
@@ -14,30 +14,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GRID = 1000            # quantile points per narrowing step
-ACCURACY = 10_000      # sketch rank error is 1 / ACCURACY, a tenth of a grid step
+ACCURACY = 10_000      # sketch rank error is 1 / ACCURACY of the rows
+GRID = 200             # quantile points of the second narrowing
+SLACK = 4              # below SLACK ranks per step a range is kept whole
 MAX_GROUPS = 10_000    # bound on the one-row lookup
 
 
 def exact_percentile(df: DataFrame, dims: Sequence[str], value: str, p: float = 0.5,
-                     name: str = "percentile", interpolate: bool = True,
-                     narrowings: int = 2) -> DataFrame:
+                     name: str = "percentile", interpolate: bool = True) -> DataFrame:
     """Exact ``p``-quantile of ``value`` per combination of ``dims``.
 
     ``interpolate=True`` is the continuous quantile, ``False`` the smallest
     value whose rank reaches ``p``. ``dims`` are report dimensions: at most
     ``MAX_GROUPS`` combinations. A group without values has no row.
     """
-    if df.isStreaming:
-        raise ValueError("exact quantiles need a bounded input")
     group = F.struct(*[F.col(d) for d in dims]) if dims else F.struct(F.lit(0).alias("all"))
     data = (df.select(group.alias("g"), F.col(value).cast("double").alias("v"))
               .where(F.col("v").isNotNull()))
 
-    bracket = None
-    for _ in range(narrowings):
-        bracket = _narrow(data, bracket, p, interpolate)
-    ranked = _rank_inside(data, bracket)
+    ranked = _rank_inside(data, _narrow(data, _first_bracket(data, p, interpolate)))
 
     inside = F.col("v").isNotNull()
     picked = (ranked
@@ -56,43 +51,50 @@ def _lookup(per_group: DataFrame, cols: Sequence[str]) -> Column:
     """Per-group values as a one-row map subquery, evaluated once per query."""
     entries = F.collect_list(F.struct("g", F.struct(*cols)))
     bounded = F.when(F.size(entries) > MAX_GROUPS,
-                     F.raise_error(F.lit(f"more than {MAX_GROUPS} groups")).cast("int"))
-    return (per_group.agg(F.map_from_entries(entries).alias("m"), bounded.alias("guard"))
-            .select(F.when(F.col("guard").isNull(), F.col("m")).alias("m")).scalar())
+                     F.raise_error(F.lit(f"more than {MAX_GROUPS} groups")))
+    return per_group.agg(F.coalesce(bounded, F.map_from_entries(entries))).scalar()
 
 
 def _with_bracket(data: DataFrame, bracket: DataFrame) -> DataFrame:
-    return (data.withColumn("m", _lookup(bracket, ["lo", "hi", "k_lo", "k_hi", "frac"]))
-                .withColumn("b", F.try_element_at("m", "g")).drop("m"))
-
-
-def _narrow(data: DataFrame, bracket: DataFrame | None, p: float, interpolate: bool) -> DataFrame:
-    grid = [i / GRID for i in range(GRID + 1)]
-    if bracket is None:
-        n = F.col("n")
-        rank = F.lit(p) * (n - 1) if interpolate else F.greatest(F.ceil(F.lit(p) * n) - 1, F.lit(0))
-        stats = (data.groupBy("g")
-                 .agg(F.count("v").alias("n"),
-                      F.percentile_approx("v", grid, ACCURACY).alias("q"))
-                 .select("g", "q", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"),
-                         F.floor(rank).alias("k_lo"), F.ceil(rank).alias("k_hi"),
-                         (rank - F.floor(rank)).cast("double").alias("frac")))
-    else:
-        within = F.col("v").between(F.col("b.lo"), F.col("b.hi"))
-        stats = (_with_bracket(data, bracket).groupBy("g", "b")
-                 .agg(F.count_if(F.col("v") < F.col("b.lo")).alias("below"),
-                      F.count_if(within).alias("inside"),
-                      F.percentile_approx(F.when(within, F.col("v")), grid, ACCURACY).alias("q"))
-                 .select("g", "q", "below", "inside", "b.k_lo", "b.k_hi", "b.frac"))
+    found = F.try_element_at(_lookup(bracket, ["lo", "hi", "k_lo", "k_hi", "frac"]), F.col("g"))
+    return data.withColumn("b", found)
+
+
+def _first_bracket(data: DataFrame, p: float, interpolate: bool) -> DataFrame:
+    """Wanted ranks per group, and the sketch's values just below and above them."""
+    n = F.col("n")
+    rank = F.lit(p) * (n - 1) if interpolate else F.greatest(F.ceil(F.lit(p) * n) - 1, F.lit(0))
+    around = [max(p - 2 / ACCURACY, 0.0), min(p + 2 / ACCURACY, 1.0)]
+    stats = data.groupBy("g").agg(
+        F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"),
+        F.percentile_approx("v", around, ACCURACY).alias("q"))
+    small = n < SLACK * ACCURACY
+    return stats.select(
+        "g", F.when(small, F.col("low")).otherwise(F.col("q")[0]).alias("lo"),
+        F.when(small, F.col("high")).otherwise(F.col("q")[1]).alias("hi"),
+        F.floor(rank).alias("k_lo"), F.ceil(rank).alias("k_hi"),
+        (rank - F.floor(rank)).cast("double").alias("frac"))
+
+
+def _narrow(data: DataFrame, bracket: DataFrame) -> DataFrame:
+    """A bracket inside the given one, from a grid of quantiles of its values."""
+    within = F.col("v").between(F.col("b.lo"), F.col("b.hi"))
+    grid = F.expr(f"array({', '.join(f'{i / GRID}D' for i in range(GRID + 1))})")
+    stats = _with_bracket(data, bracket).groupBy("g", "b").agg(
+        F.count_if(F.col("v") < F.col("b.lo")).alias("below"), F.count_if(within).alias("inside"),
+        F.percentile_approx(F.when(within, F.col("v")), grid, ACCURACY).alias("q"))
 
     def step(k: str) -> Column:
         return (F.col(k) - F.col("below")) * GRID / F.col("inside")
 
     # One grid step of slack on either side covers the sketch's rank error.
-    first = F.greatest(F.floor(step("k_lo")) - 1, F.lit(0)).cast("int")
-    last = F.least(F.ceil(step("k_hi")) + 2, F.lit(GRID)).cast("int")
-    return stats.select("g", F.col("q")[first].alias("lo"), F.col("q")[last].alias("hi"),
-                        "k_lo", "k_hi", "frac")
+    first = F.greatest(F.floor(step("b.k_lo")) - 1, F.lit(0)).cast("int")
+    last = F.least(F.ceil(step("b.k_hi")) + 1, F.lit(GRID)).cast("int")
+    small = F.col("inside") < SLACK * GRID
+    return stats.select(
+        "g", F.when(small, F.col("b.lo")).otherwise(F.col("q")[first]).alias("lo"),
+        F.when(small, F.col("b.hi")).otherwise(F.col("q")[last]).alias("hi"),
+        "b.k_lo", "b.k_hi", "b.frac")
 
 
 def _rank_inside(data: DataFrame, bracket: DataFrame) -> DataFrame:

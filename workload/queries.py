@@ -61,9 +61,16 @@ def previous_full_outer(spark, sf):
     return rounded(p.previous_features(*_previous_inputs(spark, sf), form="join"), 6)
 
 
+def _train(spark, sf):
+    return a.application_features(roles.application_train(spark, sf), True, "median")
+
+
+def _test(spark, sf):
+    return a.application_features(roles.application_test(spark, sf), False, "median")
+
+
 def _splits(spark, sf):
-    return (a.application_features(roles.application_train(spark, sf), True, "median"),
-            a.application_features(roles.application_test(spark, sf), False, "median"))
+    return _train(spark, sf), _test(spark, sf)
 
 
 def gold(spark, sf):
@@ -315,8 +322,8 @@ QUERIES: dict[str, Query] = {
         p.card_risk(roles.credit_card_balance(s, d), "intended"), 6),
     "previous_full_outer": previous_full_outer,
     "previous_union_merge": previous_union_merge,
-    "application_features": lambda s, d: rounded(_splits(s, d)[0]),
-    "application_features_test": lambda s, d: rounded(_splits(s, d)[1]),
+    "application_features": lambda s, d: rounded(_train(s, d)),
+    "application_features_test": lambda s, d: rounded(_test(s, d)),
     "application_features_approx": lambda s, d: rounded(
         a.application_features(roles.application_train(s, d))),
     "gold": gold,

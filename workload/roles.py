@@ -3,6 +3,7 @@
 customer stands for applications, orders for bureau records and earlier
 applications, lineitem for monthly balances and instalments, events for POS
 and card snapshots. ``workload.oracle`` states the same mapping in SQL.
+Amounts carry a factor of pi, so no average of them sits on a rounding edge.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").selectExpr(
         "*", "CAST(ROUND(ABS(c_acctbal) * 100) AS BIGINT) AS cents",
-        "CAST(c_nationkey AS INT) AS nk", "45000 + 60 * ABS(c_acctbal) AS credit")
+        "CAST(c_nationkey AS INT) AS nk", "45000 + 20 * PI() * ABS(c_acctbal) AS credit")
     return c.selectExpr(
         "c_custkey AS SK_ID_CURR",
         "CAST(IF(c_acctbal < 0, 1, 0) AS INT) AS TARGET",
@@ -36,7 +37,7 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         "IF(cents % 2 = 0, 'Y', 'N') AS FLAG_OWN_REALTY",
         "nk % 4 AS CNT_CHILDREN",
         "CAST(NULLIF(nk % 6, 5) AS DOUBLE) AS CNT_FAM_MEMBERS",
-        "IF(c_mktsegment = 'BUILDING' AND nk = 0, 0D, 20000 + 15 * ABS(c_acctbal)) AS AMT_INCOME_TOTAL",
+        "IF(c_mktsegment = 'BUILDING' AND nk = 0, 0D, 20000 + 5 * PI() * ABS(c_acctbal)) AS AMT_INCOME_TOTAL",
         "credit AS AMT_CREDIT",
         "IF(nk = 11, NULL, credit / (12 + nk)) AS AMT_ANNUITY",
         "CASE c_mktsegment WHEN 'HOUSEHOLD' THEN credit WHEN 'MACHINERY' THEN credit * 1.25D"
@@ -64,7 +65,7 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         " WHEN 3 THEN 'THURSDAY' WHEN 4 THEN 'FRIDAY' WHEN 5 THEN 'SATURDAY' ELSE 'SUNDAY' END"
         " AS WEEKDAY_APPR_PROCESS_START",
         "CAST(cents % 24 AS INT) AS HOUR_APPR_PROCESS_START",
-        "IF(nk < 8, NULL, ABS(c_acctbal) / 10000) AS EXT_SOURCE_1",
+        "IF(nk < 8, NULL, PI() * ABS(c_acctbal) / 40000) AS EXT_SOURCE_1",
         "nk / 25D AS EXT_SOURCE_2",
         "IF(c_mktsegment = 'BUILDING', NULL, cents % 1000 / 1000D) AS EXT_SOURCE_3",
         "1 AS FLAG_MOBIL",
@@ -97,7 +98,7 @@ def view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "*", f"DATEDIFF(CAST(o_orderdate AS DATE), {REFERENCE_DAY}) AS days",
-        "DAY(o_orderdate) AS dom")
+        "DAY(o_orderdate) AS dom", "o_totalprice * PI() AS amount")
 
 
 def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,15 +111,15 @@ def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
         "IF(o_orderstatus = 'O' AND o_orderpriority = '1-URGENT', dom, 0) AS CREDIT_DAY_OVERDUE",
         "CAST(days + 365 AS DOUBLE) AS DAYS_CREDIT_ENDDATE",
         "CAST(IF(o_orderstatus = 'F', days + 300, NULL) AS DOUBLE) AS DAYS_ENDDATE_FACT",
-        "CASE o_orderpriority WHEN '1-URGENT' THEN o_totalprice * 0.01D WHEN '2-HIGH' THEN 0D END"
+        "CASE o_orderpriority WHEN '1-URGENT' THEN amount * 0.01D WHEN '2-HIGH' THEN 0D END"
         " AS AMT_CREDIT_MAX_OVERDUE",
         "MONTH(o_orderdate) % 3 AS CNT_CREDIT_PROLONG",
-        "IF(dom = 31, NULL, o_totalprice) AS AMT_CREDIT_SUM",
-        "CASE WHEN dom = 30 THEN NULL WHEN o_orderstatus = 'O' THEN o_totalprice * 0.9D"
-        " WHEN o_orderstatus = 'P' THEN o_totalprice * 0.5D ELSE 0D END AS AMT_CREDIT_SUM_DEBT",
+        "IF(dom = 31, NULL, amount) AS AMT_CREDIT_SUM",
+        "CASE WHEN dom = 30 THEN NULL WHEN o_orderstatus = 'O' THEN amount * 0.9D"
+        " WHEN o_orderstatus = 'P' THEN amount * 0.5D ELSE 0D END AS AMT_CREDIT_SUM_DEBT",
         "CASE o_orderpriority WHEN '5-LOW' THEN NULL WHEN '4-NOT SPECIFIED' THEN 0D"
-        " ELSE o_totalprice * dom / 16D END AS AMT_CREDIT_SUM_LIMIT",
-        "IF(o_orderpriority = '1-URGENT', o_totalprice * 0.05D, 0D) AS AMT_CREDIT_SUM_OVERDUE",
+        " ELSE amount * dom / 16D END AS AMT_CREDIT_SUM_LIMIT",
+        "IF(o_orderpriority = '1-URGENT', amount * 0.05D, 0D) AS AMT_CREDIT_SUM_OVERDUE",
         "CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice < 100000 THEN 'Microloan'"
         " WHEN o_orderpriority = '2-HIGH' THEN 'Credit card'"
         " WHEN o_orderpriority = '3-MEDIUM' AND o_totalprice > 400000 THEN 'Mortgage'"
@@ -126,7 +127,7 @@ def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
         " WHEN o_orderpriority = '5-LOW' AND dom = 1 THEN NULL ELSE 'Consumer credit' END"
         " AS CREDIT_TYPE",
         "days + 115 AS DAYS_CREDIT_UPDATE",
-        "IF(o_orderstatus = 'F', NULL, o_totalprice / 12) AS AMT_ANNUITY",
+        "IF(o_orderstatus = 'F', NULL, amount / 12) AS AMT_ANNUITY",
     )
 
 
@@ -147,10 +148,10 @@ def previous_application(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Cash loans'"
         " WHEN o_orderpriority = '3-MEDIUM' THEN 'Revolving loans' ELSE 'Consumer loans' END"
         " AS NAME_CONTRACT_TYPE",
-        "o_totalprice / 24 AS AMT_ANNUITY",
-        "o_totalprice AS AMT_CREDIT",
-        "IF(o_orderstatus = 'O', NULL, o_totalprice * 0.1D) AS AMT_DOWN_PAYMENT",
-        "IF(o_orderstatus = 'F', dom / 100D, NULL) AS RATE_INTEREST_PRIMARY",
+        "amount / 24 AS AMT_ANNUITY",
+        "amount AS AMT_CREDIT",
+        "IF(o_orderstatus = 'O', NULL, amount * 0.1D) AS AMT_DOWN_PAYMENT",
+        "IF(o_orderstatus = 'F', PI() * dom / 300D, NULL) AS RATE_INTEREST_PRIMARY",
         "CASE o_orderstatus WHEN 'F' THEN 'Approved' WHEN 'O' THEN 'Refused' ELSE 'Canceled' END"
         " AS NAME_CONTRACT_STATUS",
         "days + 115 AS DAYS_DECISION",
@@ -172,10 +173,10 @@ def installments_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber AS NUM_INSTALMENT_NUMBER",
         "CAST(days AS DOUBLE) AS DAYS_INSTALMENT",
         "CAST(IF(l_tax = 0, NULL, days + DAY(l_shipdate) - 8) AS DOUBLE) AS DAYS_ENTRY_PAYMENT",
-        "IF(l_discount = 0, 0D, l_extendedprice) AS AMT_INSTALMENT",
+        "IF(l_discount = 0, 0D, l_extendedprice * PI()) AS AMT_INSTALMENT",
         "CASE WHEN l_quantity = 1 THEN NULL"
-        " WHEN l_returnflag = 'R' AND l_discount > 0.065D THEN l_extendedprice * 0.5D"
-        " ELSE l_extendedprice END AS AMT_PAYMENT",
+        " WHEN l_returnflag = 'R' AND l_discount > 0.065D THEN l_extendedprice * PI() * 0.5D"
+        " ELSE l_extendedprice * PI() END AS AMT_PAYMENT",
     )
 
 
@@ -196,14 +197,14 @@ def credit_card_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "user_id * 100 + DAY(ts) AS SK_ID_PREV", "user_id AS SK_ID_CURR",
         "-DAY(ts) AS MONTHS_BALANCE",
-        "value * 10 AS AMT_BALANCE",
+        "PI() * value * 10 AS AMT_BALANCE",
         "CAST(CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN NULL"
         " ELSE 100 * (HOUR(ts) + 1) END AS INT) AS AMT_CREDIT_LIMIT_ACTUAL",
-        "IF(event_type = 'click', value * 2, NULL) AS AMT_DRAWINGS_ATM_CURRENT",
-        "CASE event_type WHEN 'purchase' THEN value * 20 WHEN 'view' THEN 0D WHEN 'click' THEN NULL"
-        " ELSE value END AS AMT_DRAWINGS_CURRENT",
-        "value * HOUR(ts) / 6D AS AMT_PAYMENT_CURRENT",
-        "value * 1.5D AS AMT_PAYMENT_TOTAL_CURRENT",
+        "IF(event_type = 'click', PI() * value * 2, NULL) AS AMT_DRAWINGS_ATM_CURRENT",
+        "CASE event_type WHEN 'purchase' THEN PI() * value * 20 WHEN 'view' THEN 0D WHEN 'click' THEN NULL"
+        " ELSE PI() * value END AS AMT_DRAWINGS_CURRENT",
+        "PI() * value * HOUR(ts) / 6D AS AMT_PAYMENT_CURRENT",
+        "PI() * value * 1.5D AS AMT_PAYMENT_TOTAL_CURRENT",
         "'Active' AS NAME_CONTRACT_STATUS",
         "DAY(ts) % 5 AS SK_DPD", "0 AS SK_DPD_DEF",
     )
