@@ -43,16 +43,19 @@ def integrate(base: DataFrame, features: list[DataFrame]) -> DataFrame:
 
 def integrated_features(raw: Mapping[str, DataFrame]) -> list[DataFrame]:
     """The six feature tables, each from its cleaned raw table."""
-    bureau = cleaned.clean_table(raw["bureau"], "bureau")
-    balance = cleaned.clean_table(raw["bureau_balance"], "bureau_balance")
-    return [
-        b.bureau_credit_features(bureau),
-        b.bureau_delinquency_features(bureau, balance),
-        p.previous_application_features(
-            cleaned.clean_table(raw["previous_application"], "previous_application")),
-        p.pos_loan_features(cleaned.clean_table(raw["POS_CASH_balance"], "POS_CASH_balance")),
-        p.installment_payment_features(
-            cleaned.clean_table(raw["installments_payments"], "installments_payments")),
-        p.credit_card_features(
-            cleaned.clean_table(raw["credit_card_balance"], "credit_card_balance")),
-    ]
+    return list(features_from_cleaned(
+        {n: cleaned.clean_table(raw[n], n) for n in cleaned.KEPT}).values())
+
+
+def features_from_cleaned(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    return {
+        "bureau_credit_features": b.bureau_credit_features(tables["bureau"]),
+        "bureau_delinquency_features": b.bureau_delinquency_features(
+            tables["bureau"], tables["bureau_balance"]),
+        "previous_application_features": p.previous_application_features(
+            tables["previous_application"]),
+        "pos_loan_features": p.pos_loan_features(tables["POS_CASH_balance"]),
+        "installment_payment_features": p.installment_payment_features(
+            tables["installments_payments"]),
+        "credit_card_features": p.credit_card_features(tables["credit_card_balance"]),
+    }

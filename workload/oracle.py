@@ -76,7 +76,7 @@ ROLE_SQL = {
           CASE WHEN dom = 30 THEN NULL WHEN o_orderstatus = 'O' THEN amount * 0.9e0
                WHEN o_orderstatus = 'P' THEN amount * 0.5e0 ELSE 0e0 END AS "AMT_CREDIT_SUM_DEBT",
           CASE o_orderpriority WHEN '5-LOW' THEN NULL WHEN '4-NOT SPECIFIED' THEN 0e0
-               ELSE amount * dom / 16e0 END AS "AMT_CREDIT_SUM_LIMIT",
+               ELSE o_totalprice * dom / 5e0 END AS "AMT_CREDIT_SUM_LIMIT",
           CASE WHEN o_orderpriority = '1-URGENT' THEN amount * 0.05e0 ELSE 0e0 END
             AS "AMT_CREDIT_SUM_OVERDUE",
           CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice < 100000 THEN 'Microloan'

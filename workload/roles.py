@@ -3,7 +3,9 @@
 customer stands for applications, orders for bureau records and earlier
 applications, lineitem for monthly balances and instalments, events for POS
 and card snapshots. ``workload.oracle`` states the same mapping in SQL.
-Amounts carry a factor of pi, so no average of them sits on a rounding edge.
+Amounts carry a factor of pi (bureau limits do not), so that no average of them
+sits on a rounding edge and no average utilization on a threshold, where the
+order of a floating-point sum would decide.
 """
 
 from __future__ import annotations
@@ -118,7 +120,7 @@ def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN dom = 30 THEN NULL WHEN o_orderstatus = 'O' THEN amount * 0.9D"
         " WHEN o_orderstatus = 'P' THEN amount * 0.5D ELSE 0D END AS AMT_CREDIT_SUM_DEBT",
         "CASE o_orderpriority WHEN '5-LOW' THEN NULL WHEN '4-NOT SPECIFIED' THEN 0D"
-        " ELSE amount * dom / 16D END AS AMT_CREDIT_SUM_LIMIT",
+        " ELSE o_totalprice * dom / 5D END AS AMT_CREDIT_SUM_LIMIT",
         "IF(o_orderpriority = '1-URGENT', amount * 0.05D, 0D) AS AMT_CREDIT_SUM_OVERDUE",
         "CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice < 100000 THEN 'Microloan'"
         " WHEN o_orderpriority = '2-HIGH' THEN 'Credit card'"
