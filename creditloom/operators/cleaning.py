@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.operators.quantiles import exact_percentile
@@ -50,18 +50,15 @@ def fit_mode(df: DataFrame, cols: Sequence[str], default: str = "Unknown") -> Da
             .select("column", F.coalesce("best.value", F.lit(default)).alias("fill")))
 
 
-def _fill_map(fills: DataFrame) -> Column:
-    """``(column, fill)`` rows, one per imputed column, as a one-row map."""
-    return fills.agg(F.map_from_entries(F.collect_list(F.struct("column", "fill")))).scalar()
-
-
 def apply_fills(df: DataFrame, cols: Sequence[str], fills: DataFrame, dtype: str) -> DataFrame:
     """Replace NULL by the fitted value; every column in ``cols`` gets ``dtype``."""
     if not cols:
         return df
+    one_row = fills.groupBy().pivot("column", list(cols)).agg(F.max("fill"))
+    fitted = one_row.select(F.struct(*[F.col(f"`{c}`") for c in cols])).scalar()
     target = set(cols)
-    return (df.withColumn("_fills", _fill_map(fills))
-            .select([F.coalesce(F.col(c).cast(dtype), F.try_element_at("_fills", F.lit(c))).alias(c)
+    return (df.withColumn("_fills", fitted)
+            .select([F.coalesce(F.col(c).cast(dtype), F.col(f"_fills.`{c}`")).alias(c)
                      if c in target else F.col(c) for c in df.columns]))
 
 

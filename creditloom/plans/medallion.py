@@ -99,8 +99,9 @@ def main() -> None:
     parser.add_argument("--table", default="loans")
     parser.add_argument("--buckets", type=int, default=0, help="bucket the gold table by loan")
     parser.add_argument("--integrated", action="store_true", help="also build the integrated tables")
+    parser.add_argument("--shuffle-width", type=int, help="initial partitions of every exchange")
     args = parser.parse_args()
-    spark = build_session("creditloom-medallion")
+    spark = build_session("creditloom-medallion", shuffle_width=args.shuffle_width)
     bronze, silver = f"{args.out}/bronze", f"{args.out}/silver"
     land(spark, args.raw, bronze)
     build_silver(spark, bronze, silver)

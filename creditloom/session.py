@@ -11,12 +11,15 @@ from pyspark.sql import SparkSession
 SCRATCH_CONF = "spark.checkpoint.dir"
 
 
-def build_session(app: str = "creditloom", master: str | None = None, **conf: str) -> SparkSession:
+def build_session(app: str = "creditloom", master: str | None = None,
+                  shuffle_width: int | None = None, **conf: str) -> SparkSession:
     """Session for the jobs in this package.
 
-    Partition counts are left to adaptive execution: a high initial shuffle
-    width is coalesced at run time, and skewed join partitions are split.
-    On a cluster ``master`` and memory come from spark-submit.
+    Partition counts are left to adaptive execution: it starts every exchange
+    with ``shuffle_width`` partitions, coalesces what turns out small and
+    splits skewed join partitions. Choose the width for the largest exchange,
+    about its bytes over 200 MB. On a cluster ``master`` and memory come from
+    spark-submit.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -29,6 +32,9 @@ def build_session(app: str = "creditloom", master: str | None = None, **conf: st
     )
     if master:
         builder = builder.master(master)
+    if shuffle_width:
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+                                 str(shuffle_width))
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
     return builder.getOrCreate()

@@ -30,14 +30,19 @@ def read_layer(spark: SparkSession, layer: str, name: str) -> DataFrame:
     return read_path(spark, f"{layer.rstrip('/')}/{name}")
 
 
-def write_layer(df: DataFrame, path: str, files: int | None = None,
-                mode: str = "overwrite") -> None:
-    """Parquet. ``files`` bounds the file count.
+def write_layer(df: DataFrame, path: str, files: int | None = None, mode: str = "overwrite",
+                rebalance: bool = False) -> None:
+    """Parquet, one file per task by default.
 
-    The bound is applied by an exchange, not ``coalesce``: that would run the
-    whole upstream stage in so few tasks.
+    ``files`` bounds the file count with an exchange, not ``coalesce``: that
+    would run the whole upstream stage in so few tasks. ``rebalance`` lets
+    adaptive execution size the files instead, also where partitions are skewed.
     """
-    out = df if files is None else df.repartition(files)
+    out = df
+    if files is not None:
+        out = df.repartition(files)
+    elif rebalance:
+        out = df.hint("rebalance")
     out.write.mode(mode).parquet(path)
 
 
@@ -51,15 +56,17 @@ def publish_table(df: DataFrame, db: str, table: str, bucket_by: tuple[int, str]
                   location: str | None = None) -> None:
     """Overwrite a catalog table; bucketing by the key spares later joins a shuffle.
 
-    ``location`` is where a new database keeps its tables.
+    Bucket by a key with few rows each: every bucket is written by one task,
+    as one file. ``location`` is where a new database keeps its tables.
     """
     where = f" LOCATION '{location}'" if location else ""
     df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {db}{where}")
-    writer = df.write.format("parquet").mode("overwrite")
-    if bucket_by is not None:
+    if bucket_by is None:
+        writer = df.write
+    else:
         n, key = bucket_by
-        writer = writer.bucketBy(n, key).sortBy(key)
-    writer.saveAsTable(f"{db}.{table}")
+        writer = df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
+    writer.format("parquet").mode("overwrite").saveAsTable(f"{db}.{table}")
 
 
 def export_csv(df: DataFrame, path: str) -> None:

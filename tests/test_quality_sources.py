@@ -65,10 +65,13 @@ def test_layers_publish_and_export(spark, tmp_path, rows):
     df = spark.range(100).selectExpr("id AS k", "id % 3 AS v")
     layers.write_layer(df, f"{tmp_path}/silver/t", files=3)
     assert len([f for f in os.listdir(f"{tmp_path}/silver/t") if f.endswith(".parquet")]) == 3
+    layers.write_layer(df, f"{tmp_path}/silver/t2", rebalance=True)
+    assert rows(layers.read_layer(spark, f"{tmp_path}/silver", "t2")) == rows(df)
     back = layers.read_layer(spark, f"{tmp_path}/silver", "t")
     layers.publish_table(back, "layer_test", "t", bucket_by=(4, "k"))
     layers.publish_table(back, "layer_test", "t", bucket_by=(4, "k"))       # overwrite
     assert layers.verify_count(spark, "layer_test.t").first().n == 100
+    assert len([f for f in spark.table("layer_test.t").inputFiles()]) <= 4
     joined = spark.table("layer_test.t").hint("merge").join(spark.table("layer_test.t"), "k")
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
     layers.export_csv(back, f"{tmp_path}/csv")

@@ -177,15 +177,14 @@ def csv_roundtrip(spark, sf):
 
 def layer_roundtrip(spark, sf):
     layer = scratch_path(spark, "layer")
-    layers.write_layer(roles.credit_card_balance(spark, sf), f"{layer}/card", files=4)
+    layers.write_layer(roles.credit_card_balance(spark, sf), f"{layer}/card", rebalance=True)
     return rounded(p.card_risk(layers.read_layer(spark, layer, "card")), 6)
 
 
 def publish_verify(spark, sf):
     path = scratch_path(spark, "publish")
     db = "check_" + path.rsplit("-", 1)[-1]
-    layers.publish_table(roles.bureau(spark, sf), db, "bureau", bucket_by=(8, "SK_ID_CURR"),
-                         location=path)
+    layers.publish_table(roles.bureau(spark, sf), db, "bureau", location=path)
     return layers.verify_count(spark, f"{db}.bureau")
 
 
