@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.operators.features import FeatureSpec
@@ -15,18 +15,30 @@ def join_detail(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
     """Left join that keeps every child row of a parent (fan-out).
 
     Adaptive execution can split a hot child key only in an inner join, so
-    the matched and the unmatched parents are planned apart; the anti join
+    matched, unmatched and keyless parents are planned apart; the anti join
     sees each child key once.
     """
-    matched = parent.join(child, key, "inner")
-    unmatched = parent.join(child.select(key).distinct(), key, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    keyed, keyless = _by_key_presence(parent, key)
+    matched = keyed.join(child, key, "inner")
+    unmatched = keyed.join(child.select(key).distinct(), key, "left_anti")
+    return (matched.unionByName(unmatched, allowMissingColumns=True)
+            .unionByName(keyless, allowMissingColumns=True))
 
 
-def join_summary(parent: DataFrame, child: DataFrame, key: str, aggs: Sequence,
-                 how: str = "left") -> DataFrame:
-    """Reduce the child to one row per key, then join: no fan-out, no hot key."""
-    return parent.join(child.groupBy(key).agg(*aggs), key, how)
+def join_summary(parent: DataFrame, child: DataFrame, key: str, aggs: Sequence[Column]) -> DataFrame:
+    """Reduce the child to one row per key, then left join: no fan-out, no hot child key."""
+    keyed, keyless = _by_key_presence(parent, key)
+    joined = keyed.join(child.groupBy(key).agg(*aggs), key, "left")
+    return joined.unionByName(keyless, allowMissingColumns=True)
+
+
+def _by_key_presence(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with and without a key.
+
+    All NULL keys hash to one partition though none can match, so they go
+    around the join. Where the source has none, file statistics skip the scan.
+    """
+    return df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
 
 
 def fan_in(base: DataFrame, features: Sequence[DataFrame], key: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000      # sketch rank error is 1 / ACCURACY of the rows
 GRID = 200             # quantile points of the second narrowing
 SLACK = 4              # below SLACK ranks per step a range is kept whole
-MAX_GROUPS = 10_000    # bound on the one-row lookup
+MAX_GROUPS = 1_000     # bound on the one-row lookup
 
 
 def exact_percentile(df: DataFrame, dims: Sequence[str], value: str, p: float = 0.5,

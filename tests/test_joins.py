@@ -20,6 +20,35 @@ def test_join_summary_keeps_one_row_per_parent_row(spark, rows):
     assert rows(got) == [(1, 11), (1, 11), (2, None)]
 
 
+def test_keyless_parents_go_around_the_join(spark, rows):
+    parent = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c")], "k int, p string")
+    child = spark.createDataFrame([(1, 5), (None, 6)], "k int, v int")
+    want = rows(parent.join(child.groupBy("k").agg(F.sum("v").alias("s")), "k", "left"))
+    assert rows(joins.join_summary(parent, child, "k", [F.sum("v").alias("s")])) == want
+
+
+def test_hot_child_key_is_split(spark):
+    """The detail join lets adaptive execution split a key with a third of all rows."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        parent = spark.range(100_000).selectExpr("id AS k", "id AS p")
+        child = spark.range(600_000).selectExpr("IF(id % 3 = 0, 5L, id % 100000) AS k",
+                                                "shiftright(xxhash64(id), 24) AS v")
+        total = joins.join_detail(parent, child, "k").agg(F.count("v"), F.max("v"), F.max("p"))
+        assert total.collect()[0][0] == 600_000
+        assert "SortMergeJoin(skew=true)" in total._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def spec(name):
     return FeatureSpec(name, {f"{name}_n": F.count(F.lit(1))},
                        {f"{name}_n": F.col(f"{name}_n"), f"{name}_many": F.col(f"{name}_n") > 1})

@@ -313,8 +313,6 @@ APP_NUMERIC = [
     "DAYS_LAST_PHONE_CHANGE", "ageYears", "yearsEmployed",
 ]
 APP_STRINGS = ["NAME_CONTRACT_TYPE", "CODE_GENDER", "NAME_INCOME_TYPE", "OCCUPATION_TYPE"]
-OWN_FLAGS = """ "FLAG_OWN_CAR" IS NOT DISTINCT FROM 'Y' AS has_car_,
-                "FLAG_OWN_REALTY" IS NOT DISTINCT FROM 'Y' AS has_house_ """
 
 
 def derived_app(age_digits: int) -> str:
@@ -328,13 +326,6 @@ def derived_app(age_digits: int) -> str:
     FROM app_all"""
 
 
-def mode_of(table: str, col: str, split: str = "unlabelled") -> str:
-    """The mode with NULL as a competitor, per split."""
-    return f"""(SELECT coalesce(v, 'Unknown') FROM (
-        SELECT "{col}" AS v, count(*) AS n FROM {table} q
-        WHERE q.{split} = {table}.{split} GROUP BY 1) ORDER BY n DESC, v IS NULL, v LIMIT 1)"""
-
-
 def imputed(table: str, numeric, strings) -> str:
     """Median and mode fills of each split."""
     modes = " ".join(f"""
