@@ -54,9 +54,10 @@ RULES = (
 
 
 def _sum_of_runs(starts: Column) -> Column:
-    """Words covered by windows that start at sorted positions."""
-    gap = F.zip_with(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), starts, lambda b, a: F.least(b - a, F.lit(WINDOW)))
-    return F.aggregate(F.filter(gap, lambda g: g.isNotNull()), F.lit(0), lambda t, g: t + g) + WINDOW
+    """Words covered by windows that start at sorted positions; the last one covers all of its own."""
+    following = F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1)))
+    covered = F.zip_with(following, starts, lambda b, a: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    return F.aggregate(covered, F.lit(0), lambda total, n: total + n)
 
 
 def measured(docs: DataFrame) -> DataFrame:

@@ -83,44 +83,23 @@ def unfeistel(slot: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-#: A run of white space and the run of other bytes after it, or white space at the end.
-_UNIT = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
-_OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-CACHED = 200_000
-
-
-class _Units(dict):
-    """Token ids (as bytes) of units; emptied when full."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, unit: bytes) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
-        ids = np.array(self.encode(unit.decode("utf-8", "replace")), dtype=np.uint16).tobytes()
-        if len(unit) <= 64:
-            self[unit] = ids
-        return ids
+_RUN = re.compile(r"\s\s")
 
 
 def tokenizer(ranks: dict[bytes, int]):
-    """Function from UTF-8 bytes to ids.
+    """Function from a text to its ids.
 
-    The pattern never matches across a change from other characters to white space,
-    so units are encoded one by one and repeated units only once. That holds for
-    ASCII white space; a text with any other goes to the encoder in one piece.
+    The pattern's look-ahead only matters where white space follows white space;
+    other texts are split by the pattern without it, which matches about twice as fast.
     """
     import tiktoken
 
-    encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    units = _Units(encode)
+    exact, plain = (tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={})
+                    for p in (PATTERN, PATTERN.replace(r"\s+(?!\S)|", "")))
 
-    def ids(data: bytes) -> np.ndarray:
-        if not data.isascii() and _OTHER_SPACE.search(data.decode("utf-8", "replace")):
-            return np.array(encode(data.decode("utf-8", "replace")), dtype=np.uint16)
-        return np.frombuffer(b"".join(map(units.__getitem__, _UNIT.findall(data))), dtype=np.uint16)
+    def ids(text: str) -> np.ndarray:
+        encoding = exact if _RUN.search(text) else plain
+        return encoding.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
     return ids
 
 
@@ -133,7 +112,7 @@ def _sequencer(ranks, stride: int):
                 ids = batch.column("doc_id").slice(part.low, part.high - part.low).to_pylist()
                 out = {"doc_id": [], "piece": [], "n_tokens": [], "tokens": []}
                 for doc, a, b in zip(ids, part.bounds[:-1], part.bounds[1:]):
-                    tokens = encode(part.data[a:b].tobytes())
+                    tokens = encode(part.data[a:b].tobytes().decode("utf-8", "replace"))
                     pieces = -(-(len(tokens) + 1) // stride)
                     padded = np.full(pieces * stride, end, dtype=np.uint16)
                     padded[:len(tokens)] = tokens
