@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.operators.quantiles import exact_percentile
+from creditloom.operators.quantiles import column_percentiles
 
 
 def _long_form(df: DataFrame, cols: Sequence[str], dtype: str) -> DataFrame:
@@ -33,8 +33,7 @@ def fit_numeric(df: DataFrame, cols: Sequence[str], strategy: str = "approx_medi
         return medians.unpivot([], list(cols), "column", "fill")
     if strategy not in ("approx_median", "median"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    return exact_percentile(_long_form(df, cols, "double"), ["column"], "value", 0.5, "fill",
-                            interpolate=strategy == "median")
+    return column_percentiles(df, cols, 0.5, "fill", interpolate=strategy == "median")
 
 
 def fit_mode(df: DataFrame, cols: Sequence[str], default: str = "Unknown") -> DataFrame:
@@ -78,21 +77,15 @@ def impute_mode(df: DataFrame, cols: Sequence[str], default: str = "Unknown",
     return apply_fills(df, cols, fit_mode(fit_on or df, cols, default), "string")
 
 
-def dedup_by_key(df: DataFrame, keys: Sequence[str],
-                 order_by: Sequence[str] | None = None) -> DataFrame:
-    """One row per key.
+def dedup_by_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """One row per key: the smallest in the order given, ties broken by the remaining columns.
 
-    With ``order_by`` the survivor is the smallest row in that order, ties
-    broken by the remaining columns. Without it, any row of the key survives.
+    One exchange by key; each task drops all but the first row of a key before
+    it, so a key with very many rows is not gathered.
     """
-    if order_by is None:
-        return df.dropDuplicates(list(keys))
-    lead = [c for c in order_by if c not in keys]
-    rest = [c for c in df.columns if c not in keys and c not in lead]
-    if not lead + rest:
-        return df.distinct()
-    return (df.groupBy(*keys).agg(F.min(F.struct(*lead, *rest)).alias("row"))
-            .select(*[F.col(c) if c in keys else F.col(f"row.{c}").alias(c) for c in df.columns]))
+    order = [*order_by, *[c for c in df.columns if c not in order_by and c not in keys]]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or keys)))
+    return df.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ aggregation buffer. Here a mergeable sketch narrows the range that holds the
 wanted rank, twice, and only the values left inside are counted and ranked:
 about 1 / 125000 of a large group. The final rank check uses exact counts, so
 a result never depends on the sketch being right.
+
+A range with few ranks per sketch step is kept whole instead of narrowed; that
+only widens what is ranked, the result is the same.
 """
 
 from __future__ import annotations
@@ -17,84 +20,99 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000      # sketch rank error is 1 / ACCURACY of the rows
 GRID = 200             # quantile points of the second narrowing
 SLACK = 4              # below SLACK ranks per step a range is kept whole
-MAX_GROUPS = 1_000     # bound on the one-row lookup
 
 
 def exact_percentile(df: DataFrame, dims: Sequence[str], value: str, p: float = 0.5,
                      name: str = "percentile", interpolate: bool = True) -> DataFrame:
-    """Exact ``p``-quantile of ``value`` per combination of ``dims``.
+    """Exact ``p``-quantile of ``value`` per combination of ``dims``, however many there are.
 
     ``interpolate=True`` is the continuous quantile, ``False`` the smallest
-    value whose rank reaches ``p``. ``dims`` are report dimensions: at most
-    ``MAX_GROUPS`` combinations. A group without values has no row.
+    value whose rank reaches ``p``. NULL is a dimension value like any other. A
+    group without values has no row. For many columns of one frame
+    ``column_percentiles`` reads them side by side.
     """
     group = F.struct(*[F.col(d) for d in dims]) if dims else F.struct(F.lit(0).alias("all"))
     data = (df.select(group.alias("g"), F.col(value).cast("double").alias("v"))
               .where(F.col("v").isNotNull()))
-
     ranked = _rank_inside(data, _narrow(data, _first_bracket(data, p, interpolate)))
+    picked = _picked(ranked, ["g", "b"])
+    return picked.select(*[F.col(f"g.{d}").alias(d) for d in dims], _checked().alias(name))
+
 
+def _picked(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The two values around the wanted rank, and the number of values below the bracket."""
     inside = F.col("v").isNotNull()
-    picked = (ranked
-              .groupBy("g", "b")
-              .agg(F.min(F.when(inside & (F.col("upto") > F.col("b.k_lo")), F.col("v"))).alias("x"),
-                   F.min(F.when(inside & (F.col("upto") > F.col("b.k_hi")), F.col("v"))).alias("y"),
-                   F.max(F.when(~inside, F.col("upto"))).alias("below")))
-    missed = (F.coalesce("below", F.lit(0)) > F.col("b.k_lo")) | F.col("y").isNull()
-    result = F.col("x") + (F.col("y") - F.col("x")) * F.col("b.frac")
-    return picked.select(*[F.col(f"g.{d}").alias(d) for d in dims],
-                         F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")))
-                          .otherwise(result).alias(name))
+    return ranked.groupBy(*keys).agg(
+        F.min(F.when(inside & (F.col("upto") > F.col("b.k_lo")), F.col("v"))).alias("x"),
+        F.min(F.when(inside & (F.col("upto") > F.col("b.k_hi")), F.col("v"))).alias("y"),
+        F.max(F.when(~inside, F.col("upto"))).alias("below"))
 
 
-def _lookup(per_group: DataFrame, cols: Sequence[str]) -> Column:
-    """Per-group values as a one-row map subquery, evaluated once per query."""
-    entries = F.collect_list(F.struct("g", F.struct(*cols)))
-    bounded = F.when(F.size(entries) > MAX_GROUPS,
-                     F.raise_error(F.lit(f"more than {MAX_GROUPS} groups")))
-    return per_group.agg(F.coalesce(bounded, F.map_from_entries(entries))).scalar()
+def _checked() -> Column:
+    """The quantile; the sketch's guaranteed error rules out the failure that is guarded against."""
+    missed = (F.coalesce("below", F.lit(0)) > F.col("b.k_lo")) | F.col("y").isNull()
+    return (F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")))
+             .otherwise(F.col("x") + (F.col("y") - F.col("x")) * F.col("b.frac")))
 
 
 def _with_bracket(data: DataFrame, bracket: DataFrame) -> DataFrame:
-    found = F.try_element_at(_lookup(bracket, ["lo", "hi", "k_lo", "k_hi", "frac"]), F.col("g"))
-    return data.withColumn("b", found)
+    """Each value with its group's bracket.
+
+    Structs compare their NULL fields as equal, so the join is null-safe; the side
+    with one row per group is broadcast where its size allows, and a group with
+    very many values can be split.
+    """
+    cols = ["lo", "hi", "k_lo", "k_hi", "frac"]
+    return data.join(bracket.select("g", F.struct(*cols).alias("b")), "g")
 
 
 def _first_bracket(data: DataFrame, p: float, interpolate: bool) -> DataFrame:
     """Wanted ranks per group, and the sketch's values just below and above them."""
-    n = F.col("n")
-    rank = F.lit(p) * (n - 1) if interpolate else F.greatest(F.ceil(F.lit(p) * n) - 1, F.lit(0))
+    return data.groupBy("g").agg(*_first_stats(F.col("v"), p)).select("g", *_first_bounds("", p, interpolate))
+
+
+def _first_stats(v: Column, p: float) -> list[Column]:
     around = [max(p - 2 / ACCURACY, 0.0), min(p + 2 / ACCURACY, 1.0)]
-    stats = data.groupBy("g").agg(
-        F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"),
-        F.percentile_approx("v", around, ACCURACY).alias("q"))
+    return [F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"),
+            F.percentile_approx(v, around, ACCURACY).alias("q")]
+
+
+def _first_bounds(of: str, p: float, interpolate: bool) -> list[Column]:
+    n = F.col(f"{of}n")
+    rank = F.lit(p) * (n - 1) if interpolate else F.greatest(F.ceil(F.lit(p) * n) - 1, F.lit(0))
     small = n < SLACK * ACCURACY
-    return stats.select(
-        "g", F.when(small, F.col("low")).otherwise(F.col("q")[0]).alias("lo"),
-        F.when(small, F.col("high")).otherwise(F.col("q")[1]).alias("hi"),
-        F.floor(rank).alias("k_lo"), F.ceil(rank).alias("k_hi"),
-        (rank - F.floor(rank)).cast("double").alias("frac"))
+    return [F.when(small, F.col(f"{of}low")).otherwise(F.col(f"{of}q")[0]).alias("lo"),
+            F.when(small, F.col(f"{of}high")).otherwise(F.col(f"{of}q")[1]).alias("hi"),
+            F.floor(rank).alias("k_lo"), F.ceil(rank).alias("k_hi"),
+            (rank - F.floor(rank)).cast("double").alias("frac")]
 
 
 def _narrow(data: DataFrame, bracket: DataFrame) -> DataFrame:
     """A bracket inside the given one, from a grid of quantiles of its values."""
-    within = F.col("v").between(F.col("b.lo"), F.col("b.hi"))
+    stats = _with_bracket(data, bracket).groupBy("g", "b").agg(*_second_stats(F.col("v"), "b."))
+    return stats.select("g", *_second_bounds("", "b."))
+
+
+def _second_stats(v: Column, b: str) -> list[Column]:
+    within = v.between(F.col(f"{b}lo"), F.col(f"{b}hi"))
     grid = F.expr(f"array({', '.join(f'{i / GRID}D' for i in range(GRID + 1))})")
-    stats = _with_bracket(data, bracket).groupBy("g", "b").agg(
-        F.count_if(F.col("v") < F.col("b.lo")).alias("below"), F.count_if(within).alias("inside"),
-        F.percentile_approx(F.when(within, F.col("v")), grid, ACCURACY).alias("q"))
+    return [F.count_if(v < F.col(f"{b}lo")).alias("below"), F.count_if(within).alias("inside"),
+            F.percentile_approx(F.when(within, v), grid, ACCURACY).alias("q")]
+
+
+def _second_bounds(of: str, b: str) -> list[Column]:
+    inside = F.col(f"{of}inside")
 
     def step(k: str) -> Column:
-        return (F.col(k) - F.col("below")) * GRID / F.col("inside")
+        return F.try_divide((F.col(f"{b}{k}") - F.col(f"{of}below")) * GRID, inside)
 
     # One grid step of slack on either side covers the sketch's rank error.
-    first = F.greatest(F.floor(step("b.k_lo")) - 1, F.lit(0)).cast("int")
-    last = F.least(F.ceil(step("b.k_hi")) + 1, F.lit(GRID)).cast("int")
-    small = F.col("inside") < SLACK * GRID
-    return stats.select(
-        "g", F.when(small, F.col("b.lo")).otherwise(F.col("q")[first]).alias("lo"),
-        F.when(small, F.col("b.hi")).otherwise(F.col("q")[last]).alias("hi"),
-        "b.k_lo", "b.k_hi", "b.frac")
+    first = F.greatest(F.floor(step("k_lo")) - 1, F.lit(0)).cast("int")
+    last = F.least(F.ceil(step("k_hi")) + 1, F.lit(GRID)).cast("int")
+    small = inside < SLACK * GRID
+    return [F.when(small, F.col(f"{b}lo")).otherwise(F.col(f"{of}q")[first]).alias("lo"),
+            F.when(small, F.col(f"{b}hi")).otherwise(F.col(f"{of}q")[last]).alias("hi"),
+            F.col(f"{b}k_lo").alias("k_lo"), F.col(f"{b}k_hi").alias("k_hi"), F.col(f"{b}frac").alias("frac")]
 
 
 def _rank_inside(data: DataFrame, bracket: DataFrame) -> DataFrame:
@@ -110,3 +128,35 @@ def _rank_inside(data: DataFrame, bracket: DataFrame) -> DataFrame:
     order = (Window.partitionBy("g", "b").orderBy(F.col("v").asc_nulls_first())
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return counted.withColumn("upto", F.sum("n").over(order))
+
+
+def column_percentiles(df: DataFrame, cols: Sequence[str], p: float = 0.5, name: str = "percentile",
+                       interpolate: bool = True) -> DataFrame:
+    """Exact ``p``-quantile of each column: rows ``(column, <name>)``.
+
+    The narrowing steps are one wide aggregation each, whose one row reaches the
+    next as a scalar subquery. Only values inside their column's bracket are
+    turned into rows.
+    """
+    typed = df.select([F.col(c).cast("double").alias(c) for c in cols])
+    first = typed.agg(*[F.struct(*_first_stats(F.col(f"`{c}`"), p)).alias(c) for c in cols])
+    b1 = first.select(F.struct(*[F.struct(*_first_bounds(f"`{c}`.", p, interpolate)).alias(c) for c in cols]))
+    second = (typed.withColumn("_b", b1.scalar())
+              .agg(*[F.struct(*_second_stats(F.col(f"`{c}`"), f"_b.`{c}`.")).alias(c) for c in cols])
+              .withColumn("_b", b1.scalar()))
+    b2 = second.select(F.struct(*[F.struct(*_second_bounds(f"`{c}`.", f"_b.`{c}`.")).alias(c) for c in cols]))
+    bracketed = typed.withColumn("_b", b2.scalar())
+    below = bracketed.agg(*[F.count_if(F.col(f"`{c}`") < F.col(f"_b.`{c}`.lo")).alias(c) for c in cols])
+    brackets = below.withColumn("_b", b2.scalar()).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("n_below"), F.col(f"_b.`{c}`").alias("b"))
+        for c in cols]))).where("b.lo IS NOT NULL")
+    entry = [F.when(F.col(f"`{c}`").between(F.col(f"_b.`{c}`.lo"), F.col(f"_b.`{c}`.hi")),
+                    F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("v"))) for c in cols]
+    inside = bracketed.select(F.inline(F.filter(F.array(*entry), lambda e: e.isNotNull())))
+    order = (Window.partitionBy("column").orderBy("v")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = (inside.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("within", F.sum("n").over(order)).join(brackets, "column")
+              .withColumn("upto", F.col("within") + F.col("n_below")))
+    picked = _picked(ranked, ["column", "n_below", "b"]).withColumn("below", F.col("n_below"))
+    return picked.select("column", _checked().alias(name))

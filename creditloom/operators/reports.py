@@ -37,9 +37,12 @@ def compare_by_target(df: DataFrame, metrics: Mapping[str, Column], target: str
     return df.groupBy(target).agg(*[F.avg(c).alias(n) for n, c in metrics.items()])
 
 
-def top_k(df: DataFrame, by: Column | str, k: int, desc: bool = True,
-          tie_break: Sequence[str] = ()) -> DataFrame:
-    """The ``k`` extreme rows; each task keeps ``k`` rows at most."""
+def top_k(df: DataFrame, by: Column | str, k: int, desc: bool = True, *,
+          tie_break: Sequence[str]) -> DataFrame:
+    """The ``k`` extreme rows; each task keeps ``k`` rows at most.
+
+    ``tie_break`` columns decide which of equal rows are among them.
+    """
     column = F.col(by) if isinstance(by, str) else by
     lead = column.desc_nulls_last() if desc else column.asc_nulls_last()
     return df.orderBy(lead, *tie_break).limit(k)

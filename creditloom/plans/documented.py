@@ -116,9 +116,13 @@ def bureau_rate_by(bureau: DataFrame, balance: DataFrame, app: DataFrame,
 
 
 def utilization_group() -> Column:
-    """Debt over limit in bands; a record without a positive limit has no band."""
-    used = F.coalesce(b.utilization(), F.when(F.col("creditLimit") > 0, 0.0))
-    return bucketize([(used.isNull(), UTILIZATION_LABELS["none"]),
+    """Debt over limit in bands; a record without a positive limit has no band.
+
+    With a limit but without a known debt the band is unknown.
+    """
+    used = b.utilization()
+    unlimited = F.coalesce(F.col("creditLimit"), F.lit(0)) <= 0
+    return bucketize([(unlimited, UTILIZATION_LABELS["none"]), (used.isNull(), NO_DATA),
                       (used > 0.7, UTILIZATION_LABELS["high"]),
                       (used >= 0.3, UTILIZATION_LABELS["mid"])], UTILIZATION_LABELS["low"])
 
@@ -274,7 +278,7 @@ def payment_diff_bucket(groups: DataFrame) -> DataFrame:
 def version_group(groups: DataFrame) -> DataFrame:
     v = F.col("max_version")
     return target_rate(groups, {"max_version_group": bucketize(
-        [(v == 0, "Versi 0"), (v == 1, "Versi 1")], "Versi 2+")})
+        [(v.isNull(), NO_DATA), (v == 0, "Versi 0"), (v == 1, "Versi 1")], "Versi 2+")})
 
 
 def card_groups(card: DataFrame, app: DataFrame) -> DataFrame:
@@ -294,10 +298,13 @@ def card_utilization_bucket(groups: DataFrame) -> DataFrame:
 
 
 def pay_ratio_bucket(groups: DataFrame) -> DataFrame:
-    """Only the 0.4 bound is given; paying at least what was drawn is split off."""
+    """Only the 0.4 bound is given; paying at least what was drawn is split off.
+
+    A loan that drew money and has no recorded payment has no known ratio.
+    """
     paid = ratio("pay", "draw", on_zero=None)
     return target_rate(groups, {"pay_ratio_bucket": bucketize(
-        [(F.coalesce("draw", F.lit(0.0)) <= 0, "Tidak Ada Penarikan"),
+        [(F.coalesce("draw", F.lit(0.0)) <= 0, "Tidak Ada Penarikan"), (F.col("pay").isNull(), NO_DATA),
          (paid < 0.4, "Pembayaran Sangat Rendah"), (paid < 1, "Pembayaran Sebagian")],
         "Pembayaran Penuh")})
 

@@ -88,7 +88,7 @@ def credit_goods_gap(app: DataFrame) -> DataFrame:
 
 
 def gap_extremes(app: DataFrame, k: int = 20, desc: bool = True) -> DataFrame:
-    return top_k(credit_goods_gap(app).drop("target"), "diff", k, desc, ["loanId"])
+    return top_k(credit_goods_gap(app).drop("target"), "diff", k, desc, tie_break=["loanId"])
 
 
 def zero_gap(app: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def gap_extremes_combined(app: DataFrame, k: int = 10, with_target: bool = False
     gaps = gaps.drop("target")
 
     def side(label: str, desc: bool) -> DataFrame:
-        return top_k(gaps, "diff", k, desc, ["loanId"]).select(F.lit(label).alias("case_type"), "*")
+        return top_k(gaps, "diff", k, desc, tie_break=["loanId"]).select(F.lit(label).alias("case_type"), "*")
 
     return union_all(side(POSITIVE_GAP, True), side(NEGATIVE_GAP, False))
 

@@ -11,28 +11,71 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from creditloom.operators import quality
 from creditloom.operators.joins import assert_cardinality
+from creditloom.operators.projection import schema_diff, union_splits
 from creditloom.plans import application as a
 from creditloom.plans import bureau as b
 from creditloom.plans import cleaned, gold as g
 from creditloom.plans import previous as p
 from creditloom.schemas import RAW_TABLES
 from creditloom.session import build_session
+from creditloom.sources import manifest
 from creditloom.sources.layers import publish_table, read_layer, read_raw, verify_count, write_layer
 
 HISTORY_TABLES = list(cleaned.KEPT)
 
+#: The files of a complete landing.
+LANDED_FILES = (
+    "application_train.csv", "application_test.csv", "bureau.csv", "bureau_balance.csv",
+    "credit_card_balance.csv", "installments_payments.csv", "POS_CASH_balance.csv",
+    "previous_application.csv", "sample_submission.csv", "HomeCredit_columns_description.csv",
+)
 
-def land(spark: SparkSession, raw_dir: str, bronze: str) -> None:
-    """Raw CSV to Parquet once; every later scan is columnar and pruned."""
+
+class LandingError(Exception):
+    pass
+
+
+def verify_landing(spark: SparkSession, raw_dir: str, expected: DataFrame | None = None) -> None:
+    """Raise unless the landing holds what it should.
+
+    ``expected`` is the sender's manifest ``(name, length)``; without one, the
+    ten known names must be there and nothing else. A file stored as a folder of
+    parts counts as one.
+    """
+    landed = (manifest.list_files(spark, raw_dir)
+              .groupBy(F.substring_index("name", "/", 1).alias("name")).agg(F.sum("length").alias("length")))
+    if expected is None:
+        names = spark.createDataFrame([(n,) for n in LANDED_FILES], "name string")
+        expected = names.join(landed, "name", "left").fillna(0, ["length"])
+    result = manifest.reconcile_manifest(expected, landed)
+    if not manifest.landing_verdict(result).first().success:
+        bad = result.where("status != 'ok'").orderBy("name").limit(20).collect()
+        raise LandingError("; ".join(f"{r.name}: {r.status}" for r in bad))
+
+
+def check_schemas(spark: SparkSession, bronze: str) -> None:
+    """Raise where a bronze table has lost, gained or retyped a column."""
+    for name, schema in RAW_TABLES.items():
+        drift = schema_diff(read_layer(spark, bronze, name), schema).where("status != 'ok'").collect()
+        if drift:
+            raise LandingError("; ".join(f"{name}.{r['column']}: {r.status}" for r in drift))
+
+
+def land(spark: SparkSession, raw_dir: str, bronze: str, expected: DataFrame | None = None) -> None:
+    """Check the landing, then raw CSV to Parquet once; every later scan is columnar and pruned."""
+    verify_landing(spark, raw_dir, expected)
     for name, schema in RAW_TABLES.items():
         write_layer(read_raw(spark, f"{raw_dir}/{name}.csv", schema), f"{bronze}/{name}")
 
 
 def build_silver(spark: SparkSession, bronze: str, silver: str, strategy: str = "approx_median",
                  variant: str = "as_coded", files: int | None = None) -> None:
+    check_schemas(spark, bronze)
+
     def raw(name: str) -> DataFrame:
         return read_layer(spark, bronze, name)
 
@@ -61,6 +104,7 @@ def build_gold(spark: SparkSession, silver: str, staging: str, db: str, table: s
                     read_layer(spark, silver, "previous_features"))
     staged = quality.stage_write(result, f"{staging}/gold")
     quality.gate(quality.validate(staged, gold_suite()))
+    assert_cardinality(union_splits(train, test).select("loanId"), staged.select("loanId"), "loanId")
     publish_table(staged, db, table, bucket_by, location)
     return verify_count(spark, f"{db}.{table}")
 
@@ -72,8 +116,15 @@ def integrated_suite(with_target: bool) -> list[quality.Expectation]:
 
 
 def build_integrated(spark: SparkSession, bronze: str, silver: str, final: str,
-                     strategy: str = "approx_median", files: int | None = None) -> None:
-    """Cleaned tables, their features, and the integrated tables of both splits."""
+                     strategy: str = "approx_median", test_strategy: str = "median",
+                     files: int | None = None) -> None:
+    """Cleaned tables, their features, and the integrated tables of both splits.
+
+    The splits may be imputed differently; by default the test split exactly. The
+    final table is written after the staged copy has passed the suite and kept the
+    cardinality of the applications.
+    """
+    check_schemas(spark, bronze)
     for name in HISTORY_TABLES:
         write_layer(cleaned.clean_table(read_layer(spark, bronze, name), name), f"{silver}/{name}_clean")
     features = g.features_from_cleaned({n: read_layer(spark, silver, f"{n}_clean")
@@ -84,11 +135,13 @@ def build_integrated(spark: SparkSession, bronze: str, silver: str, final: str,
         stored.append(read_layer(spark, silver, name))
     for split in ("train", "test"):
         raw = read_layer(spark, bronze, f"application_{split}")
-        write_layer(a.application_clean(raw, strategy), f"{silver}/application_{split}_clean")
+        chosen = strategy if split == "train" else test_strategy
+        write_layer(a.application_clean(raw, chosen), f"{silver}/application_{split}_clean")
         base = read_layer(spark, silver, f"application_{split}_clean")
-        joined = quality.promote(g.integrate(base, stored), integrated_suite(split == "train"),
-                                 f"{final}/{split}", f"{silver}/{split}_integrated", files)
-        assert_cardinality(base, joined, "SK_ID_CURR")
+        staged = quality.stage_write(g.integrate(base, stored), f"{silver}/{split}_integrated")
+        quality.gate(quality.validate(staged, integrated_suite(split == "train")))
+        assert_cardinality(base, staged, "SK_ID_CURR")
+        write_layer(staged, f"{final}/{split}", files)
 
 
 def main() -> None:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -40,18 +44,25 @@ def build_session(app: str = "creditloom", master: str | None = None,
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_root() -> str:
+    root = tempfile.mkdtemp(prefix="creditloom-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared scratch folder.
 
     The folder named by ``spark.checkpoint.dir`` is used wherever the cluster
     sets it. Without it a local folder is only acceptable for a local master,
-    where driver and executors are one process.
+    where driver and executors are one process; it is removed when the driver ends.
     """
     root = spark.conf.get(SCRATCH_CONF, None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError(f"set {SCRATCH_CONF} to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="creditloom-")
+        root = _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

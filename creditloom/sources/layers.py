@@ -14,11 +14,12 @@ def read_raw(spark: SparkSession, path: str, schema: T.StructType | None = None,
     """CSV with a header.
 
     Give a schema: inference reads the whole file once more before any query.
-    Columns are matched by position under a schema, so the header is checked.
+    Columns are matched by position under a schema, so the header is checked. A
+    field that does not parse fails the read; as NULL it would be imputed later.
     """
     reader = spark.read.option("header", True)
     if schema is not None:
-        return reader.schema(schema).option("enforceSchema", False).csv(path)
+        return reader.schema(schema).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
     return reader.option("inferSchema", infer).csv(path)
 
 

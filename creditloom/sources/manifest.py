@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def _below(root: str, path: Column) -> Column:
+    """Path relative to the landing root, so that files of one base name stay apart."""
+    folder = re.sub(_AUTHORITY, "", root).rstrip("/")
+    plain = F.regexp_replace(path, _AUTHORITY, "")
+    return F.substr(plain, F.lit(len(folder) + 2))
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(name, length)`` of every file below ``path``; contents are not read."""
+    """``(name, length)`` of every file below ``path``; contents are not read.
+
+    Names are relative to ``path``, which is a plain folder.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return files.select(_below(path, F.col("path")).alias("name"), "length")
 
 
 def content_fingerprint(spark: SparkSession, path: str) -> DataFrame:
@@ -19,7 +34,7 @@ def content_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     checksum does not depend on the split or on line order.
     """
     lines = spark.read.option("recursiveFileLookup", True).text(path)
-    return (lines.select(F.col("_metadata.file_name").alias("name"), "value")
+    return (lines.select(_below(path, F.col("_metadata.file_path")).alias("name"), "value")
             .groupBy("name")
             .agg(F.count(F.lit(1)).alias("n_lines"),
                  F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("checksum")))

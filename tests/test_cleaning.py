@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditloom.operators import cleaning
-from creditloom.operators.quantiles import ACCURACY, SLACK, exact_percentile
+from creditloom.operators.quantiles import ACCURACY, SLACK, column_percentiles, exact_percentile
 
 
 def frame(spark, columns):
@@ -44,6 +44,24 @@ def test_exact_percentile_groups(spark, rows):
         [("a", 1.0), ("a", 2.0), (None, 5.0), (None, None), ("b", None)], "g string, v double")
     assert rows(exact_percentile(df, ["g"], "v")) == [(None, 5.0), ("a", 1.5)]
     assert exact_percentile(df.where("false"), ["g"], "v").count() == 0
+    many = spark.range(9000).selectExpr("id % 3000 AS g", "id AS v")
+    assert exact_percentile(many, ["g"], "v").where("percentile = g + 3000").count() == 3000
+
+
+@pytest.mark.parametrize("p", [0.5, 0.9])
+def test_column_percentiles_equal_numpy(spark, p):
+    rng, n = np.random.default_rng(1), SLACK * ACCURACY + 11
+    import pandas as pd
+    data = pd.DataFrame({"a": rng.normal(size=n), "same": np.ones(n), "few": rng.integers(0, 3, n).astype(float),
+                         "none": [None] * n})
+    data.loc[::7, "a"] = None
+    df = spark.createDataFrame(data, "a double, same double, few double, none double").repartition(6)
+    df = df.select([F.when(~F.isnan(c), F.col(c)).alias(c) for c in df.columns])
+    for interpolate, method in ((True, "linear"), (False, "inverted_cdf")):
+        got = {r["column"]: r.m for r in column_percentiles(df, data.columns, p, "m", interpolate).collect()}
+        want = {c: np.percentile(data[c].dropna().astype(float), 100 * p, method=method) for c in ("a", "same", "few")}
+        assert got == pytest.approx(want)
+    assert column_percentiles(df.where("false"), ["a"], p).count() == 0
 
 
 def test_numeric_imputation_strategies(spark):
@@ -93,7 +111,9 @@ def test_dedup_survivor_is_deterministic(spark, rows):
     for parts in (1, 4):
         assert rows(cleaning.dedup_by_key(df.repartition(parts), ["k"], ["o"])) == [
             (1, 2, "y"), (2, None, "w")]
-    assert cleaning.dedup_by_key(df, ["k"]).count() == 2
+    plan = cleaning.dedup_by_key(df, ["k"], ["o"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "WindowGroupLimit" in plan
     assert cleaning.dedup_by_key(df.select("k"), ["k"], ["k"]).count() == 2
 
 

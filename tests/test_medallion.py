@@ -23,9 +23,46 @@ def raw_dir(spark, tmp_path):
         full = df.select([F.col(f.name).cast(f.dataType) if f.name in df.columns
                           else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
         export_csv(full, f"{tmp_path}/raw/{name}.csv")
+    for name in set(medallion.LANDED_FILES) - {f"{n}.csv" for n in RAW_TABLES}:
+        (tmp_path / "raw" / name).write_text("a,b\n1,2\n")
     return f"{tmp_path}/raw"
 
 
+def test_faulty_landings_and_joins_stop_the_pipeline(spark, raw_dir, tmp_path):
+    import shutil
+
+    bronze, silver = f"{tmp_path}/bronze", f"{tmp_path}/silver"
+    lost = tmp_path / "raw" / "sample_submission.csv"
+    lost.unlink()
+    with pytest.raises(medallion.LandingError, match="sample_submission.csv: missing"):
+        medallion.land(spark, raw_dir, bronze)
+    lost.write_text("a\n")
+    sizes = spark.createDataFrame([(n, 1) for n in medallion.LANDED_FILES], "name string, length long")
+    with pytest.raises(medallion.LandingError, match="size_mismatch"):
+        medallion.land(spark, raw_dir, bronze, sizes)
+    good = f"{tmp_path}/good"
+    shutil.copytree(f"{raw_dir}/bureau_balance.csv", good)
+    bad = tmp_path / "raw" / "bureau_balance.csv" / "part-bad.csv"
+    bad.write_text("SK_ID_BUREAU,MONTHS_BALANCE,STATUS\n1,twelve,C\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        medallion.land(spark, raw_dir, bronze)
+    bad.unlink()
+    medallion.land(spark, raw_dir, bronze)
+    shutil.rmtree(f"{bronze}/bureau")
+    read_layer(spark, bronze, "bureau_balance").write.parquet(f"{bronze}/bureau")
+    with pytest.raises(medallion.LandingError, match="bureau.CREDIT_ACTIVE: missing"):
+        medallion.build_silver(spark, bronze, silver)
+    medallion.land(spark, raw_dir, bronze)
+    medallion.build_silver(spark, bronze, silver)
+    features = read_layer(spark, silver, "bureau_features")
+    features.union(features.limit(1)).write.parquet(f"{tmp_path}/twice")
+    shutil.rmtree(f"{silver}/bureau_features")
+    shutil.copytree(f"{tmp_path}/twice", f"{silver}/bureau_features")
+    with pytest.raises(Exception, match="unique|cardinality"):
+        medallion.build_gold(spark, silver, f"{tmp_path}/staging", "medallion_bad", "loans")
+    assert not spark.catalog.databaseExists("medallion_bad")
+
+
 def test_pipeline(spark, raw_dir, tmp_path):
     bronze, silver = f"{tmp_path}/bronze", f"{tmp_path}/silver"
     medallion.land(spark, raw_dir, bronze)

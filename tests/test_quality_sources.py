@@ -116,6 +116,11 @@ def test_listing_and_fingerprint_of_landed_files(spark, tmp_path, rows):
         (tmp_path / folder / "t.csv").write_text("".join(f"row {i}\n" for i in order))
     source, landed = (manifest.list_files(spark, f"{tmp_path}/{d}") for d in ("src", "dst"))
     assert rows(source) == [("t.csv", 12)]
+    (tmp_path / "src" / "deep").mkdir()
+    (tmp_path / "src" / "deep" / "t.csv").write_text("row 9\n")
+    assert rows(manifest.list_files(spark, f"file://{tmp_path}/src/")) == [("deep/t.csv", 6), ("t.csv", 12)]
+    assert [r[0] for r in rows(manifest.content_fingerprint(spark, f"{tmp_path}/src"))] == ["deep/t.csv", "t.csv"]
+    (tmp_path / "src" / "deep" / "t.csv").unlink()
     assert manifest.landing_verdict(manifest.reconcile_manifest(source, landed)).first().success
     prints = [manifest.content_fingerprint(spark, f"{tmp_path}/{d}") for d in ("src", "dst")]
     assert rows(prints[0]) == rows(prints[1])

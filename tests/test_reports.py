@@ -31,9 +31,9 @@ def test_top_k_breaks_ties_and_skips_nulls(spark):
     df = spark.createDataFrame([(3, 5), (1, 5), (2, 9), (4, None)], "id int, v int").repartition(4)
     assert [r.id for r in top_k(df, "v", 2, tie_break=["id"]).collect()] == [2, 1]
     assert [r.id for r in top_k(df, "v", 2, desc=False, tie_break=["id"]).collect()] == [1, 3]
-    both = union_all(top_k(df, "v", 1), top_k(df, F.col("v"), 1, desc=False, tie_break=["id"]))
+    both = union_all(top_k(df, "v", 1, tie_break=["id"]), top_k(df, F.col("v"), 1, desc=False, tie_break=["id"]))
     assert [r.id for r in both.collect()] == [2, 1]
-    assert "TakeOrderedAndProject" in top_k(df, "v", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in top_k(df, "v", 2, tie_break=["id"])._jdf.queryExecution().executedPlan().toString()
 
 
 def labels(spark, col, values, schema):

@@ -13,8 +13,8 @@ from workload.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 NO_SQL = {
     "application_features_approx": "a sketch median depends on merge order",
-    "impute_median_approx": "a sketch median depends on merge order",
-    "preview": "any five rows",
+    "impute_median_approx": "a sketch median depends on merge order; approx_median_bound checks it",
+    "preview": "any five rows; preview_found checks them",
 }
 # Exchanges at scale, where nothing is small enough to broadcast.
 EXCHANGES = {

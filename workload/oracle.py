@@ -90,9 +90,9 @@ ROLE_SQL = {
         FROM dated_orders""",
     "balance": """
         SELECT l_orderkey AS "SK_ID_BUREAU",
-          least(year(l_shipdate) * 12 + month(l_shipdate) - 24024 + 12, 0)::INT AS "MONTHS_BALANCE",
+          (year(l_shipdate) * 12 + month(l_shipdate) - 24023)::INT AS "MONTHS_BALANCE",
           CASE WHEN l_quantity = 50 THEN NULL
-               WHEN l_returnflag = 'R' THEN least(l_linenumber, 5)::VARCHAR
+               WHEN l_returnflag = 'R' THEN (1 + (l_linenumber - 1) % 5)::VARCHAR
                WHEN l_returnflag = 'A' THEN '0' WHEN l_linestatus = 'O' THEN 'C' ELSE 'X' END AS "STATUS"
         FROM lineitem""",
     "prev": """
@@ -115,7 +115,8 @@ ROLE_SQL = {
         FROM dated_orders""",
     "inst": """
         SELECT l_orderkey AS "SK_ID_PREV", o_custkey AS "SK_ID_CURR",
-          CASE WHEN l_linenumber = 7 THEN 0e0 ELSE 1e0 END AS "NUM_INSTALMENT_VERSION",
+          CASE WHEN o_custkey % 7 = 0 THEN NULL WHEN o_custkey % 7 = 1 THEN 0e0 WHEN o_custkey % 7 = 2 THEN 2e0
+               WHEN l_linenumber = 7 THEN 0e0 ELSE 1e0 END AS "NUM_INSTALMENT_VERSION",
           l_linenumber AS "NUM_INSTALMENT_NUMBER", days::DOUBLE AS "DAYS_INSTALMENT",
           (CASE WHEN l_tax <> 0 THEN days + day(l_shipdate) - 8 END)::DOUBLE AS "DAYS_ENTRY_PAYMENT",
           CASE WHEN l_discount = 0 THEN 0e0 ELSE l_extendedprice * pi() END AS "AMT_INSTALMENT",
@@ -124,25 +125,27 @@ ROLE_SQL = {
                ELSE l_extendedprice * pi() END AS "AMT_PAYMENT"
         FROM lineitem JOIN dated_orders ON l_orderkey = o_orderkey""",
     "pos": """
-        SELECT user_id * 100 + hour(ts) AS "SK_ID_PREV", user_id AS "SK_ID_CURR",
-          (-least(floor(value / 4), 40))::INT AS "MONTHS_BALANCE", day(ts)::DOUBLE AS "CNT_INSTALMENT",
+        SELECT loan * 100 + hour(ts) AS "SK_ID_PREV", loan AS "SK_ID_CURR",
+          (-(floor(value / 4) % 97))::INT AS "MONTHS_BALANCE", day(ts)::DOUBLE AS "CNT_INSTALMENT",
           nullif(hour(ts), 0)::DOUBLE AS "CNT_INSTALMENT_FUTURE",
           CASE WHEN event_type IN ('view', 'click') THEN 'Active'
                WHEN event_type = 'purchase' THEN 'Completed' ELSE 'Signed' END AS "NAME_CONTRACT_STATUS",
           (CASE WHEN event_type = 'error' THEN day(ts) ELSE 0 END)::INT AS "SK_DPD", 0 AS "SK_DPD_DEF"
-        FROM events""",
+        FROM (SELECT *, user_id * 10 + hour(ts) % 10 AS loan FROM events)""",
     "card": """
-        SELECT user_id * 100 + day(ts) AS "SK_ID_PREV", user_id AS "SK_ID_CURR",
-          (-day(ts))::INT AS "MONTHS_BALANCE", pi() * value * 10 AS "AMT_BALANCE",
+        SELECT loan * 100 + day(ts) AS "SK_ID_PREV", loan AS "SK_ID_CURR",
+          (-day(ts))::INT AS "MONTHS_BALANCE",
+          pi() * value * CASE loan % 4 WHEN 0 THEN 10e0 WHEN 1 THEN 5e0 WHEN 2 THEN 2e0 ELSE 0.5e0 END AS "AMT_BALANCE",
           (CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN NULL ELSE 100 * (hour(ts) + 1) END)::INT
             AS "AMT_CREDIT_LIMIT_ACTUAL",
           CASE WHEN event_type = 'click' THEN pi() * value * 2 END AS "AMT_DRAWINGS_ATM_CURRENT",
-          CASE event_type WHEN 'purchase' THEN pi() * value * 20 WHEN 'view' THEN 0e0 WHEN 'click' THEN NULL
-               ELSE pi() * value END AS "AMT_DRAWINGS_CURRENT",
-          pi() * value * hour(ts) / 6e0 AS "AMT_PAYMENT_CURRENT",
+          CASE WHEN loan % 11 = 3 THEN 0e0 WHEN loan % 13 = 5 THEN pi() * value * 5000
+               WHEN event_type = 'purchase' THEN pi() * value * 20 WHEN event_type = 'view' THEN 0e0
+               WHEN event_type = 'click' THEN NULL ELSE pi() * value END AS "AMT_DRAWINGS_CURRENT",
+          CASE WHEN loan % 7 <> 2 THEN pi() * value * (loan % 5) * 2.5e0 END AS "AMT_PAYMENT_CURRENT",
           pi() * value * 1.5e0 AS "AMT_PAYMENT_TOTAL_CURRENT", 'Active' AS "NAME_CONTRACT_STATUS",
           (day(ts) % 5)::INT AS "SK_DPD", 0 AS "SK_DPD_DEF"
-        FROM events""",
+        FROM (SELECT *, user_id * 10 + hour(ts) % 10 AS loan FROM events)""",
     "view": """
         SELECT "SK_ID_CURR" AS "loanId", "TARGET" AS target, "NAME_CONTRACT_TYPE" AS "contractType",
           "CODE_GENDER" AS gender, "FLAG_OWN_CAR" AS "ownCar", "FLAG_OWN_REALTY" AS "ownRealty",
@@ -517,20 +520,24 @@ CLEAN_STRINGS = ["NAME_CONTRACT_TYPE", "CODE_GENDER", "NAME_INCOME_TYPE", "OCCUP
                  "NAME_TYPE_SUITE", "WEEKDAY_APPR_PROCESS_START"]
 
 
-def clean_app(digits: int) -> str:
+def clean_app(digits: int, test: bool = False) -> str:
     names = {"ageYears": "AGE_YEARS", "yearsEmployed": "YEARS_EMPLOYED", "unemployed": "FLAG_UNEMPLOYED"}
     numbers = ", ".join(r(f'"{c}"', names.get(c, c), digits) for c in CLEAN_NUMERIC)
-    return f"""SELECT "SK_ID_CURR", "TARGET", {cols(*CLEAN_STRINGS)}, {numbers}
-        FROM fixed WHERE NOT unlabelled"""
+    label = "" if test else '"TARGET", '
+    return f"""SELECT "SK_ID_CURR", {label}{cols(*CLEAN_STRINGS)}, {numbers}
+        FROM fixed WHERE {'unlabelled' if test else 'NOT unlabelled'}"""
 
 
 CLEAN_APP_CTES = {"d": derived_app(2), "fixed": imputed("d", CLEAN_NUMERIC, CLEAN_STRINGS)}
-INTEGRATED = with_roles(
-    "app bureau balance prev inst pos card",
-    " ".join(["SELECT * FROM base"] + [f'LEFT JOIN {t} USING ("SK_ID_CURR")'
-                                       for t in ("fa", "fb", "fc", "fd", "fe", "ff")]),
-    **C, **CLEAN_APP_CTES, base=clean_app(4), fa=BUREAU_CREDIT, fb=delinquency(4), fc=PREV_FEATURES,
-    fd=pos_loan(4), fe=INST_FEATURES, ff=CARD_FEATURES)
+
+
+def integrated(test: bool) -> str:
+    return with_roles(
+        "app bureau balance prev inst pos card",
+        " ".join(["SELECT * FROM base"] + [f'LEFT JOIN {t} USING ("SK_ID_CURR")'
+                                           for t in ("fa", "fb", "fc", "fd", "fe", "ff")]),
+        **C, **CLEAN_APP_CTES, base=clean_app(4, test), fa=BUREAU_CREDIT, fb=delinquency(4), fc=PREV_FEATURES,
+        fd=pos_loan(4), fe=INST_FEATURES, ff=CARD_FEATURES)
 
 
 # ---- reports ----------------------------------------------------------------
@@ -671,10 +678,10 @@ RECONCILED = """
     SELECT name, expected, landed,
       CASE WHEN landed IS NULL THEN 'missing' WHEN expected IS NULL THEN 'extra'
            WHEN expected <> landed THEN 'size_mismatch' ELSE 'ok' END AS status
-    FROM (SELECT doc_id::VARCHAR AS name, n_chars AS expected FROM documents
-          WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
-    FULL JOIN (SELECT doc_id::VARCHAR AS name, length(trim(text, ' ')) AS landed FROM documents
-          WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)) USING (name)"""
+    FROM (SELECT doc_id::VARCHAR AS name, n_chars AS expected FROM documents)
+    FULL JOIN (SELECT CASE WHEN source = 'src3' THEN 'moved/' ELSE '' END || doc_id AS name,
+            (length(text) + CASE WHEN source = 'src7' THEN 1 ELSE 0 END)::BIGINT AS landed
+          FROM documents WHERE source <> 'src5') USING (name)"""
 CONTACTS = '"flagMobil" + "empPhone" + "workPhone" + "contMobile" + "flagPhone" + "flagEmail"'
 
 ORACLES: dict[str, str] = {
@@ -708,12 +715,17 @@ ORACLES: dict[str, str] = {
     "installment_payment": with_roles("inst", INST_FEATURES, c_inst=CLEAN["inst"]),
     "credit_card": with_roles("card", CARD_FEATURES, c_card=CLEAN["card"]),
     "application_clean": with_roles("app", clean_app(6), **CLEAN_APP_CTES),
-    "integrated": INTEGRATED,
+    "integrated": integrated(False),
+    "integrated_test": integrated(True),
     "application_view": with_roles("view", """SELECT * REPLACE (round("annuityAmt", 6) AS "annuityAmt",
         round("creditAmt", 6) AS "creditAmt", round("incomeTotal", 6) AS "incomeTotal",
         round("goodsPrice", 6) AS "goodsPrice", round(ext1, 6) AS ext1) FROM view"""),
     "impute_median_exact": imputed_by('median("{}")'),
     "impute_median_rel0": imputed_by('quantile_disc("{}", 0.5)'),
+    "approx_median_bound": with_roles("app", " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count("{c}") AS n, true AS "within" FROM app""" for c in NUMERIC)),
+    "median_per_loan": with_roles("bureau", """SELECT "SK_ID_CURR", round(median("AMT_CREDIT_SUM"), 4) AS median_credit
+        FROM bureau WHERE "AMT_CREDIT_SUM" IS NOT NULL GROUP BY 1"""),
     "impute_mode": mode_fills(),
     "null_profile": null_profile(),
     "dedup_by_key": """SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity, l_extendedprice, l_partkey
@@ -731,11 +743,20 @@ ORACLES: dict[str, str] = {
     "key_audit": """SELECT count(*) AS n_rows, count(*) FILTER (l_orderkey = 0) AS n_null,
         count(nullif(l_orderkey, 0)) - count(DISTINCT nullif(l_orderkey, 0)) AS n_duplicate FROM lineitem""",
     "validate_suite": validation(VALIDATION_INPUT),
+    "validate_loaded_suite": validation(VALIDATION_INPUT),
     "validate_failing": validation("""SELECT nullif(l_orderkey, 0) AS "SK_ID_CURR",
         l_linenumber AS "TARGET", l_quantity AS "AGE_YEARS" FROM lineitem"""),
     "promote": VALIDATION_INPUT,
     "csv_roundtrip": with_roles("bureau", "SELECT * FROM bureau"),
     "publish_verify": "SELECT count(*) AS n FROM orders",
+    "published_content": with_roles("bureau", "SELECT * FROM bureau"),
+    "registered_views": with_roles("bureau", 'SELECT "CREDIT_TYPE", count(*) AS n_rows FROM bureau GROUP BY 1'),
+    "landed_files": "SELECT 0::BIGINT AS n_unmatched, 2 * count(*) AS n_rows FROM orders",
+    "schema_diff": """SELECT * FROM (VALUES
+        ('AMT_CREDIT_SUM', 'double', 'double', 'ok'), ('AMT_UNKNOWN', 'double', NULL, 'missing'),
+        ('CREDIT_ACTIVE', 'string', 'string', 'ok'), ('DAYS_CREDIT', NULL, 'int', 'added'),
+        ('SK_ID_CURR', 'string', 'bigint', 'type_changed')) t("column", expected_type, actual_type, status)""",
+    "preview_found": "SELECT least(5, count(*)) AS n_rows, least(5, count(*)) AS n_found FROM orders",
     "sql_over_views": with_roles("bureau balance", """
         SELECT "CREDIT_ACTIVE", sum(greatest(n, 1))::BIGINT AS n_rows, sum(s)::BIGINT AS n_status
         FROM (SELECT "CREDIT_ACTIVE", (SELECT count(*) FROM balance h
@@ -841,8 +862,8 @@ ORACLES: dict[str, str] = {
         GROUP BY target"""),
     "utilization_group": on_bureau(
         "CASE WHEN coalesce(\"AMT_CREDIT_SUM_LIMIT\", 0) <= 0 THEN 'Tidak ada limit' ELSE "
-        + steps('coalesce("AMT_CREDIT_SUM_DEBT" / "AMT_CREDIT_SUM_LIMIT", 0)', UTIL_BANDS,
-                "Rendah (<30%)", None) + " END AS util_group"),
+        + steps('"AMT_CREDIT_SUM_DEBT" / "AMT_CREDIT_SUM_LIMIT"', UTIL_BANDS,
+                "Rendah (<30%)") + " END AS util_group"),
     "overdue_severity": on_bureau("CASE WHEN \"AMT_CREDIT_MAX_OVERDUE\" > 0 THEN 'Pernah tunggakan'"
                                   " ELSE 'Tanpa tunggakan' END AS overdue_severity"),
     "update_recency": on_bureau("CASE WHEN \"DAYS_CREDIT_UPDATE\" >= -30 THEN '≤ 30 hari'"
@@ -885,11 +906,11 @@ ORACLES: dict[str, str] = {
         ("< -500", "Kurang Bayar Berat"), ("< 0", "Kurang Bayar Ringan"), ("= 0", "Sesuai")],
         "Lebih Bayar") + " AS payment_diff_bucket"),
     "version_group": on_groups("inst", INST_GROUPS, steps("version", [
-        ("= 0", "Versi 0"), ("= 1", "Versi 1")], "Versi 2+", None) + " AS max_version_group"),
+        ("= 0", "Versi 0"), ("= 1", "Versi 1")], "Versi 2+") + " AS max_version_group"),
     "card_utilization_bucket": on_groups("card", CARD_GROUPS, steps(
         "used", UTIL_BANDS, "Rendah (<30%)", "Tidak ada limit") + " AS utilization_bucket"),
     "pay_ratio_bucket": on_groups("card", CARD_GROUPS, """CASE
-        WHEN coalesce(draw, 0) <= 0 THEN 'Tidak Ada Penarikan'
+        WHEN coalesce(draw, 0) <= 0 THEN 'Tidak Ada Penarikan' WHEN pay IS NULL THEN 'Tidak ada data'
         WHEN pay / draw < 0.4e0 THEN 'Pembayaran Sangat Rendah'
         WHEN pay / draw < 1 THEN 'Pembayaran Sebagian' ELSE 'Pembayaran Penuh' END AS pay_ratio_bucket"""),
     "net_borrowing_bucket": on_groups("card", CARD_GROUPS, steps("borrowed", [

@@ -14,6 +14,7 @@ from creditloom.functions import (
     code_to_int, coalesce_key, days_to_years, flag, like_flag, ratio, sum_flags,
 )
 from creditloom.operators import cleaning, joins, projection, quality, reports
+from creditloom.operators.quantiles import exact_percentile
 from creditloom.plans import (
     application as a, bureau as b, cleaned, documented as k, exploration as j, gold as g,
     previous as p,
@@ -98,9 +99,12 @@ def delinquency(spark, sf):
                                                  _cleaned("bureau_balance")(spark, sf)), 6)
 
 
-def integrated(spark, sf):
-    base = a.application_clean(roles.application_train(spark, sf), "median")
-    return rounded(g.integrate(base, g.integrated_features(roles.raw(spark, sf))))
+def _integrated(split: str) -> Query:
+    def run(spark, sf):
+        source = roles.application_train if split == "train" else roles.application_test
+        base = a.application_clean(source(spark, sf), "median")
+        return rounded(g.integrate(base, g.integrated_features(roles.raw(spark, sf))))
+    return run
 
 
 # ---- cleaning ---------------------------------------------------------------
@@ -111,6 +115,24 @@ def _imputed(strategy: str, rel_err: float = 0.01) -> Query:
     return run
 
 
+def approx_median_bound(spark, sf):
+    """Whether the rank of each approximate median is within the error asked for."""
+    app = roles.application(spark, sf).select(NUMERIC)
+    fills = cleaning.fit_numeric(app, NUMERIC)
+    values = app.select([F.col(c).cast("double") for c in NUMERIC]).unpivot([], NUMERIC, "column", "v")
+    counts = values.where("v IS NOT NULL").join(fills, "column").groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.col("fill")).alias("below"),
+        F.count_if(F.col("v") <= F.col("fill")).alias("upto"))
+    return counts.select("column", "n", ((F.col("below") <= 0.51 * F.col("n"))
+                                         & (F.col("upto") >= 0.49 * F.col("n"))).alias("within"))
+
+
+def median_per_loan(spark, sf):
+    """Median order amount per customer: as many groups as customers."""
+    bureau = roles.bureau(spark, sf)
+    return rounded(exact_percentile(bureau, ["SK_ID_CURR"], "AMT_CREDIT_SUM", 0.5, "median_credit"))
+
+
 def impute_mode(spark, sf):
     app = roles.application(spark, sf).select("SK_ID_CURR", *STRINGS)
     return cleaning.impute_mode(app, STRINGS)
@@ -151,6 +173,18 @@ def validate_suite(spark, sf):
     return quality.validate(_validation_input(spark, sf), _suite())
 
 
+SUITE_JSON = """{"expectations": [
+  {"expectation_type": "expect_column_values_to_not_be_null", "kwargs": {"column": "SK_ID_CURR"}},
+  {"expectation_type": "expect_column_values_to_be_unique", "kwargs": {"column": "SK_ID_CURR"}},
+  {"expectation_type": "expect_column_values_to_be_in_set", "kwargs": {"column": "TARGET", "value_set": [0, 1]}},
+  {"expectation_type": "expect_column_values_to_be_between",
+   "kwargs": {"column": "AGE_YEARS", "min_value": 18, "max_value": 100}}]}"""
+
+
+def validate_loaded_suite(spark, sf):
+    return quality.validate(_validation_input(spark, sf), quality.load_suite(SUITE_JSON))
+
+
 def validate_failing(spark, sf):
     """Order lines break every expectation: NULL and repeated keys, odd labels, wide range."""
     lines = roles.table(spark, sf, "lineitem").selectExpr(
@@ -181,39 +215,85 @@ def layer_roundtrip(spark, sf):
     return rounded(p.card_risk(layers.read_layer(spark, layer, "card")), 6)
 
 
-def publish_verify(spark, sf):
+def _published(spark, sf, use, **options):
+    """What ``use`` returns for a table published for the moment; nothing of it stays."""
     path = scratch_path(spark, "publish")
     db = "check_" + path.rsplit("-", 1)[-1]
-    layers.publish_table(roles.bureau(spark, sf), db, "bureau", location=path)
-    return layers.verify_count(spark, f"{db}.bureau")
+    layers.publish_table(roles.bureau(spark, sf), db, "bureau", location=path, **options)
+    try:
+        return use(f"{db}.bureau")
+    finally:
+        spark.sql(f"DROP DATABASE {db} CASCADE")
+
+
+def publish_verify(spark, sf):
+    n = _published(spark, sf, lambda t: layers.verify_count(spark, t).first().n)
+    return spark.createDataFrame([(n,)], "n long")
+
+
+def published_content(spark, sf):
+    """The rows of a bucketed table, copied before it is dropped."""
+    copy = scratch_path(spark, "published")
+    return _published(spark, sf, lambda t: layers.stage_write(spark.table(t), copy), bucket_by=(4, "SK_ID_BUREAU"))
 
 
 def sql_over_views(spark, sf):
+    """The history is folded per record before the join, so no record fans out."""
     bureau, balance = _history(spark, sf, "bureau", "bureau_balance")
     return layers.query(
         spark,
-        "SELECT r.CREDIT_ACTIVE, COUNT(*) AS n_rows, COUNT(h.STATUS) AS n_status"
-        " FROM {records} r LEFT JOIN {history} h ON r.SK_ID_BUREAU = h.SK_ID_BUREAU"
+        "SELECT r.CREDIT_ACTIVE, SUM(COALESCE(h.n_rows, 1)) AS n_rows, SUM(COALESCE(h.n_status, 0)) AS n_status"
+        " FROM {records} r LEFT JOIN (SELECT SK_ID_BUREAU, COUNT(*) AS n_rows, COUNT(STATUS) AS n_status"
+        " FROM {history} GROUP BY SK_ID_BUREAU) h ON r.SK_ID_BUREAU = h.SK_ID_BUREAU"
         " GROUP BY r.CREDIT_ACTIVE",
         records=bureau, history=balance)
 
 
+def registered_views(spark, sf):
+    """The same over views registered by name."""
+    layers.register(spark, {"credit_records": roles.bureau(spark, sf)})
+    return spark.sql("SELECT CREDIT_TYPE, COUNT(*) AS n_rows FROM credit_records GROUP BY CREDIT_TYPE")
+
+
 def reconcile_manifest(spark, sf):
-    """Documents as files: the catalogued length against the length of the text landed.
+    """Documents as files: the catalogued lengths against what a faulty landing would hold.
 
-    The expected list holds the labelled documents, the landed one those with
-    a quality text, so every status can occur.
+    Every document is expected. In the landing one source was moved, one got
+    lost and one changed its size.
     """
     docs = roles.table(spark, sf, "documents")
-    labels = roles.table(spark, sf, "labels")
-    name = F.col("doc_id").cast("string").alias("name")
-    expected = docs.join(labels.where("quality = 1"), "doc_id", "left_semi").select(
-        name, F.col("n_chars").alias("length"))
-    landed = docs.join(labels.where("toxic = 0"), "doc_id", "left_semi").select(
-        name, F.length(F.trim("text")).cast("long").alias("length"))
+    expected = docs.select(F.col("doc_id").cast("string").alias("name"), F.col("n_chars").alias("length"))
+    landed = docs.where("NOT (source <=> 'src5')").selectExpr(
+        "CONCAT(IF(source <=> 'src3', 'moved/', ''), doc_id) AS name",
+        "CAST(LENGTH(text) + IF(source <=> 'src7', 1, 0) AS BIGINT) AS length")
     return manifest.reconcile_manifest(expected, landed)
 
 
+def landed_files(spark, sf):
+    """Files that this query writes: listing and fingerprint must name the same, with all lines."""
+    path = scratch_path(spark, "landed")
+    layers.export_csv(roles.bureau(spark, sf), f"{path}/bureau")
+    layers.export_csv(roles.previous_application(spark, sf), f"{path}/previous")
+    listed = manifest.list_files(spark, path)
+    printed = manifest.content_fingerprint(spark, path)
+    both = listed.join(printed, "name", "full")
+    return both.agg(F.count_if(F.col("length").isNull() | F.col("n_lines").isNull()).alias("n_unmatched"),
+                    (F.sum("n_lines") - F.count("n_lines")).alias("n_rows"))
+
+
+def schema_diff(spark, sf):
+    source = roles.bureau(spark, sf).select("SK_ID_CURR", "CREDIT_ACTIVE", "AMT_CREDIT_SUM", "DAYS_CREDIT")
+    return projection.schema_diff(source, struct(double="AMT_CREDIT_SUM AMT_UNKNOWN", string="CREDIT_ACTIVE SK_ID_CURR"))
+
+
+def preview_found(spark, sf):
+    """How many rows a preview has, and how many of them are rows of the table."""
+    bureau = roles.bureau(spark, sf)
+    rows = bureau.select("SK_ID_BUREAU", F.lit(1).alias("known"))
+    return (projection.preview(bureau, 5).join(rows, "SK_ID_BUREAU", "left")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.count("known").alias("n_found")))
+
+
 def landing_verdict(spark, sf):
     return manifest.landing_verdict(reconcile_manifest(spark, sf))
 
@@ -344,11 +424,14 @@ QUERIES: dict[str, Query] = {
         p.credit_card_features(_cleaned("credit_card_balance")(s, d))),
     "application_clean": lambda s, d: rounded(
         a.application_clean(roles.application_train(s, d), "median"), 6),
-    "integrated": integrated,
+    "integrated": _integrated("train"),
+    "integrated_test": _integrated("test"),
     "application_view": lambda s, d: rounded(roles.view(s, d), 6),
     "impute_median_exact": _imputed("median"),
     "impute_median_rel0": _imputed("approx_median", 0.0),
     "impute_median_approx": _imputed("approx_median", 0.01),
+    "approx_median_bound": approx_median_bound,
+    "median_per_loan": median_per_loan,
     "impute_mode": impute_mode,
     "null_profile": lambda s, d: cleaning.null_profile(roles.application(s, d)),
     "dedup_by_key": dedup_by_key,
@@ -356,12 +439,18 @@ QUERIES: dict[str, Query] = {
     "cardinality_check": cardinality_check,
     "key_audit": key_audit,
     "validate_suite": validate_suite,
+    "validate_loaded_suite": validate_loaded_suite,
     "validate_failing": validate_failing,
     "promote": promote,
     "csv_roundtrip": csv_roundtrip,
     "layer_roundtrip": layer_roundtrip,
     "publish_verify": publish_verify,
+    "published_content": published_content,
     "sql_over_views": sql_over_views,
+    "registered_views": registered_views,
+    "landed_files": landed_files,
+    "schema_diff": schema_diff,
+    "preview_found": preview_found,
     "reconcile_manifest": reconcile_manifest,
     "landing_verdict": landing_verdict,
     "align_schema": align_schema,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from creditloom.plans.application import application_view
 
 REFERENCE_DAY = "DATE '2001-12-01'"
-REFERENCE_MONTH = 2001 * 12 + 12
+REFERENCE_MONTH = 2001 * 12 + 11    # the latest month that ships
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,10 +136,10 @@ def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bureau_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey AS SK_ID_BUREAU",
-        f"LEAST(YEAR(l_shipdate) * 12 + MONTH(l_shipdate) - {REFERENCE_MONTH} + 12, 0)"
+        f"YEAR(l_shipdate) * 12 + MONTH(l_shipdate) - {REFERENCE_MONTH}"
         " AS MONTHS_BALANCE",
         "CASE WHEN l_quantity = 50 THEN NULL"
-        " WHEN l_returnflag = 'R' THEN CAST(LEAST(l_linenumber, 5) AS STRING)"
+        " WHEN l_returnflag = 'R' THEN CAST(1 + (l_linenumber - 1) % 5 AS STRING)"
         " WHEN l_returnflag = 'A' THEN '0' WHEN l_linestatus = 'O' THEN 'C' ELSE 'X' END AS STATUS",
     )
 
@@ -171,7 +171,8 @@ def installments_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
         "l_orderkey AS SK_ID_PREV", "o_custkey AS SK_ID_CURR",
-        "IF(l_linenumber = 7, 0D, 1D) AS NUM_INSTALMENT_VERSION",
+        "CASE o_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 0D WHEN 2 THEN 2D"
+        " ELSE IF(l_linenumber = 7, 0D, 1D) END AS NUM_INSTALMENT_VERSION",
         "l_linenumber AS NUM_INSTALMENT_NUMBER",
         "CAST(days AS DOUBLE) AS DAYS_INSTALMENT",
         "CAST(IF(l_tax = 0, NULL, days + DAY(l_shipdate) - 8) AS DOUBLE) AS DAYS_ENTRY_PAYMENT",
@@ -182,10 +183,15 @@ def installments_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events of ten hours are ten loans."""
+    return table(spark, sf_dir, "events").selectExpr("*", "user_id * 10 + HOUR(ts) % 10 AS loan")
+
+
 def pos_cash_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
-        "user_id * 100 + HOUR(ts) AS SK_ID_PREV", "user_id AS SK_ID_CURR",
-        "CAST(-LEAST(FLOOR(value / 4), 40) AS INT) AS MONTHS_BALANCE",
+    return _events(spark, sf_dir).selectExpr(
+        "loan * 100 + HOUR(ts) AS SK_ID_PREV", "loan AS SK_ID_CURR",
+        "CAST(-(FLOOR(value / 4) % 97) AS INT) AS MONTHS_BALANCE",
         "CAST(DAY(ts) AS DOUBLE) AS CNT_INSTALMENT",
         "CAST(NULLIF(HOUR(ts), 0) AS DOUBLE) AS CNT_INSTALMENT_FUTURE",
         "CASE WHEN event_type IN ('view', 'click') THEN 'Active'"
@@ -196,16 +202,17 @@ def pos_cash_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def credit_card_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
-        "user_id * 100 + DAY(ts) AS SK_ID_PREV", "user_id AS SK_ID_CURR",
+    return _events(spark, sf_dir).selectExpr(
+        "loan * 100 + DAY(ts) AS SK_ID_PREV", "loan AS SK_ID_CURR",
         "-DAY(ts) AS MONTHS_BALANCE",
-        "PI() * value * 10 AS AMT_BALANCE",
+        "PI() * value * CASE loan % 4 WHEN 0 THEN 10D WHEN 1 THEN 5D WHEN 2 THEN 2D ELSE 0.5D END AS AMT_BALANCE",
         "CAST(CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN NULL"
         " ELSE 100 * (HOUR(ts) + 1) END AS INT) AS AMT_CREDIT_LIMIT_ACTUAL",
         "IF(event_type = 'click', PI() * value * 2, NULL) AS AMT_DRAWINGS_ATM_CURRENT",
-        "CASE event_type WHEN 'purchase' THEN PI() * value * 20 WHEN 'view' THEN 0D WHEN 'click' THEN NULL"
-        " ELSE PI() * value END AS AMT_DRAWINGS_CURRENT",
-        "PI() * value * HOUR(ts) / 6D AS AMT_PAYMENT_CURRENT",
+        "CASE WHEN loan % 11 = 3 THEN 0D WHEN loan % 13 = 5 THEN PI() * value * 5000"
+        " WHEN event_type = 'purchase' THEN PI() * value * 20 WHEN event_type = 'view' THEN 0D"
+        " WHEN event_type = 'click' THEN NULL ELSE PI() * value END AS AMT_DRAWINGS_CURRENT",
+        "IF(loan % 7 = 2, NULL, PI() * value * (loan % 5) * 2.5D) AS AMT_PAYMENT_CURRENT",
         "PI() * value * 1.5D AS AMT_PAYMENT_TOTAL_CURRENT",
         "'Active' AS NAME_CONTRACT_STATUS",
         "DAY(ts) % 5 AS SK_DPD", "0 AS SK_DPD_DEF",
