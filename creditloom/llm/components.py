@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from creditloom.session import scratch_path
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared scratch folder and read it back: cuts lineage, survives executors."""
+EDGES_PER_FILE = 100_000
+
+
+def stored(frame: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write a frame to the shared scratch folder and read it back: cuts lineage, survives executors.
+
+    ``files`` bounds the number of files where the rows are known to be few for their number of tasks.
+    """
     path = scratch_path(frame.sparkSession, name)
+    frame = frame if files is None else frame.coalesce(files)
     frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
@@ -52,4 +59,4 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
         before = now
-        edges = stored(_star(_star(edges, large=True), large=False), "stars")
+        edges = stored(_star(_star(edges, large=True), large=False), "stars", 1 + now[0] // EDGES_PER_FILE)

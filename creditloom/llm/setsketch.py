@@ -3,20 +3,23 @@
 A sketch holds, for each of ``M`` registers, the smallest of exponentially
 distributed values of the shingles on an exponential scale: K = floor(1 - log_B x),
 truncated to 0..Q+1. Sketches merge by taking maxima, and equal registers grow
-likelier with the Jaccard similarity. Bands of ``ROWS`` registers propose pairs,
-the numbers of larger, equal and smaller registers give the maximum-likelihood
-similarity jointly with the known set sizes, and pairs that can reach the
-threshold are confirmed on their full shingle sets.
+likelier with the Jaccard similarity. Bands of ``ROWS`` registers propose pairs; the
+numbers of larger, equal and smaller registers give the maximum-likelihood
+similarity jointly with the known set sizes, and pairs that may reach the threshold
+are confirmed on their full shingle sets. At similarity 0.85 a pair shares a band of
+four registers with probability 0.52, so 20 bands miss it with probability 4e-7.
 
 Documents of equal sets form a class that is compared once, through its smallest
-id. Buckets of up to ``SMALL`` classes propose all their pairs; in a larger bucket
-every class is proposed with a few pivots only, which joins up a group of near
-copies with links in proportion to its size. What a larger bucket has left outside
-its main component afterwards is compared with all its other members, so no pair
-that shares a band is lost.
-
-At similarity 0.85 a pair shares a band of four registers with probability
-0.52, so 20 bands miss it with probability 4e-7.
+id. A bucket of classes that share a band doesn't propose all its pairs. Its pivot,
+the class with most company over all its bands, is compared with every other; for
+near copies of one text that is the text itself, and those links already join them
+up. A pair of two others matters only if one of them, the outsider, is not linked
+to the pivot. Such pairs are found by their sets: shingles are put in an order in
+which those that the pivot lacks come first, and two sets of similarity
+``percent`` must share one of their first few shingles in any order that both
+follow (how few depends on both sizes). What an outsider has of its own then
+decides whom it meets, so a large group of near copies does not meet itself, and
+no pair that shares a band is lost.
 
 Defined results: null and wordless texts have an empty set and no links. Rows of
 one id are one node. Rows without an id are never linked; their component is null
@@ -37,8 +40,8 @@ SHINGLE = 5
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
-SMALL = 6
-PIVOTS = 3
+#: Sizes within about 2 % are one class.
+SIZE_CLASSES = 50
 #: Standard deviations that an estimate may lie below the threshold.
 SLACK = 5.0
 
@@ -101,17 +104,34 @@ def _sketcher(batches):
                 high[full] = np.add.reduceat(T.mix(hashes ^ np.uint64(0xC3)), begins)
                 registers[full] = sketch(hashes, begins)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(part.low, n), pa.array(size, pa.int64()),
+                [batch.column("doc_id").slice(part.low, n), batch.column("ref").slice(part.low, n), pa.array(size, pa.int64()),
                  pa.array(low.view(np.int64)), pa.array(high.view(np.int64)),
                  pa.array([r.tobytes() for r in registers], pa.binary())],
-                names=["doc_id", "n_shingles", "low", "high", "registers"])
+                names=["doc_id", "ref", "n_shingles", "low", "high", "registers"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, a 128-bit hash of the set (``low``, ``high``) and ``registers``."""
-    return T.map_batches(
-        docs.select(F.col("doc_id").cast("long"), "text"), _sketcher,
-        "doc_id long, n_shingles long, low long, high long, registers binary")
+    """``doc_id``, a hash of the text (``ref``), ``n_shingles``, a 128-bit hash of the set and ``registers``."""
+    return T.map_batches(_referred(docs), _sketcher,
+                         "doc_id long, ref long, n_shingles long, low long, high long, registers binary")
+
+
+def _referred(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("ref"), "text")
+
+
+def _with_nodes(named: DataFrame) -> DataFrame:
+    """Rows with their ``node``: the id, or a number beyond all ids for the further texts of an id."""
+    several = (named.groupBy("doc_id").agg(F.min("ref").alias("first"), F.max("ref").alias("last"))
+               .where("first != last"))
+    further = (named.join(several, "doc_id").where("ref != first").select("doc_id", "ref").distinct()
+               .withColumn("number", F.monotonically_increasing_id()))
+    further = stored(further, "further")
+    if further.isEmpty():
+        return named.withColumn("node", F.col("doc_id"))
+    beyond = 1 + named.agg(F.max("doc_id")).first()[0]
+    return (named.join(further, ["doc_id", "ref"], "left")
+            .withColumn("node", F.coalesce(F.col("number") + beyond, "doc_id")).drop("number"))
 
 
 def _bander(batches):
@@ -136,99 +156,157 @@ def _likely(threshold: float):
                 continue
             found = estimate((a > b).sum(axis=1), (a < b).sum(axis=1), n_a, n_b)
             least = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / M)
-            yield batch.select(["a", "b"]).filter(pa.array(found >= least))
+            keep = np.array(batch.column("keep").to_pylist(), dtype=bool)
+            yield batch.select(["a", "b"]).filter(pa.array(keep | (found >= least)))
     return run
 
 
-def _verifier(percent: int):
+def _needed(n, m, percent: int):
+    """Least intersection of sets of n and m shingles that are similar enough."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def _size_class(n):
+    return np.floor(np.log(n) * SIZE_CLASSES).astype(np.int64)
+
+
+def _verifier(percent: int, leading: bool):
+    """Exact decision on pairs (a, b), and the leading shingles of b, those that a lacks first."""
     def run(batches):
         for batch in batches:
             # Both sides in one column, so that a slice holds the texts of whole pairs.
             both = [t for pair in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
                     for t in pair]
             n = batch.num_rows
-            keep = np.zeros(n, dtype=bool)
             step = max(1, int(n * T.SLICE_BYTES / max(1, batch.nbytes)))
             for low in range(0, n, step):
                 high = min(n, low + step)
                 texts = pa.array(both[2 * low:2 * high], pa.large_string())
                 part = next(T.slices(texts, 1 << 62))
                 rows, hashes = shingle_sets(part)
-                pair = rows // 2
-                size = np.bincount(pair, minlength=high - low)
-                joint, _ = T.distinct(pair, hashes)
-                union = np.bincount(joint, minlength=high - low)
-                # Shingles counted on both sides are the intersection.
-                keep[low:high] = 100 * (size - union) >= percent * union
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+                size = np.bincount(rows, minlength=2 * (high - low))
+                union = np.bincount(T.distinct(rows // 2, hashes)[0], minlength=high - low)
+                linked = 100 * (size[::2] + size[1::2] - union) >= percent * union
+                columns = [batch.column(c).slice(low, high - low) for c in ("a", "b")] + [pa.array(linked)]
+                if leading:
+                    at = np.concatenate([[0], np.cumsum(size)])
+                    first = []
+                    for i in range(high - low):
+                        pivot, own = hashes[at[2 * i]:at[2 * i + 1]], hashes[at[2 * i + 1]:at[2 * i + 2]]
+                        shared = np.isin(own, pivot, assume_unique=True)
+                        order = np.concatenate([own[~shared], own[shared]])
+                        first.append(order[:len(own) - -(-percent * len(own) // 100) + 1].tobytes())
+                    columns += [pa.array(size[1::2]), pa.array(first, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", *(["n", "leading"] if leading else [])])
+    return run
+
+
+def _probes(percent: int):
+    """Leading shingles of outsiders, for every class of sizes that they may meet someone in."""
+    def run(batches):
+        for batch in batches:
+            pivots, ids, sizes = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
+            for pivot, own, n, first in zip(pivots, ids, sizes.tolist(), batch.column("leading").to_pylist()):
+                shingle = np.frombuffer(first, dtype=np.int64)
+                least = max(1, -(-percent * n // 100))
+                classes, counts = [], []
+                for c in range(int(_size_class(least)), int(_size_class(max(1, 100 * n // percent))) + 1):
+                    m = max(least, int(np.floor(np.exp(c / SIZE_CLASSES))))  # not above the class's least size
+                    reach = min(len(shingle), n - _needed(n, m, percent) + 1)
+                    if reach > 0:
+                        classes.append(c)
+                        counts.append(reach)
+                position = np.concatenate([np.arange(k) for k in counts]) if counts else np.zeros(0, dtype=np.int64)
+                k = len(position)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(k, pivot)), pa.array(shingle[position]), pa.array(np.repeat(classes, counts).astype(np.int64)),
+                     pa.array(np.full(k, own)), pa.array(np.full(k, n)), pa.array(position.astype(np.int64))],
+                    names=["pivot", "shingle", "size_class", "x", "n", "i"])
     return run
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of class ids those whose sets are similar enough."""
-    def side(frame, s):
-        return frame.select(*(F.col(c).alias(f"{c}_{s}" if c != "id" else s) for c in frame.columns))
+def _index(batches):
+    """Leading shingles of all members under their class of sizes."""
+    for batch in batches:
+        pivots, ids, sizes = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
+        for pivot, own, n, first in zip(pivots, ids, sizes, batch.column("leading").to_pylist()):
+            shingle = np.frombuffer(first, dtype=np.int64)
+            k = len(shingle)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(k, pivot)), pa.array(shingle), pa.array(np.full(k, _size_class(n))),
+                 pa.array(np.full(k, own)), pa.array(np.full(k, n)), pa.array(np.arange(k))],
+                names=["pivot", "shingle", "size_class", "y", "m", "j"])
+
+
+def _sided(frame: DataFrame, s: str) -> DataFrame:
+    return frame.select(*(F.col(c).alias(f"{c}_{s}" if c != "id" else s) for c in frame.columns))
 
+
+def _sketched(pairs: DataFrame, classes: DataFrame, percent: int, keep: str = "false") -> DataFrame:
+    """The pairs (a, b) whose estimate leaves the threshold possible, or for which ``keep`` holds."""
     sized = classes.select("id", F.col("n_shingles").alias("n"), "registers")
-    compared = (pairs.join(side(sized, "a"), "a").join(side(sized, "b"), "b")
-              .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-              .select("a", "b", "n_a", "n_b", "registers_a", "registers_b"))
-    likely = stored(T.map_batches(compared, _likely(percent / 100), "a long, b long"), "likely")
-    needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stored(texts.join(needed, "id", "left_semi"), "texts")
-    both = (likely.join(side(texts, "a"), "a").join(side(texts, "b"), "b")
-            .select("a", "b", "text_a", "text_b"))
-    return T.map_batches(both, _verifier(percent), "a long, b long")
+    both = (pairs.join(_sided(sized, "a"), "a").join(_sided(sized, "b"), "b")
+            .where(f"{keep} OR 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+            .select("a", "b", F.expr(keep).alias("keep"), "n_a", "n_b", "registers_a", "registers_b"))
+    return T.map_batches(both, _likely(percent / 100), "a long, b long")
+
+
+def _with_texts(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``text_a`` and ``text_b`` of stored pairs; only the texts that occur in pairs are moved twice."""
+    needed = (pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+              .join(classes.select("id", "doc_id", "ref"), "id"))
+    texts = stored(texts.join(needed, ["doc_id", "ref"]).dropDuplicates(["doc_id", "ref"]).select("id", "text"), "texts")
+    return (pairs.join(_sided(texts, "a"), "a").join(_sided(texts, "b"), "b").select("a", "b", "text_a", "text_b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``."""
     every = stored(sketches(docs), "sketches")
-    named = every.where("doc_id IS NOT NULL AND n_shingles > 0")
-    equal = stored(named.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-    classes = (named.join(equal.select("id").distinct(), F.col("doc_id") == F.col("id"))
-               .groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers")))
+    named = _with_nodes(every.where("doc_id IS NOT NULL AND n_shingles > 0"))
+    equal = stored(named.groupBy("low", "high", "n_shingles").agg(F.min("node").alias("id")), "classes")
+    classes = (named.join(equal.select("id"), F.col("node") == F.col("id"))
+               .groupBy("id", "doc_id", "ref", "n_shingles").agg(F.max("registers").alias("registers")))
     classes = stored(classes, "representatives")
-    texts = (docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-             .join(classes.select("id"), "id", "left_semi"))
-
-    members = stored(T.map_batches(classes.select("id", "registers"), _bander, "band long, id long").distinct(),
-                     "bands")
-    order = [F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id") for i in range(PIVOTS)]
-    buckets = (members.groupBy("band").agg(F.count("*").alias("n"), *(F.min(o).alias(f"p{i}") for i, o in enumerate(order)))
-               .where("n > 1").select("band", "n", F.array_distinct(F.array(*(F.col(f"p{i}.id") for i in range(PIVOTS)))).alias("pivots")))
-    shared = stored(members.join(buckets, "band"), "shared")
-    small, large = shared.where(F.col("n") <= SMALL), shared.where(F.col("n") > SMALL)
-    pairs = (small.select("band", F.col("id").alias("a")).join(small.select("band", F.col("id").alias("b")), "band")
-             .where("a < b").select("a", "b")
-             .union(large.select("id", F.explode("pivots").alias("p")).where("id != p")
-                    .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))).distinct())
-    links = stored(_confirmed(pairs, classes, texts, percent), "links")
-    groups = components(links)
-
-    # What the pivots have left outside the main component of a large bucket.
-    labelled = (large.select("band", "id").join(groups, "id", "left")
-                .select("band", "id", F.coalesce("component", "id").alias("component")))
-    main = (labelled.groupBy("band", "component").count()
-            .groupBy("band").agg(F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("parts"))
-            .where("parts > 1").select("band", F.col("m.component").alias("main")))
-    open_buckets = stored(labelled.join(main, "band"), "open")
-    if not open_buckets.isEmpty():
-        outside = open_buckets.where("component != main").select("band", F.col("id").alias("x"), F.col("component").alias("cx"))
-        rest = (outside.join(open_buckets.select("band", "id", "component"), "band").where("cx != component")
-                .select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-                .join(pairs, ["a", "b"], "left_anti"))
-        rest = stored(rest, "rest")
-        links = links.union(stored(_confirmed(rest, classes, texts, percent), "links"))
-        groups = components(links)
+    texts = _referred(docs).where("text IS NOT NULL")
+
+    members = T.map_batches(classes.select("id", "registers"), _bander, "band long, id long").distinct()
+    members = stored(members, "bands")
+    counts = members.groupBy("band").agg(F.count("*").alias("company")).where("company > 1")
+    shared = stored(members.join(counts, "band"), "shared")
+    central = shared.groupBy("id").agg(F.sum("company").alias("company"))
+    pivots = (shared.select("band", "id").join(central, "id")
+              .groupBy("band").agg(F.max(F.struct("company", (-F.col("id")).alias("id"))).alias("p"))
+              .select("band", (-F.col("p.id")).alias("a")))
+    # A pair that has no third in any bucket needs no more than its estimate to be dropped.
+    pairs = (shared.join(pivots, "band").where("id != a").groupBy("a", F.col("id").alias("b"))
+             .agg(F.max("company").alias("company")))
+    pairs = stored(_sketched(pairs, classes, percent, "company > 2"), "pairs")
+    compared = stored(T.map_batches(_with_texts(pairs, classes, texts), _verifier(percent, True),
+                                    "a long, b long, linked boolean, n long, leading binary"), "compared")
+    links = compared.where("linked").select("a", "b")
+
+    outsiders = compared.where("NOT linked")
+    group = compared.groupBy("a").agg(F.count("*").alias("members"), F.count_if("linked").alias("n_linked"))
+    group = group.where("members > 1 AND n_linked < members").select("a")
+    probes = T.map_batches(outsiders.join(group, "a", "left_semi").select("a", "b", "n", "leading"), _probes(percent),
+                           "pivot long, shingle long, size_class long, x long, n long, i long")
+    index = T.map_batches(compared.join(group, "a", "left_semi").select("a", "b", "n", "leading"), _index,
+                          "pivot long, shingle long, size_class long, y long, m long, j long")
+    needed = f"ceil({percent} * (n + m) / {100 + percent})"
+    met = (probes.join(index, ["pivot", "shingle", "size_class"])
+           .where(f"x != y AND n - i >= {needed} AND m - j >= {needed}")
+           .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    met = stored(_sketched(met, classes, percent), "met")
+    if not met.isEmpty():
+        found = T.map_batches(_with_texts(met, classes, texts), _verifier(percent, False), "a long, b long, linked boolean")
+        links = links.union(found.where("linked").select("a", "b"))
 
     # An id with several texts is one node: it joins the classes of all of them.
     own = named.select("doc_id", "low", "high").join(equal.drop("n_shingles"), ["low", "high"])
-    leaders = own.groupBy("doc_id").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    leaders = stored(own.groupBy("doc_id").agg(F.min("id").alias("id"), F.max("id").alias("last")), "leaders")
     several = leaders.where("id != last").select("doc_id", F.col("id").alias("b"))
-    several = stored(own.join(several, "doc_id").where("id != b").select(F.col("id").alias("a"), "b"), "several")
-    if not several.isEmpty():
-        groups = components(links.union(several))
+    links = links.union(own.join(several, "doc_id").where("id != b").select("id", "b"))
+    groups = components(links)
     leaders = (leaders.join(groups, "id", "left")
                .select(F.col("doc_id").alias("_doc"), F.coalesce("component", "id").alias("component_id")))
     return every.join(leaders, F.col("doc_id") == F.col("_doc"), "left").select(
