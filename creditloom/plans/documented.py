@@ -147,6 +147,22 @@ def loan_histories(bureau: DataFrame, balance: DataFrame, app: DataFrame, *carry
     return with_label(per_loan, app, *carry)
 
 
+def history_means(histories: DataFrame) -> DataFrame:
+    """Means per label of the loans' balance histories."""
+    return compare_by_target(histories, {
+        "avg_history_length": F.col("history_length"), "avg_status_score": F.col("avg_status_score"),
+        "avg_recent_status": F.col("recent_status_avg")})
+
+
+def record_means(bureau: DataFrame, app: DataFrame) -> DataFrame:
+    """Means per label of what a loan's bureau records hold: overdue days, worst overdue, utilization."""
+    per_loan = bureau.groupBy(F.col("SK_ID_CURR").alias("loanId")).agg(
+        F.avg("CREDIT_DAY_OVERDUE").alias("days"), F.max("AMT_CREDIT_MAX_OVERDUE").alias("worst"),
+        F.avg(ratio("AMT_CREDIT_SUM_DEBT", "AMT_CREDIT_SUM_LIMIT", on_zero=None)).alias("used"))
+    return compare_by_target(with_label(per_loan, app), {
+        "avg_overdue_days": F.col("days"), "avg_max_overdue": F.col("worst"), "avg_utilization": F.col("used")})
+
+
 def delinquent_category(histories: DataFrame) -> DataFrame:
     months = F.col("delinquent_months")
     return target_rate(histories, {"delinquent_category": bucketize(
@@ -260,6 +276,24 @@ def installment_groups(installments: DataFrame, app: DataFrame) -> DataFrame:
     return with_label(per_loan, app)
 
 
+def installment_means(installments: DataFrame, app: DataFrame) -> DataFrame:
+    """Means per label of lateness, its share, the payment difference, versions and instalments."""
+    per_loan = installments.groupBy(F.col("SK_ID_CURR").alias("loanId")).agg(
+        F.avg(F.col("DAYS_ENTRY_PAYMENT") - F.col("DAYS_INSTALMENT")).alias("late_days"),
+        F.avg(F.when(F.col("DAYS_ENTRY_PAYMENT") > F.col("DAYS_INSTALMENT"), 1.0).otherwise(0.0)).alias("late_ratio"),
+        F.avg(F.col("AMT_PAYMENT") - F.col("AMT_INSTALMENT")).alias("payment_diff"),
+        F.avg("NUM_INSTALMENT_VERSION").alias("version"), F.count(F.lit(1)).alias("n"))
+    return compare_by_target(with_label(per_loan, app), {
+        "avg_late_days": F.col("late_days"), "avg_late_ratio": F.col("late_ratio"),
+        "avg_payment_diff": F.col("payment_diff"), "avg_version": F.col("version"),
+        "avg_installment_count": F.col("n")})
+
+
+def underpaid_rate(installments: DataFrame, app: DataFrame) -> DataFrame:
+    """Default rate by how often a loan was paid short."""
+    return target_rate(with_label(p.installment_risk(installments), app), ["inst_underpaid_freq"])
+
+
 def late_bucket(groups: DataFrame) -> DataFrame:
     """Between 5 and 6 days no bound is given: 6 to 15 days is the middle band."""
     late = F.col("late_days")
@@ -290,6 +324,15 @@ def card_groups(card: DataFrame, app: DataFrame) -> DataFrame:
     return with_label(per_loan, app)
 
 
+def card_means(card: DataFrame, app: DataFrame) -> DataFrame:
+    """Mean card utilization per label, over all months and in the latest one."""
+    used = p.card_utilization()
+    per_loan = card.groupBy(F.col("SK_ID_CURR").alias("loanId")).agg(
+        F.avg(used).alias("used"), F.avg(F.when(F.col("MONTHS_BALANCE") == -1, used)).alias("recent"))
+    return compare_by_target(with_label(per_loan, app), {
+        "avg_utilization": F.col("used"), "recent_utilization": F.col("recent")})
+
+
 def card_utilization_bucket(groups: DataFrame) -> DataFrame:
     u = F.col("utilization")
     return target_rate(groups, {"utilization_bucket": bucketize(

@@ -601,6 +601,14 @@ def on_histories(dims: str) -> str:
     return with_roles("view bureau balance", rate(dims, "hist"), hist=HISTORIES)
 
 
+def label_means(table: str, aggregates: str, digits: int = 4, **means: str) -> str:
+    """Means per label of per-loan aggregates."""
+    listed = ", ".join(r(f"avg({expr})", name, digits) for name, expr in means.items())
+    return with_roles(f"view {table}", f"SELECT target, {listed} FROM per_loan GROUP BY 1", per_loan=f"""
+        SELECT any_value(v.target) AS target, {aggregates} FROM {table} t
+        JOIN view v ON t."SK_ID_CURR" = v."loanId" GROUP BY v."loanId\"""")
+
+
 def on_groups(table: str, aggregates: str, dims: str) -> str:
     groups = (f'SELECT any_value(v.target) AS target, {aggregates} FROM {table} t'
               ' JOIN view v ON t."SK_ID_CURR" = v."loanId" GROUP BY v."loanId"')
@@ -860,6 +868,21 @@ ORACLES: dict[str, str] = {
           LEFT JOIN (SELECT "SK_ID_CURR", count(*) FILTER ("STATUS" IN ('1','2','3','4','5')) AS late
             FROM bureau JOIN balance USING ("SK_ID_BUREAU") GROUP BY 1) h ON "loanId" = h."SK_ID_CURR"
         GROUP BY target"""),
+    "history_means": with_roles("view bureau balance", f"""SELECT target, {r('avg(span)', 'avg_history_length', 6)},
+        {r('avg(overall)', 'avg_status_score', 6)}, {r('avg(recent)', 'avg_recent_status', 6)}
+        FROM hist GROUP BY 1""", hist=HISTORIES),
+    "record_means": label_means("bureau", """avg("CREDIT_DAY_OVERDUE") AS days, max("AMT_CREDIT_MAX_OVERDUE") AS worst,
+        avg("AMT_CREDIT_SUM_DEBT" / nullif("AMT_CREDIT_SUM_LIMIT", 0)) AS used""",
+        avg_overdue_days="days", avg_max_overdue="worst", avg_utilization="used"),
+    "installment_means": label_means("inst", """avg("DAYS_ENTRY_PAYMENT" - "DAYS_INSTALMENT") AS late_days,
+        count(*) FILTER ("DAYS_ENTRY_PAYMENT" > "DAYS_INSTALMENT") / count(*) AS late_ratio,
+        avg("AMT_PAYMENT" - "AMT_INSTALMENT") AS gap, avg("NUM_INSTALMENT_VERSION") AS version, count(*) AS n""",
+        avg_late_days="late_days", avg_late_ratio="late_ratio", avg_payment_diff="gap", avg_version="version",
+        avg_installment_count="n"),
+    "underpaid_rate": with_roles("view inst", rate("inst_underpaid_freq", "joined"),
+        joined=f'SELECT * FROM ({INST_RISK}) JOIN view USING ("loanId")'),
+    "card_means": label_means("card", f"""avg({_USED}) AS used,
+        avg({_USED}) FILTER ("MONTHS_BALANCE" = -1) AS recent""", avg_utilization="used", recent_utilization="recent"),
     "utilization_group": on_bureau(
         "CASE WHEN coalesce(\"AMT_CREDIT_SUM_LIMIT\", 0) <= 0 THEN 'Tidak ada limit' ELSE "
         + steps('"AMT_CREDIT_SUM_DEBT" / "AMT_CREDIT_SUM_LIMIT"', UTIL_BANDS,

@@ -486,6 +486,11 @@ QUERIES: dict[str, Query] = {
     "recommended_flags": _on_view(k.recommended_flags),
     "compare_by_target": compare_by_target,
     "bureau_means": bureau_means,
+    "history_means": _on_histories(k.history_means),
+    "record_means": _on("bureau", k.record_means, 4),
+    "installment_means": _on("installments_payments", k.installment_means, 4),
+    "underpaid_rate": _on("installments_payments", k.underpaid_rate),
+    "card_means": _on("credit_card_balance", k.card_means, 4),
     "utilization_group": _on_bureau(lambda: {"util_group": k.utilization_group()}),
     "overdue_severity": _on_bureau(lambda: {"overdue_severity": k.overdue_severity()}),
     "update_recency": _on_bureau(lambda: {"update_recency": k.update_recency()}),
