@@ -118,7 +118,7 @@ class Forest(NamedTuple):
 def grow(x: np.ndarray, y: np.ndarray) -> Forest:
     """Fit a forest to statistics and 0/1 labels."""
     ones, n = float(y.sum()), len(y)
-    start = float(np.log((ones + 1) / (n - ones + 1))) if n else 40.0
+    start = float(np.log((ones + 0.25) / (n - ones + 0.25))) if n else 40.0
     if ones in (0, n):
         none = np.zeros((0, 2 ** DEPTH - 1), dtype=np.int64)
         return Forest([], none, none, np.zeros((0, 2 ** DEPTH)), start)
