@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from creditloom.llm import (decontaminate, packing, quality_rules, quality_trees, secret_scan, setsketch,
-                            substring_dedup, token_store, toxicity, virtual_slots)
+                            substring_dedup, token_store, toxicity, twins, virtual_slots)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,4 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_training_order": _on_documents(token_store.digest),
 }
 
-ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.sql()}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": twins.DECONTAMINATE,
+    "op5_quality_rules": quality_rules.sql(),
+    "op6_substring_dedup": twins.SUBSTRING_DEDUP,
+    "op7_near_duplicates": twins.NEAR_DUPLICATES,
+}
