@@ -1,5 +1,5 @@
 from creditloom.functions.aggregates import (
-    all_flag, any_flag, avg_where, count_if, max_code, pct_share, share, span, weighted_avg,
+    all_flag, any_flag, avg_where, count_if, pct_share, share, span, weighted_avg,
 )
 from creditloom.functions.expressions import (
     between_flag, bucketize, coalesce_key, code_to_int, cross_profile, days_to_years, diff,
@@ -9,6 +9,6 @@ from creditloom.functions.expressions import (
 __all__ = [
     "all_flag", "any_flag", "avg_where", "between_flag", "bucketize", "coalesce_key",
     "code_to_int", "count_if", "cross_profile", "days_to_years", "diff", "flag", "like_flag",
-    "map_groups", "max_code", "pct_share", "ratio", "score_conditions", "share", "span",
+    "map_groups", "pct_share", "ratio", "score_conditions", "share", "span",
     "sum_flags", "weighted_avg",
 ]

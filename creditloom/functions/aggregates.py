@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from creditloom.functions.expressions import ColumnLike, _c, code_to_int, flag, ratio
+from creditloom.functions.expressions import ColumnLike, _c, flag, ratio
 
 
 def count_if(pred: Column) -> Column:
@@ -50,10 +50,6 @@ def pct_share(pred: Column, digits: int = 2) -> Column:
     return F.round(F.lit(100.0) * share(pred), digits)
 
 
-def max_code(col: ColumnLike, valid=None, other: int | None = 0) -> Column:
-    return F.max(code_to_int(col, valid, other))
-
-
 def weighted_avg(value: ColumnLike, weight: ColumnLike) -> Column:
     """Average of ``value`` over rows that each stand for ``weight`` rows.
 

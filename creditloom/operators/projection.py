@@ -16,9 +16,18 @@ def rename_project(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.select([F.col(src).alias(dst) for src, dst in names.items()])
 
 
-def encode_flag(df: DataFrame, cols: Iterable[str], true: str = "Y") -> DataFrame:
-    """Yes/no strings to 1/0; NULL and anything else is 0. Absent columns are skipped."""
-    return df.withColumns({c: flag(F.col(c) == true).cast("int") for c in cols if c in df.columns})
+def present(df: DataFrame, cols: Iterable[str], partial: bool) -> list[str]:
+    """The columns that the frame has; missing ones are an error unless ``partial``."""
+    have = set(df.columns)
+    missing = [c for c in cols if c not in have]
+    if missing and not partial:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    return [c for c in cols if c in have]
+
+
+def encode_flag(df: DataFrame, cols: Sequence[str], true: str = "Y", partial: bool = False) -> DataFrame:
+    """Yes/no strings to 1/0; NULL and anything else is 0."""
+    return df.withColumns({c: flag(F.col(c) == true).cast("int") for c in present(df, cols, partial)})
 
 
 def sentinel(df: DataFrame, col: str, value, repl, years, indicator: str, out: str) -> DataFrame:
@@ -27,10 +36,10 @@ def sentinel(df: DataFrame, col: str, value, repl, years, indicator: str, out: s
     return df.withColumns({out: F.when(hit, F.lit(repl)).otherwise(years), indicator: flag(hit)})
 
 
-def fill_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
-    """Per-column replacement of NULL; columns the frame lacks are skipped."""
-    present = {c: v for c, v in defaults.items() if c in df.columns}
-    return df.na.fill(present) if present else df
+def fill_defaults(df: DataFrame, defaults: Mapping[str, object], partial: bool = False) -> DataFrame:
+    """Per-column replacement of NULL."""
+    fills = {c: defaults[c] for c in present(df, list(defaults), partial)}
+    return df.na.fill(fills) if fills else df
 
 
 def tag(df: DataFrame, name: str, value) -> DataFrame:

@@ -9,7 +9,7 @@ from creditloom.functions import (
     between_flag, cross_profile, days_to_years, flag, map_groups, ratio, score_conditions,
 )
 from creditloom.operators.cleaning import dedup_by_key, impute_mode, impute_numeric
-from creditloom.operators.projection import columns_by_type, encode_flag, rename_project, sentinel
+from creditloom.operators.projection import columns_by_type, encode_flag, present, rename_project, sentinel
 from creditloom.schemas import BUILDING_MEASURES, BUILDING_STATISTICS, DOCUMENT_NUMBERS
 
 KEY, LABEL = "SK_ID_CURR", "TARGET"
@@ -168,12 +168,12 @@ def view_names() -> dict[str, str]:
     return names
 
 
-def application_view(df: DataFrame) -> DataFrame:
-    """Raw applications under analyst names; source columns may be a subset."""
+def application_view(df: DataFrame, partial: bool = False) -> DataFrame:
+    """Raw applications under analyst names; ``partial`` allows some of the source columns."""
     years = {"ageYears": days_to_years("DAYS_BIRTH", mode="floor"),
              "isUnemployed": flag(F.col("DAYS_EMPLOYED") == NOT_EMPLOYED),
              "yearsEmployed": F.when(F.col("DAYS_EMPLOYED") == NOT_EMPLOYED, 0.0).otherwise(
                  days_to_years("DAYS_EMPLOYED", digits=1))}
     derived = df.withColumns(years)
-    have = set(derived.columns)
-    return rename_project(derived, {s: d for s, d in view_names().items() if s in have})
+    names = view_names()
+    return rename_project(derived, {c: names[c] for c in present(derived, list(names), partial)})

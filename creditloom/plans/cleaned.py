@@ -34,6 +34,6 @@ def default_fills(table: str) -> dict[str, object]:
     return fills | SPECIAL.get(table, {})
 
 
-def clean_table(df: DataFrame, table: str) -> DataFrame:
-    """Fill, then drop repeated rows; columns the frame lacks are skipped."""
-    return distinct_rows(fill_defaults(df, default_fills(table)))
+def clean_table(df: DataFrame, table: str, partial: bool = False) -> DataFrame:
+    """Fill, then drop repeated rows; ``partial`` allows a frame with some of the columns."""
+    return distinct_rows(fill_defaults(df, default_fills(table), partial))

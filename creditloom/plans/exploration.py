@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.functions import bucketize, count_if, diff, pct_share, ratio, sum_flags
+from creditloom.operators.projection import tag
 from creditloom.operators.quantiles import exact_percentile
 from creditloom.operators.reports import target_rate, top_k, union_all
 from creditloom.plans.application import occupation_risk
@@ -105,7 +106,7 @@ def gap_extremes_combined(app: DataFrame, k: int = 10, with_target: bool = False
     gaps = gaps.drop("target")
 
     def side(label: str, desc: bool) -> DataFrame:
-        return top_k(gaps, "diff", k, desc, tie_break=["loanId"]).select(F.lit(label).alias("case_type"), "*")
+        return tag(top_k(gaps, "diff", k, desc, tie_break=["loanId"]), "case_type", label)
 
     return union_all(side(POSITIVE_GAP, True), side(NEGATIVE_GAP, False))
 

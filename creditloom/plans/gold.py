@@ -41,10 +41,10 @@ def integrate(base: DataFrame, features: list[DataFrame]) -> DataFrame:
     return fan_in(base, features, "SK_ID_CURR")
 
 
-def integrated_features(raw: Mapping[str, DataFrame]) -> list[DataFrame]:
+def integrated_features(raw: Mapping[str, DataFrame], partial: bool = False) -> list[DataFrame]:
     """The six feature tables, each from its cleaned raw table."""
     return list(features_from_cleaned(
-        {n: cleaned.clean_table(raw[n], n) for n in cleaned.KEPT}).values())
+        {n: cleaned.clean_table(raw[n], n, partial) for n in cleaned.KEPT}).values())
 
 
 def features_from_cleaned(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:

@@ -80,22 +80,26 @@ def test_conditional_aggregates(spark, one):
     assert empty == {"n": 0, "s": 0.0, "a": None}
 
 
-def test_max_code_and_weighted_average(spark, one):
+def test_highest_code_and_weighted_average(spark, one):
     df = spark.createDataFrame([("C", 1.0, 2), ("4", 4.0, 1), (None, None, 7)],
                                "s string, v double, w int")
-    got = one(df.agg(f.max_code("s", ["4"]).alias("m"), f.weighted_avg("v", "w").alias("a")))
+    got = one(df.agg(F.max(f.code_to_int("s", ["4"])).alias("m"), f.weighted_avg("v", "w").alias("a")))
     assert got == {"m": 4, "a": 2.0}
 
 
 def test_projection_operators(spark, rows):
     df = spark.createDataFrame([("Y", 365243, 1), ("N", -730, 2), (None, None, 3)],
                                "car string, days int, id int")
-    flags = projection.encode_flag(df, ["car", "absent"])
+    flags = projection.encode_flag(df, ["car", "absent"], partial=True)
+    with pytest.raises(ValueError, match="absent"):
+        projection.encode_flag(df, ["car", "absent"])
+    with pytest.raises(ValueError, match="absent"):
+        projection.fill_defaults(df, {"absent": 1})
     assert rows(flags.select("id", "car")) == [(1, 1), (2, 0), (3, 0)]
     out = projection.sentinel(df, "days", 365243, 0.0, f.days_to_years("days", digits=2), "hit", "years")
     assert rows(out.select("id", "years", "hit")) == [(1, 0.0, 1), (2, 2.0, 0), (3, None, 0)]
     assert projection.rename_project(df, {"id": "key"}).columns == ["key"]
-    filled = projection.fill_defaults(df, {"car": "N", "days": 0, "absent": 1})
+    filled = projection.fill_defaults(df, {"car": "N", "days": 0, "absent": 1}, partial=True)
     assert rows(filled.select("id", "car", "days"))[2] == (3, "N", 0)
     assert rows(projection.tag(df, "t", "x").select("t").distinct()) == [("x",)]
     assert projection.preview(df, 2).count() == 2

@@ -86,7 +86,7 @@ def gold_layered(spark, sf):
 
 def _cleaned(name: str) -> Query:
     def run(spark, sf):
-        return cleaned.clean_table(roles.HISTORY[name](spark, sf), name)
+        return cleaned.clean_table(roles.HISTORY[name](spark, sf), name, partial=True)
     return run
 
 
@@ -103,7 +103,7 @@ def _integrated(split: str) -> Query:
     def run(spark, sf):
         source = roles.application_train if split == "train" else roles.application_test
         base = a.application_clean(source(spark, sf), "median")
-        return rounded(g.integrate(base, g.integrated_features(roles.raw(spark, sf))))
+        return rounded(g.integrate(base, g.integrated_features(roles.raw(spark, sf), partial=True)))
     return run
 
 
@@ -330,7 +330,7 @@ def sentinel_flags(spark, sf):
     out = projection.sentinel(app, "DAYS_EMPLOYED", a.NOT_EMPLOYED, 0.0,
                               days_to_years("DAYS_EMPLOYED", digits=2), "isUnemployed",
                               "yearsEmployed")
-    out = projection.encode_flag(out, ["FLAG_OWN_CAR", "FLAG_OWN_REALTY", "NOT_THERE"])
+    out = projection.encode_flag(out, ["FLAG_OWN_CAR", "FLAG_OWN_REALTY", "NOT_THERE"], partial=True)
     return out.select("SK_ID_CURR", "yearsEmployed", "isUnemployed", "FLAG_OWN_CAR",
                       "FLAG_OWN_REALTY")
 
@@ -338,7 +338,7 @@ def sentinel_flags(spark, sf):
 def fill_defaults(spark, sf):
     prev = roles.previous_application(spark, sf).select(
         "SK_ID_PREV", "AMT_DOWN_PAYMENT", "CODE_REJECT_REASON", "NFLAG_INSURED_ON_APPROVAL")
-    return projection.fill_defaults(prev, cleaned.default_fills("previous_application"))
+    return projection.fill_defaults(prev, cleaned.default_fills("previous_application"), partial=True)
 
 
 # ---- reports ----------------------------------------------------------------

@@ -94,7 +94,7 @@ def application(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return application_view(application(spark, sf_dir))
+    return application_view(application(spark, sf_dir), partial=True)
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
