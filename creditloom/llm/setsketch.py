@@ -18,8 +18,10 @@ to the pivot. Such pairs are found by their sets: shingles are put in an order i
 which those that the pivot lacks come first, and two sets of similarity
 ``percent`` must share one of their first few shingles in any order that both
 follow (how few depends on both sizes). What an outsider has of its own then
-decides whom it meets, so a large group of near copies does not meet itself, and
-no pair that shares a band is lost.
+decides whom it meets. Bitmaps of what each set lacks of the pivot and has beyond it
+bound the intersection from above where they meet, which leaves out chance meetings
+of near copies. So a large group does not meet itself, and no pair that shares a band
+is lost.
 
 Defined results: null and wordless texts have an empty set and no links. Rows of
 one id are one node. Rows without an id are never linked; their component is null
@@ -170,8 +172,23 @@ def _size_class(n):
     return np.floor(np.log(n) * SIZE_CLASSES).astype(np.int64)
 
 
+#: Of a set against its pivot: the pivot's size, the number of shingles beyond it, and
+#: bitmaps of 128 bits of the shingles lacked and of those beyond it.
+AGAINST = ("p", "beyond", "lack0", "lack1", "more0", "more1")
+
+
+def _bitmap(hashes: np.ndarray) -> list[int]:
+    words = [0, 0]
+    for bit in np.unique(hashes >> np.uint64(57)).tolist():
+        words[bit >> 6] |= 1 << (bit & 63)
+    return [w - (1 << 64) if w >> 63 else w for w in words]
+
+
 def _verifier(percent: int, leading: bool):
-    """Exact decision on pairs (a, b), and the leading shingles of b, those that a lacks first."""
+    """Exact decision on pairs (a, b); with ``leading`` also what the search for the rest needs of b.
+
+    That is its size, ``AGAINST`` the pivot a, and its leading shingles, those that a lacks first.
+    """
     def run(batches):
         for batch in batches:
             # Both sides in one column, so that a slice holds the texts of whole pairs.
@@ -190,52 +207,56 @@ def _verifier(percent: int, leading: bool):
                 columns = [batch.column(c).slice(low, high - low) for c in ("a", "b")] + [pa.array(linked)]
                 if leading:
                     at = np.concatenate([[0], np.cumsum(size)])
-                    first = []
+                    first, against = [], []
                     for i in range(high - low):
                         pivot, own = hashes[at[2 * i]:at[2 * i + 1]], hashes[at[2 * i + 1]:at[2 * i + 2]]
                         shared = np.isin(own, pivot, assume_unique=True)
                         order = np.concatenate([own[~shared], own[shared]])
+                        lacked = pivot[~np.isin(pivot, own, assume_unique=True)]
+                        against.append([len(pivot), int((~shared).sum()), *_bitmap(lacked), *_bitmap(own[~shared])])
                         first.append(order[:len(own) - -(-percent * len(own) // 100) + 1].tobytes())
                     columns += [pa.array(size[1::2]), pa.array(first, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", *(["n", "leading"] if leading else [])])
+                    columns += [pa.array(c, pa.int64()) for c in zip(*against)]
+                yield pa.RecordBatch.from_arrays(
+                    columns, names=["a", "b", "linked", *(["n", "leading", *AGAINST] if leading else [])])
     return run
 
 
-def _probes(percent: int):
-    """Leading shingles of outsiders, for every class of sizes that they may meet someone in."""
+def _entries(percent: int | None):
+    """Leading shingles of sets, one row each, under the size classes in which they may meet someone.
+
+    Without ``percent`` the set's own class (to be met), else all classes that it may look into, each
+    with as many of the shingles as the least size in it asks for.
+    """
     def run(batches):
         for batch in batches:
-            pivots, ids, sizes = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
-            for pivot, own, n, first in zip(pivots, ids, sizes.tolist(), batch.column("leading").to_pylist()):
-                shingle = np.frombuffer(first, dtype=np.int64)
-                least = max(1, -(-percent * n // 100))
-                classes, counts = [], []
-                for c in range(int(_size_class(least)), int(_size_class(max(1, 100 * n // percent))) + 1):
-                    m = max(least, int(np.floor(np.exp(c / SIZE_CLASSES))))  # not above the class's least size
-                    reach = min(len(shingle), n - _needed(n, m, percent) + 1)
-                    if reach > 0:
-                        classes.append(c)
-                        counts.append(reach)
-                position = np.concatenate([np.arange(k) for k in counts]) if counts else np.zeros(0, dtype=np.int64)
-                k = len(position)
+            known = [batch.column(c).to_numpy() for c in ("a", "b", "n", *AGAINST)]
+            for row, first in zip(zip(*known), batch.column("leading").to_pylist()):
+                shingle, n = np.frombuffer(first, dtype=np.int64), int(row[2])
+                classes, counts = _reach(n, len(shingle), percent)
+                position = np.concatenate([np.arange(k) for k in counts] or [np.zeros(0, dtype=np.int64)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, pivot)), pa.array(shingle[position]), pa.array(np.repeat(classes, counts).astype(np.int64)),
-                     pa.array(np.full(k, own)), pa.array(np.full(k, n)), pa.array(position.astype(np.int64))],
-                    names=["pivot", "shingle", "size_class", "x", "n", "i"])
+                    [pa.array(shingle[position]), pa.array(np.repeat(classes, counts).astype(np.int64)),
+                     pa.array(position.astype(np.int64)), *(pa.array(np.full(len(position), v)) for v in row)],
+                    names=["shingle", "size_class", "i", "pivot", "id", "n", *AGAINST])
     return run
 
 
-def _index(batches):
-    """Leading shingles of all members under their class of sizes."""
-    for batch in batches:
-        pivots, ids, sizes = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
-        for pivot, own, n, first in zip(pivots, ids, sizes, batch.column("leading").to_pylist()):
-            shingle = np.frombuffer(first, dtype=np.int64)
-            k = len(shingle)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, pivot)), pa.array(shingle), pa.array(np.full(k, _size_class(n))),
-                 pa.array(np.full(k, own)), pa.array(np.full(k, n)), pa.array(np.arange(k))],
-                names=["pivot", "shingle", "size_class", "y", "m", "j"])
+_ENTRIES = "shingle long, size_class long, i long, pivot long, id long, n long, " + ", ".join(f"{c} long" for c in AGAINST)
+
+
+def _reach(n: int, leading: int, percent: int | None) -> tuple[list[int], list[int]]:
+    """Size classes, and how many leading shingles to show in each."""
+    if percent is None:
+        return [int(_size_class(n))], [leading]
+    least, classes, counts = max(1, -(-percent * n // 100)), [], []
+    for c in range(int(_size_class(least)), int(_size_class(max(1, 100 * n // percent))) + 1):
+        m = max(least, int(np.floor(np.exp(c / SIZE_CLASSES))))  # not above the class's least size
+        reach = min(leading, n - int(_needed(n, m, percent)) + 1)
+        if reach > 0:
+            classes.append(c)
+            counts.append(reach)
+    return classes, counts
 
 
 def _sided(frame: DataFrame, s: str) -> DataFrame:
@@ -282,20 +303,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
              .agg(F.max("company").alias("company")))
     pairs = stored(_sketched(pairs, classes, percent, "company > 2"), "pairs")
     compared = stored(T.map_batches(_with_texts(pairs, classes, texts), _verifier(percent, True),
-                                    "a long, b long, linked boolean, n long, leading binary"), "compared")
+                                    "a long, b long, linked boolean, n long, leading binary, "
+                                    + ", ".join(f"{c} long" for c in AGAINST)), "compared")
     links = compared.where("linked").select("a", "b")
 
     outsiders = compared.where("NOT linked")
     group = compared.groupBy("a").agg(F.count("*").alias("members"), F.count_if("linked").alias("n_linked"))
     group = group.where("members > 1 AND n_linked < members").select("a")
-    probes = T.map_batches(outsiders.join(group, "a", "left_semi").select("a", "b", "n", "leading"), _probes(percent),
-                           "pivot long, shingle long, size_class long, x long, n long, i long")
-    index = T.map_batches(compared.join(group, "a", "left_semi").select("a", "b", "n", "leading"), _index,
-                          "pivot long, shingle long, size_class long, y long, m long, j long")
-    needed = f"ceil({percent} * (n + m) / {100 + percent})"
-    met = (probes.join(index, ["pivot", "shingle", "size_class"])
-           .where(f"x != y AND n - i >= {needed} AND m - j >= {needed}")
-           .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    wanted = ["a", "b", "n", "leading", *AGAINST]
+    probes = T.map_batches(outsiders.join(group, "a", "left_semi").select(wanted), _entries(percent), _ENTRIES)
+    index = T.map_batches(compared.join(group, "a", "left_semi").select(wanted), _entries(None), _ENTRIES)
+    needed = f"ceil({percent} * (x.n + y.n) / {100 + percent})"
+    in_pivot = "x.p - bit_count(x.lack0 | y.lack0) - bit_count(x.lack1 | y.lack1)"
+    beyond = "least({0}, {1})".format(*(
+        f"{s}.beyond - bit_count({s}.more0 & ~{t}.more0) - bit_count({s}.more1 & ~{t}.more1)" for s, t in ("xy", "yx")))
+    met = (probes.alias("x").join(index.alias("y"), F.expr(
+        f"x.pivot = y.pivot AND x.shingle = y.shingle AND x.size_class = y.size_class AND x.id != y.id"
+        f" AND x.n - x.i >= {needed} AND y.n - y.i >= {needed} AND {in_pivot} + {beyond} >= {needed}"))
+        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     met = stored(_sketched(met, classes, percent), "met")
     if not met.isEmpty():
         found = T.map_batches(_with_texts(met, classes, texts), _verifier(percent, False), "a long, b long, linked boolean")
