@@ -9,6 +9,7 @@ from a running sum over the word hashes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -192,7 +193,8 @@ def map_batches(frame, function, schema):
     The bound is a session setting; a smaller one that is already there is kept.
     """
     conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    current = int(str(conf.get(key)).lower().removesuffix("b"))
+    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)i?b?", str(conf.get(key)).strip().lower()).groups()
+    current = int(number) << 10 * " kmgt".index(unit or " ")
     if current <= 0 or current > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return frame.mapInArrow(function, schema)
