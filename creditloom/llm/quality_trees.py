@@ -167,9 +167,9 @@ def held_out(modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held, max_rows: int,
-                    max_bytes: int) -> list[tuple[int, str]]:
-    """(label, text) of a bounded sample of labelled documents outside the held-out fold."""
+def sample_frame(docs: DataFrame, labels: DataFrame, label: str, held, max_rows: int,
+                 max_bytes: int) -> DataFrame:
+    """``doc_id``, label ``y`` and ``text`` of a bounded sample of labelled documents outside the held-out fold."""
     spark = docs.sparkSession
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     voted = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held)
@@ -184,17 +184,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held, max_ro
                    .select("doc_id", "n", F.xxhash64("doc_id").alias("h")).collect())
     fits = np.cumsum([s[2] for s in sizes]) <= max_bytes
     kept = {s[1] for s, ok in zip(sizes, fits) if ok}
-    if not kept:
-        return []
     ids = spark.createDataFrame([(i,) for i in sorted(kept)], "doc_id long")
-    rows = met.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
-    return [(r.y, r.text) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
+    return met.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held, max_rows: int,
+                    max_bytes: int) -> list[tuple[int, str]]:
+    """(label, text) of the sample, by id."""
+    rows = sample_frame(docs, labels, label, held, max_rows, max_bytes).collect()
+    return [(r.y, r.text) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Forest:
-    rows = labelled_sample(docs, labels, "quality", held_out(4, 2), max_rows, max_bytes)
-    x = [statistics(part) for part in T.slices(pa.array([t for _, t in rows], pa.large_string()))]
-    return grow(np.concatenate(x) if x else np.zeros((0, len(NAMES))), np.array([y for y, _ in rows], dtype=np.float64))
+    """A forest learnt from the sample; only its statistics come to the driver, not its texts."""
+    def run(batches):
+        for batch in batches:
+            for part in T.slices(batch.column("text")):
+                rows = batch.slice(part.low, part.high - part.low)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), rows.column("y"), pa.array(list(statistics(part)), pa.list_(pa.float64()))],
+                    names=["doc_id", "y", "x"])
+    sample = sample_frame(docs, labels, "quality", held_out(4, 2), max_rows, max_bytes)
+    rows = T.map_batches(sample.select("doc_id", "y", "text"), run, "doc_id long, y int, x array<double>").collect()
+    rows = sorted(rows, key=lambda r: r.doc_id)
+    x = np.array([r.x for r in rows]).reshape(len(rows), len(NAMES))
+    return grow(x, np.array([r.y for r in rows], dtype=np.float64))
 
 
 def _scores(batch: pa.RecordBatch, forest: Forest) -> np.ndarray:
