@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from creditloom.llm import text as T
 from creditloom.llm.components import stored
+from creditloom.session import scratch_path
 
 VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 STRIDE, SHARD_SLOTS, BLOCK_SLOTS, KEY, ROUNDS = 1024, 65_536, 256, 0x5EED, 6
@@ -161,18 +162,75 @@ def in_training_order(rows: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFr
             .repartitionByRange("slot").sortWithinPartitions("slot"))
 
 
+_BLOCKS = ("block long, first_slot long, n int, "
+           "members array<struct<slot: bigint, doc_id: bigint, piece: bigint, n_tokens: bigint>>, payload binary")
+
+
+def _packer(shard_slots: int, block_slots: int):
+    """Rows sorted by slot, no block of which lies in two tasks, to one row per block."""
+    member = pa.struct([(c, pa.int64()) for c in ("slot", "doc_id", "piece", "n_tokens")])
+
+    def packed(parts):
+        rows = pa.Table.from_batches(parts)
+        first, n = rows.column("slot")[0].as_py(), rows.num_rows
+        members = pa.StructArray.from_arrays([rows.column(f.name).combine_chunks() for f in member], fields=list(member))
+        payload = b"".join(v.as_buffer() for v in rows.column("tokens"))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([first // shard_slots], pa.int64()), pa.array([first % shard_slots // block_slots], pa.int64()),
+             pa.array([first], pa.int64()), pa.array([n], pa.int32()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), members),
+             pa.array([payload], pa.binary())], names=["shard", "block", "first_slot", "n", "members", "payload"])
+
+    def run(batches):
+        held, current = [], None
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            shard = slot // shard_slots
+            block = np.stack([shard, (slot - shard * shard_slots) // block_slots], axis=1)
+            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1).tolist(), len(slot)]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if low == high:
+                    continue
+                if held and current != tuple(block[low]):
+                    yield packed(held)
+                    held = []
+                current = tuple(block[low])
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield packed(held)
+    return run
+
+
 def write_shards(rows: DataFrame, path: str, shard_slots: int = SHARD_SLOTS, block_slots: int = BLOCK_SLOTS) -> None:
     """Store sequences as blocks of fixed-stride binary, partitioned by shard.
 
     A block is at most ``block_slots`` sequences; ``members`` keeps which documents they are of.
     """
-    blocks = (rows.withColumn("shard", F.floor(F.col("slot") / shard_slots))
-              .withColumn("block", F.floor(F.col("slot") % shard_slots / block_slots))
-              .groupBy("shard", "block").agg(F.array_sort(F.collect_list(F.struct("slot", "doc_id", "piece", "n_tokens", "tokens"))).alias("m"))
-              .select("shard", "block", F.col("m")[0]["slot"].alias("first_slot"), F.size("m").alias("n"),
-                      F.transform("m", lambda x: x.dropFields("tokens")).alias("members"),
-                      F.aggregate("m", F.lit(b""), lambda a, x: F.concat(a, x["tokens"])).alias("payload")))
-    blocks.repartitionByRange("shard", "block").sortWithinPartitions("shard", "block").write.partitionBy("shard").parquet(path)
+    placed = (rows.select("slot", "doc_id", "piece", "n_tokens", "tokens")
+              .repartitionByRange(F.floor(F.col("slot") / shard_slots), F.floor(F.col("slot") % shard_slots / block_slots))
+              .sortWithinPartitions("slot"))
+    blocks = T.map_batches(placed, _packer(shard_slots, block_slots), f"shard long, {_BLOCKS}")
+    (blocks.sortWithinPartitions("shard", "block").write.option("compression", "zstd").partitionBy("shard").parquet(path))
+
+
+def _members(batches):
+    for batch in batches:
+        shards = batch.column("shard").to_pylist()
+        for i, members in enumerate(batch.column("members")):
+            rows, payload = members.values, batch.column("payload")[i].as_buffer()
+            n = len(rows)
+            offsets = np.arange(n + 1, dtype=np.int32) * (len(payload) // n)
+            tokens = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), payload])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, shards[i])), *(rows.field(c) for c in ("slot", "doc_id", "piece", "n_tokens")), tokens],
+                names=["shard", "slot", "doc_id", "piece", "n_tokens", "tokens"])
+
+
+def stored_order(spark: SparkSession, path: str) -> DataFrame:
+    """The sequences of stored shards, cut from their blocks, in the order of their slots."""
+    blocks = spark.read.schema(f"{_BLOCKS}, shard long").parquet(path).select("shard", "first_slot", "members", "payload")
+    # Files are read largest first, so whole blocks are put in order again.
+    return T.map_batches(blocks.repartitionByRange("first_slot").sortWithinPartitions("first_slot"), _members,
+                         "shard long, slot long, doc_id long, piece long, n_tokens long, tokens binary")
 
 
 def read_from(spark: SparkSession, path: str, slot: int, n: int, stride: int = STRIDE,
@@ -189,5 +247,7 @@ def read_from(spark: SparkSession, path: str, slot: int, n: int, stride: int = S
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """All sequences in training order."""
-    return in_training_order(sequences(docs)).select("shard", "slot", "doc_id", "piece", "n_tokens", "tokens")
+    """All sequences in training order, read back from the blocks of the shards that this writes."""
+    path = scratch_path(docs.sparkSession, "shards")
+    write_shards(sequences(docs), path)
+    return stored_order(docs.sparkSession, path)

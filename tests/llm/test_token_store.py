@@ -69,3 +69,24 @@ def test_edges(frame, vocabulary):
     assert K.in_training_order(K.sequences(frame([]), vocabulary)).count() == 0
     rows = K.sequences(frame([(1, None), (2, ""), (2, "")]), vocabulary).collect()
     assert [r.n_tokens for r in rows] == [0, 0, 0]
+
+
+def test_the_query_writes_its_shards_and_reads_them_back(spark, frame, corpus, vocabulary, tmp_path, monkeypatch):
+    paths, sequences = [], K.sequences
+    monkeypatch.setattr(K, "scratch_path", lambda spark, name: paths.append(str(tmp_path / f"{name}{len(paths)}")) or paths[-1])
+    monkeypatch.setattr(K, "sequences", lambda docs: sequences(docs, vocabulary))
+    monkeypatch.setattr(K.write_shards, "__defaults__", (100, 16))
+    got = K.digest(frame(corpus).repartition(3))
+    assert got.columns == ["shard", "slot", "doc_id", "piece", "n_tokens", "tokens"]
+    got = got.collect()
+    assert [r.slot for r in got] == list(range(len(got))) and len(got) > 200
+    assert all(r.shard == r.slot // 100 for r in got)
+    blocks = spark.read.parquet(paths[0])
+    assert sorted((r.shard, r.block, r.first_slot, r.n, r.size) for r in blocks.selectExpr("*", "length(payload) AS size").collect()) == [
+        (s // 100, s % 100 // 16, s, n, n * 2048) for s in range(len(got)) if s % 100 % 16 == 0
+        for n in [min(16, 100 - s % 100, len(got) - s)]]
+    want = sorted(tuple(r) for r in sequences(frame(corpus).repartition(3), vocabulary).groupBy("doc_id", "piece", "n_tokens", "tokens")
+                  .count().drop("count").collect() if r.doc_id is not None)
+    assert sorted({tuple(r)[2:] for r in got if r.doc_id is not None}) == want
+    assert [x.tobytes() for x in K.read_from(spark, paths[0], 95, 10, 1024, 100, 16)] == [bytes(r.tokens) for r in got[95:105]]
+    assert K.digest(frame([]).limit(0)).count() == 0
