@@ -9,6 +9,8 @@ that are decoded and parsed before they are reported:
   OCTET STRING or an algorithm identifier); with or without PEM armour;
 * ``ssh``: length-prefixed key blobs (``openssh-key-v1`` or a public key line's
   fields) whose lengths close exactly;
+  base64 of both may be broken into lines, also by a literal ``\\n``; the structure's
+  lengths say where a key ends, and its line must end there as well;
 * ``token``: three dot-separated base64url parts whose first is a JSON object with
   an ``alg``, and whose second is a JSON object.
 
@@ -20,7 +22,7 @@ and repeated rows need no rule; extra columns are not read.
 from __future__ import annotations
 
 import base64
-import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -40,8 +42,14 @@ _ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{32,}")  # a maximal run starts where a run of any length would
 _TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+#: A line break, or one that is written as an escape (in JSON and environment files).
+_BREAK = rb"(?:\r?\n|(?:\\r)?\\n)"
 #: Base64 of a SEQUENCE starts with "M", of a key blob with "AAAA" or the text "openssh-key".
-_ENCODED = re.compile(rb"(?<![A-Za-z0-9+/])(?:M[A-Za-z0-9+/]|AAAA|b3Bl)(?:[A-Za-z0-9+/]|\r?\n(?=[A-Za-z0-9+/=])){30,}={0,2}")
+_START = re.compile(rb"(?:(?<![A-Za-z0-9+/])|(?<=\\n))(?=(?:M[A-P]|AAAA|b3Bl)(?:[A-Za-z0-9+/]|" + _BREAK + rb"){30})")
+_LINE = re.compile(_BREAK + rb"?([A-Za-z0-9+/]+)")
+_PADDING = re.compile(_BREAK + rb"?={1,2}")
+_GOES_ON = re.compile(rb"[A-Za-z0-9+/]")
+MIN_CHARS = 32
 _HEX_DER = re.compile(rb"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
 
 #: Markers that must occur for a pattern to match at all.
@@ -92,28 +100,35 @@ def _closes(data: bytes, at: int, end: int) -> bool:
     return at == end
 
 
-def is_ssh_blob(data: bytes) -> bool:
-    """Length-prefixed fields that fill the blob, the first naming a key type."""
-    opened = data.startswith(b"openssh-key-v1\0")
-    at, fields = (15 if opened else 0), []
-    while at < len(data):
-        size = int.from_bytes(data[at:at + 4], "big")
-        if opened and len(fields) == 3:
-            # Cipher, its key derivation and options are followed by the number of keys.
-            return size >= 1 and _prefixed(data, at + 4)
-        if at + 4 + size > len(data):
-            return False
-        fields.append(data[at + 4:at + 4 + size])
-        at += 4 + size
-    return not opened and len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None
-
-
-def _prefixed(data: bytes, at: int) -> bool:
-    fields = 0
-    while at < len(data):
-        at += 4 + int.from_bytes(data[at:at + 4], "big")
-        fields += 1
-    return at == len(data) and fields >= 2
+#: Fields of the public keys whose first field starts so; others have at least two.
+_SSH_FIELDS = ((b"ssh-ed25519", 2), (b"ssh-rsa", 3), (b"ssh-dss", 5), (b"ecdsa-", 3), (b"sk-ssh-", 3), (b"sk-ecdsa-", 4))
+
+
+def _ssh_ends(take):
+    """Every length in bytes at which a key blob may end; ``take`` gives its first bytes."""
+    opened = take(15) == b"openssh-key-v1\0"
+    at, fields, least, most = (15 if opened else 0), 0, 2, None
+    while len(data := take(at + 4)) == at + 4:
+        size = int.from_bytes(data[at:], "big")
+        if opened and fields == 3:
+            # Cipher, its key derivation and options are followed by the number of keys, these and the private part.
+            if size < 1:
+                return
+            at, fields, most = at + 4, 4, 4 + size + 1
+            continue
+        if len(data := take(at + 4 + size)) < at + 4 + size:
+            return
+        if not opened and not fields:
+            name = data[at + 4:]
+            if not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", name):
+                return
+            if b"-cert-" not in name:
+                least = next((n for start, n in _SSH_FIELDS if name.startswith(start)), 2)
+        at, fields = at + 4 + size, fields + 1
+        if opened and fields == most or not opened and fields >= least:
+            yield at
+        if fields == most:
+            return
 
 
 def is_signed_token(header: bytes, payload: bytes) -> bool:
@@ -124,13 +139,63 @@ def is_signed_token(header: bytes, payload: bytes) -> bool:
     return all(isinstance(p, dict) for p in parts) and isinstance(parts[0].get("alg"), str)
 
 
-def _decoded(candidate: bytes) -> bytes | None:
-    packed = re.sub(rb"\s", b"", candidate)
-    packed = packed.rstrip(b"=")
-    try:
-        return base64.b64decode(packed + b"=" * (-len(packed) % 4), validate=True)
-    except binascii.Error:
+class _Run:
+    """Base64 over one or more lines from ``start`` on, decoded as far as it is asked for."""
+
+    def __init__(self, data: bytes, start: int):
+        self.data, self.start, self.at = data, start, start
+        self.packed, self.lines, self.open = bytearray(), [], True
+
+    def take(self, size: int) -> bytes:
+        """The first ``size`` bytes, or what there is."""
+        chars = -(-size * 4 // 3)
+        while self.open and len(self.packed) < chars:
+            line = _LINE.match(self.data, self.at)
+            self.open = line is not None
+            if line:
+                self.lines.append((len(self.packed), line.start(1)))
+                self.packed += line[1]
+                self.at = line.end()
+        whole = bytes(self.packed[:chars])
+        # One character more than a multiple of four holds no byte.
+        whole = whole[:-1] if len(whole) % 4 == 1 else whole
+        return base64.b64decode(whole + b"=" * (-len(whole) % 4))[:size]
+
+    def end(self, size: int) -> int | None:
+        """Where the first ``size`` bytes end, if their last line or its padding does; they must have been taken."""
+        chars = -(-size * 4 // 3)
+        first, start = self.lines[bisect.bisect_left(self.lines, (chars,)) - 1]
+        end = start + chars - first
+        if end - self.start < MIN_CHARS or _GOES_ON.match(self.data, end):
+            return None
+        padding = _PADDING.match(self.data, end)
+        return padding.end() if padding else end
+
+
+def _key_at(data: bytes, start: int) -> tuple[int, str] | None:
+    """End and kind of the key whose base64 begins at ``start``; its own lengths say where it ends."""
+    run = _Run(data, start)
+    if data[start:start + 1] == b"M":
+        # Long enough for the SEQUENCE's length and the version that a private key begins with.
+        head = run.take(9)
+        if len(head) < 9:
+            return None
+        wide = head[1] & 0x7F if head[1] & 0x80 else 0
+        at = 2 + wide
+        if wide > 4 or head[at:at + 2] != b"\x02\x01" or head[at + 2:at + 3] not in (b"\0", b"\1"):
+            return None
+        size = at + (int.from_bytes(head[2:at], "big") if wide else head[1])
+        if not is_private_der(run.take(size)):
+            return None
+        end = run.end(size)
+        return end and (end, "der")
+    head = run.take(24)
+    if not head.startswith(b"openssh-key-v1\0") and not re.match(rb"\0\0\0.(ssh|ecdsa|sk)-", head, re.DOTALL):
         return None
+    for size in _ssh_ends(run.take):
+        if end := run.end(size):
+            return end, "ssh"
+    return None
 
 
 def scan(data: bytes) -> list[tuple[int, int, str]]:
@@ -140,12 +205,11 @@ def scan(data: bytes) -> list[tuple[int, int, str]]:
         spans += [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(data) if len(m[1]) >= 8]
     spans += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(data) if m.end() - m.start() >= 16]
     spans += [(m.start(), m.end(), "hex") for m in _HEX.finditer(data)]
-    for m in _ENCODED.finditer(data):
-        blob = _decoded(m[0])
-        if blob is not None and is_private_der(blob):
-            spans.append((m.start(), m.end(), "der"))
-        elif blob is not None and is_ssh_blob(blob):
-            spans.append((m.start(), m.end(), "ssh"))
+    reach = 0
+    for m in _START.finditer(data):
+        if m.start() >= reach and (key := _key_at(data, m.start())):
+            reach = key[0]
+            spans.append((m.start(), *key))
     spans += [(m.start(), m.end(), "der") for m in _HEX_DER.finditer(data)
               if len(m[0]) % 2 == 0 and is_private_der(bytes.fromhex(m[0].decode()))]
     spans += [(m.start(), m.end(), "token") for m in _TOKEN.finditer(data) if is_signed_token(m[1], m[2])]
