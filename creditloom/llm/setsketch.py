@@ -345,9 +345,12 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those of a group other than its smallest id; repeats of a row go too."""
+    """The documents without those of a group other than its smallest id.
+
+    Repeats of one id and text go too; different texts of an id stay together.
+    """
     gone = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    number = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id"))
     named = (docs.where("doc_id IS NOT NULL").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
              .withColumn("_nth", number).where("_nth = 1").drop("_nth"))
     return named.unionByName(docs.where("doc_id IS NULL"))

@@ -99,6 +99,13 @@ def test_one_of_each_group_stays(frame, corpus):
     assert sum(i is None for i in ids) == sum(i is None for i, _ in corpus)
 
 
+def test_different_texts_of_an_id_stay(frame, corpus):
+    texts = [t for i, t in corpus if i is not None and i < 60]
+    docs = [(7, t) for t in texts] + [(7, texts[0])] * 3 + [(7, None)] * 2 + [(8, "other words here")]
+    left = sorted((r.doc_id, r.text or "") for r in S.keep_one(frame(docs)).collect())
+    assert left == sorted([(7, t) for t in set(texts)] + [(7, ""), (8, "other words here")])
+
+
 def _sketch(values):
     part = T.mix(np.array(sorted(values), dtype=np.uint64))
     return S.sketch(part, np.zeros(1, dtype=np.int64))[0]
