@@ -29,6 +29,8 @@ from creditloom.llm import text as T
 
 #: Bounds of the training sample.
 MAX_ROWS, MAX_BYTES = 12_000, 48 << 20
+#: Longer texts are sampled only if there is room beside all others.
+LONG_BYTES = MAX_BYTES // 100
 TREES, DEPTH, BINS, RATE, RIDGE, MIN_WEIGHT = 80, 4, 64, 0.15, 1.0, 1.0
 THRESHOLD = 0.7
 
@@ -182,8 +184,11 @@ def sample_frame(docs: DataFrame, labels: DataFrame, label: str, held, max_rows:
     sizes = sorted((r.h, r.doc_id, r.n) for r in
                    met.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n"))
                    .select("doc_id", "n", F.xxhash64("doc_id").alias("h")).collect())
-    fits = np.cumsum([s[2] for s in sizes]) <= max_bytes
-    kept = {s[1] for s, ok in zip(sizes, fits) if ok}
+    kept, room = [], max_bytes
+    for _, doc, n in sorted(sizes, key=lambda s: s[2] > LONG_BYTES):
+        if n <= room:
+            kept.append(doc)
+            room -= n
     ids = spark.createDataFrame([(i,) for i in sorted(kept)], "doc_id long")
     return met.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
 

@@ -89,6 +89,20 @@ def test_sample_is_bounded(frame, labels):
     assert 0 < sum(len(t.encode()) for _, t in small) <= 2000
 
 
+def test_long_texts_do_not_end_the_sample(frame, labels, monkeypatch):
+    docs, marks = quality_rows(100)
+    held, allowed = Q.held_out(4, 2), sum(crc(i, 4) != 2 for i, _ in docs)
+    size = sum(len(t.encode()) for i, t in docs if crc(i, 4) != 2)
+    for i in range(1000, 1040):
+        docs.append((i, "w" * (size + 1)))
+        marks.append((i, 1, 0))
+    assert len(Q.labelled_sample(frame(docs), labels(marks), "quality", held, 1000, size)) == allowed
+    # Texts that fit alone come after the others.
+    monkeypatch.setattr(Q, "LONG_BYTES", size)
+    for bound, extra in ((2 * size, 0), (2 * size + 1, 1)):
+        assert len(Q.labelled_sample(frame(docs), labels(marks), "quality", held, 1000, bound)) == allowed + extra
+
+
 def test_keep_good_keeps_columns(frame, labels):
     docs, marks = quality_rows(200)
     kept = Q.keep_good(frame(docs), frame(docs), labels(marks))
