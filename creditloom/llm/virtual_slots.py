@@ -1,6 +1,6 @@
 """Sharding through a fixed number of virtual slots.
 
-A record's id is hashed into one of ``SLOTS`` virtual slots; bytes are aggregated
+A record's id and checksum are hashed into one of ``SLOTS`` virtual slots; bytes are aggregated
 by slot; a versioned map assigns slots to shards, heaviest slot first to the
 lightest shard, so that shards come out near equal in bytes. Rebalancing edits
 the map only: slots move one by one from the heaviest shards, everything else stays.
@@ -8,7 +8,8 @@ the map only: slots move one by one from the heaviest shards, everything else st
 Rows get a gapless number in their shard without ordering the shard in one task:
 slots are cut into cells of about ``CELL_ROWS`` rows, cells get offsets from their
 counts, and rows are numbered within their cell. Rows that agree in id, size and
-checksum are counted before that and spread out again after it.
+checksum are counted before that and spread out again after it; every ``COPIES`` of
+them are hashed to a slot of their own, so that no record outweighs a shard.
 
 Defined results: a null text has 0 bytes and the checksum of the empty string; rows
 without an id are hashed by their checksum; repeated rows get numbers of their own;
@@ -22,23 +23,35 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from creditloom.llm.components import stored
+from creditloom.session import scratch_path
+
 SLOTS, SHARDS = 4096, 24
 #: Bytes that a record takes besides its text.
 ROW_BYTES = 8
 CELL_ROWS = 20_000
+#: Repeats of a row that share a slot.
+COPIES = 512
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``doc_id``, ``size``, ``text_crc32`` and ``virtual_slot`` of every row."""
+    """``doc_id``, ``size``, ``text_crc32``, ``virtual_slot`` and number of ``copies`` of all rows that agree in these."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(
+    same = docs.select(
         "doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
-    ).withColumn("virtual_slot", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), -1 - F.col("text_crc32"))), F.lit(slots)).cast("int"))
+    ).groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))
+    return same.select("*", part.alias("part")).select(
+        "doc_id", "size", "text_crc32",
+        F.pmod(F.xxhash64("doc_id", "text_crc32", "part"), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.least(F.lit(COPIES), F.col("n") - F.col("part") * COPIES).alias("copies")
+    ).groupBy("doc_id", "size", "text_crc32", "virtual_slot").agg(F.sum("copies").alias("copies"))
 
 
 def slot_weights(rows: DataFrame) -> dict[int, int]:
     """Bytes by virtual slot: at most ``SLOTS`` numbers, whatever the input."""
-    return {r.virtual_slot: r.bytes for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")).collect()}
+    return {r.virtual_slot: r.bytes for r in
+            rows.groupBy("virtual_slot").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes")).collect()}
 
 
 def assign(weights: dict[int, int], shards: int = SHARDS, slots: int = SLOTS) -> dict[int, int]:
@@ -100,8 +113,7 @@ def placed_rows(rows: DataFrame, placed: dict[int, int]) -> DataFrame:
     spark = rows.sparkSession
     maps = map_frame(spark, placed, {}, 0).select("virtual_slot", "shard")
     per_slot = max(1, rows.count() // (len(placed) * CELL_ROWS))
-    folded = (rows.groupBy("doc_id", "size", "text_crc32", "virtual_slot").agg(F.count("*").alias("copies"))
-              .withColumn("cell", F.pmod(F.xxhash64("text_crc32", "size", "doc_id"), F.lit(per_slot))))
+    folded = rows.withColumn("cell", F.pmod(F.xxhash64("text_crc32", "size", "doc_id"), F.lit(per_slot)))
     counts = folded.groupBy("virtual_slot", "cell").agg(F.sum("copies").alias("n"))
     # Cells are few (rows over CELL_ROWS, at least one per slot); one window per shard orders them.
     by_shard = Window.partitionBy("shard").orderBy("virtual_slot", "cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,7 +130,9 @@ def placed_rows(rows: DataFrame, placed: dict[int, int]) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row per document: size, checksum, shard and place in it. Bytes decide the map, so there is no grown shard."""
-    rows = records(docs)
-    return placed_rows(rows, assign(slot_weights(rows))).select(
+    spark, rows = docs.sparkSession, stored(records(docs), "records")
+    weights, path = slot_weights(rows), scratch_path(docs.sparkSession, "slot-map")
+    write_map(spark, path, assign(weights), weights, 1)
+    return placed_rows(rows, read_map(spark, path, 1)[1]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")

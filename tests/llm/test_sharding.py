@@ -50,6 +50,24 @@ def test_map_versions_and_rebalancing(spark, tmp_path):
     assert V.read_map(spark, path, 1) == (1, first)
 
 
+def test_hot_ids_and_repeats_are_spread(spark, frame, tmp_path, monkeypatch):
+    paths = []
+    monkeypatch.setattr(V, "scratch_path", lambda spark, name: paths.append(str(tmp_path / name)) or paths[-1])
+    monkeypatch.setattr(V, "COPIES", 4)
+    docs = ([(7, f"text {i}") for i in range(1000)] + [(9, "repeat")] * 999 + [(None, "nobody")] * 500
+            + [(i, "x" * (i % 9)) for i in range(10, 800)])
+    got = V.digest(frame(docs)).collect()
+    assert sorted((str(r.doc_id), r.text_crc32) for r in got) == sorted((str(i), zlib.crc32(t.encode())) for i, t in docs)
+    sizes, slots = [0] * 24, {}
+    for r in got:
+        sizes[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert max(sizes) - min(sizes) <= 0.05 * sum(sizes) / 24
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    version, placed = V.read_map(spark, paths[0])
+    assert version == 1 and all(placed[r.virtual_slot] == r.shard for r in got)
+
+
 @pytest.mark.parametrize("docs", [[], [(None, None)], [(1, None)]])
 def test_tiny_tables(frame, docs):
     assert V.digest(frame(docs)).count() == len(docs)
