@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.llm import (decontaminate, packing, quality_rules, quality_trees, secret_scan, setsketch,
+from creditloom.llm import (decontaminate, packing, quality_rules, quality_trees, quotient_filter, secret_scan, setsketch,
                             substring_dedup, token_store, toxicity, twins, virtual_slots)
 
 
@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": _on_documents(secret_scan.digest),
     "op9_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_training_order": _on_documents(token_store.digest),
+    "op11_quotient_filter_dedup": _on_documents(quotient_filter.digest),
 }
 
 ORACLES: dict[str, str] = {
@@ -36,4 +37,5 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": quality_rules.sql(),
     "op6_substring_dedup": twins.SUBSTRING_DEDUP,
     "op7_near_duplicates": twins.NEAR_DUPLICATES,
+    "op11_quotient_filter_dedup": twins.EXACT_DEDUP,
 }
