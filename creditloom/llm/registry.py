@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.llm import (decontaminate, packing, quality_rules, quality_trees, quotient_filter, secret_scan, setsketch,
-                            substring_dedup, token_store, toxicity, twins, virtual_slots)
+from creditloom.llm import (decontaminate, packing, prefix_trie, quality_rules, quality_trees, quotient_filter,
+                            secret_scan, setsketch, substring_dedup, token_store, toxicity, twins, virtual_slots)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_training_order": _on_documents(token_store.digest),
     "op11_quotient_filter_dedup": _on_documents(quotient_filter.digest),
+    "op12_prefix_trie": lambda spark, d: prefix_trie.trie(table(spark, d, "conversations")),
 }
 
 ORACLES: dict[str, str] = {
@@ -38,4 +39,5 @@ ORACLES: dict[str, str] = {
     "op6_substring_dedup": twins.SUBSTRING_DEDUP,
     "op7_near_duplicates": twins.NEAR_DUPLICATES,
     "op11_quotient_filter_dedup": twins.EXACT_DEDUP,
+    "op12_prefix_trie": twins.PREFIX_TRIE,
 }

