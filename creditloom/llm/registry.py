@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.llm import (decontaminate, packing, prefix_trie, quality_rules, quality_trees, quotient_filter,
-                            secret_scan, setsketch, substring_dedup, token_store, toxicity, twins, virtual_slots)
+from creditloom.llm import (conversation_repair, decontaminate, packing, prefix_trie, quality_rules, quality_trees,
+                            quotient_filter, secret_scan, setsketch, substring_dedup, token_store, toxicity, twins, virtual_slots)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_training_order": _on_documents(token_store.digest),
     "op11_quotient_filter_dedup": _on_documents(quotient_filter.digest),
     "op12_prefix_trie": lambda spark, d: prefix_trie.trie(table(spark, d, "conversations")),
+    "op13_conversation_repair": lambda spark, d: conversation_repair.digest(table(spark, d, "conversations")),
 }
 
 ORACLES: dict[str, str] = {
