@@ -411,27 +411,28 @@ GOLD_SQL = with_roles(
     f_previous=GOLD_PREVIOUS)
 
 # ---- cleaned tables and the earlier feature generation ----------------------
+def cleaned(source: str, zero: list[str], unknown: list[str] = (), **other: str) -> str:
+    """Every column that is filled is listed, whether the role data has NULLs in it or not."""
+    fills = dict.fromkeys(zero, "0") | dict.fromkeys(unknown, "'Unknown'") | {c: f"'{v}'" for c, v in other.items()}
+    listed = ", ".join(f'coalesce("{c}", {v}) AS "{c}"' for c, v in fills.items())
+    return f"SELECT DISTINCT * REPLACE ({listed}) FROM {source}"
+
+
 CLEAN = {
-    "bureau": """SELECT DISTINCT * REPLACE (coalesce("DAYS_ENDDATE_FACT", 0) AS "DAYS_ENDDATE_FACT",
-        coalesce("AMT_CREDIT_MAX_OVERDUE", 0) AS "AMT_CREDIT_MAX_OVERDUE",
-        coalesce("AMT_CREDIT_SUM", 0) AS "AMT_CREDIT_SUM",
-        coalesce("AMT_CREDIT_SUM_DEBT", 0) AS "AMT_CREDIT_SUM_DEBT",
-        coalesce("AMT_CREDIT_SUM_LIMIT", 0) AS "AMT_CREDIT_SUM_LIMIT",
-        coalesce("CREDIT_TYPE", 'Unknown') AS "CREDIT_TYPE",
-        coalesce("AMT_ANNUITY", 0) AS "AMT_ANNUITY") FROM bureau""",
-    "balance": """SELECT DISTINCT * REPLACE (coalesce("STATUS", 'C') AS "STATUS") FROM balance""",
-    "prev": """SELECT DISTINCT * REPLACE (coalesce("AMT_DOWN_PAYMENT", 0) AS "AMT_DOWN_PAYMENT",
-        coalesce("RATE_INTEREST_PRIMARY", 0) AS "RATE_INTEREST_PRIMARY",
-        coalesce("CODE_REJECT_REASON", 'Unknown') AS "CODE_REJECT_REASON",
-        coalesce("NFLAG_INSURED_ON_APPROVAL", 0) AS "NFLAG_INSURED_ON_APPROVAL") FROM prev""",
-    "pos": """SELECT DISTINCT * REPLACE (coalesce("CNT_INSTALMENT_FUTURE", 0) AS "CNT_INSTALMENT_FUTURE")
-        FROM pos""",
-    "inst": """SELECT DISTINCT * REPLACE (coalesce("DAYS_ENTRY_PAYMENT", 0) AS "DAYS_ENTRY_PAYMENT",
-        coalesce("AMT_PAYMENT", 0) AS "AMT_PAYMENT") FROM inst""",
-    "card": """SELECT DISTINCT * REPLACE (
-        coalesce("AMT_CREDIT_LIMIT_ACTUAL", 0) AS "AMT_CREDIT_LIMIT_ACTUAL",
-        coalesce("AMT_DRAWINGS_ATM_CURRENT", 0) AS "AMT_DRAWINGS_ATM_CURRENT",
-        coalesce("AMT_DRAWINGS_CURRENT", 0) AS "AMT_DRAWINGS_CURRENT") FROM card""",
+    "bureau": cleaned("bureau", [
+        "DAYS_CREDIT", "CREDIT_DAY_OVERDUE", "DAYS_CREDIT_ENDDATE", "DAYS_ENDDATE_FACT", "AMT_CREDIT_MAX_OVERDUE",
+        "CNT_CREDIT_PROLONG", "AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT", "AMT_CREDIT_SUM_LIMIT",
+        "AMT_CREDIT_SUM_OVERDUE", "DAYS_CREDIT_UPDATE", "AMT_ANNUITY"], ["CREDIT_TYPE"]),
+    "balance": cleaned("balance", [], STATUS="C"),
+    "prev": cleaned("prev", [
+        "AMT_ANNUITY", "AMT_CREDIT", "AMT_DOWN_PAYMENT", "RATE_INTEREST_PRIMARY", "DAYS_DECISION",
+        "NFLAG_INSURED_ON_APPROVAL"], ["NAME_CONTRACT_TYPE", "NAME_CONTRACT_STATUS", "CODE_REJECT_REASON"]),
+    "pos": cleaned("pos", ["CNT_INSTALMENT", "CNT_INSTALMENT_FUTURE", "SK_DPD", "SK_DPD_DEF"], ["NAME_CONTRACT_STATUS"]),
+    "inst": cleaned("inst", [
+        "NUM_INSTALMENT_VERSION", "DAYS_INSTALMENT", "DAYS_ENTRY_PAYMENT", "AMT_INSTALMENT", "AMT_PAYMENT"]),
+    "card": cleaned("card", [
+        "AMT_BALANCE", "AMT_CREDIT_LIMIT_ACTUAL", "AMT_DRAWINGS_ATM_CURRENT", "AMT_DRAWINGS_CURRENT",
+        "AMT_PAYMENT_CURRENT", "AMT_PAYMENT_TOTAL_CURRENT", "SK_DPD", "SK_DPD_DEF"], ["NAME_CONTRACT_STATUS"]),
 }
 C = {f"c_{n}": q for n, q in CLEAN.items()}
 BUREAU_CREDIT = f"""
