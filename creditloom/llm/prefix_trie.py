@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,34 +137,80 @@ def rollup(rows: DataFrame, nodes: DataFrame, depth: int, values: tuple[str, ...
     return rest.unionByName(whole.select(*rest.columns))
 
 
-def _end_hashes(batches):
-    """SHA-256 of the ids of each key, whose rows follow each other; ids are fed in, not gathered."""
+#: Ids in one chunk of a node's ids.
+CHUNK = 1 << 16
+_CHUNKS = "k0 long, k1 long, task int, seq int, ids string, ends_sha256 string"
+
+
+def _sha(ids: str) -> str:
+    return hashlib.sha256(ids.encode()).hexdigest()
+
+
+def _end_chunks(batches):
+    """The hash of each node whose ids, in order, lie in one task; ids of a task's first and last node, or of many, in chunks."""
+    task, key, held, seq, opening, out = TaskContext.get().partitionId(), None, [], 0, True, []
+
+    def add(whole: bool):
+        ids = ",".join(held)
+        out.append((*key, task, seq, None if whole else ids, _sha(ids) if whole else None))
+
+    def batch_of():
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()))],
+            names=[*KEY, "task", "seq", "ids", "ends_sha256"])
+
+    for batch in batches:
+        k0, k1, c = (batch.column(x).to_numpy() for x in (*KEY, "c"))
+        begins = np.union1d(runs(k0), runs(k1))
+        for low, high in zip(begins, np.append(begins[1:], len(c))):
+            if key != (k0[low], k1[low]):
+                if held:
+                    add(whole=not opening and seq == 0)
+                opening = key is None
+                key, held, seq = (k0[low], k1[low]), [], 0
+            for at in range(low, high, CHUNK):
+                held += map(str, c[at:min(at + CHUNK, high)].tolist())
+                if len(held) >= CHUNK:
+                    add(whole=False)
+                    held, seq = [], seq + 1
+        if out:
+            yield batch_of()
+            out.clear()
+    if held:
+        add(whole=False)
+        yield batch_of()
+
+
+def _join_chunks(batches):
+    """Hashes of the nodes whose chunks follow each other."""
     key, digest = None, None
 
     def done():
         return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([digest.hexdigest()])],
                                           names=[*KEY, "ends_sha256"])
     for batch in batches:
-        k0, k1, c = (batch.column(x).to_numpy() for x in (*KEY, "c"))
-        begins = np.union1d(runs(k0), runs(k1))
-        for low, high in zip(begins, np.append(begins[1:], len(c))):
-            ids = ",".join(map(str, c[low:high].tolist()))
-            if key == (k0[low], k1[low]):
+        for k0, k1, ids in zip(*(batch.column(x).to_pylist() for x in (*KEY, "ids"))):
+            if key == (k0, k1):
                 digest.update(b"," + ids.encode())
                 continue
             if key is not None:
                 yield done()
-            key, digest = (k0[low], k1[low]), hashlib.sha256(ids.encode())
+            key, digest = (k0, k1), hashlib.sha256(ids.encode())
     if key is not None:
         yield done()
 
 
-def trie(conversations: DataFrame) -> DataFrame:
-    """One row per node: members, parent, children, leaves below, tokens saved below, hash of the members that end here.
+def _end_hashes(ends: DataFrame) -> DataFrame:
+    """SHA-256 of each node's ids in ascending order. It is sequential, but what passes through one task are chunks of many ids."""
+    order = [*KEY, "c"]
+    chunks = stored(ends.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_end_chunks, _CHUNKS), "ends")
+    open_ = (chunks.where("ids IS NOT NULL").select(*KEY, "task", "seq", "ids").repartition(*KEY)
+             .sortWithinPartitions(*KEY, "task", "seq").mapInArrow(_join_chunks, "k0 long, k1 long, ends_sha256 string"))
+    return chunks.where("ids IS NULL").select(*KEY, "ends_sha256").unionByName(open_)
 
-    A node's SHA-256 is sequential, so the ids that end at one node pass through one task, in
-    order and without being gathered there.
-    """
+
+def trie(conversations: DataFrame) -> DataFrame:
+    """One row per node: members, parent, children, leaves below, tokens saved below, hash of the members that end here."""
     rows = stored(prefixes(rebuilt(conversations)), "prefixes")
     nodes = rows.groupBy("k0", "k1").agg(
         F.count("*").alias("n_convs"), F.min("c").alias("conv_id"), F.max("pos").alias("d"), F.max("bytes").alias("bytes"),
@@ -176,8 +223,7 @@ def trie(conversations: DataFrame) -> DataFrame:
     values = nodes.select(*KEY, "d", "conv_id", (F.col("n_children") == 0).cast("long").alias("n_leaves"),
                           ((F.col("n_convs") - 1) * F.col("bytes")).alias("saved_tokens"))
     totals = rollup(rows.select("c", F.col("pos").alias("d"), *KEY), values, depth or 0, ("n_leaves", "saved_tokens"))
-    ends = (rows.where("ends").select(*KEY, "c").repartition(*KEY).sortWithinPartitions(*KEY, "c")
-            .mapInArrow(_end_hashes, "k0 long, k1 long, ends_sha256 string"))
+    ends = _end_hashes(rows.where("ends").select(*KEY, "c"))
     parents = nodes.select(F.col("k0").alias("p0"), F.col("k1").alias("p1"), F.col("conv_id").alias("parent"))
     # The children of one node lie on the side that adaptive execution splits.
     return (nodes.join(totals, KEY).join(ends, KEY, "left").join(parents, ["p0", "p1"], "left")

@@ -86,7 +86,9 @@ def test_nulls_ties_repeats_and_missing_groups(talk):
     assert P.trie(talk(rows)).where("depth = 0").first()["conv_id"] == -3
 
 
-def test_copies_of_one_conversation(talk):
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 16])
+def test_copies_of_one_conversation(talk, monkeypatch, chunk):
+    monkeypatch.setattr(P, "CHUNK", chunk)
     rows = [(5 * c, t, "user", f"turn {t}") for c in range(300) for t in range(3)]
     check(talk(rows), rows)
 
