@@ -1,25 +1,26 @@
-"""Exact quantiles without gathering a group's values in one task.
-
-The built-in exact ``percentile`` keeps every distinct value of a group in one
-aggregation buffer. Here a mergeable sketch narrows the range that holds the
-wanted rank, twice, and only the values left inside are counted and ranked:
-about 1 / 125000 of a large group. The final rank check uses exact counts, so
-a result never depends on the sketch being right.
-
-A range with few ranks per sketch step is kept whole instead of narrowed; that
-only widens what is ranked, the result is the same.
+"""Exact quantiles without gathering many values in one task.
+
+The built-in exact percentile keeps all distinct values of a group in one
+aggregation buffer, which is right for groups of at most ``DIRECT`` values. The
+wanted ranks of larger groups are found by radix selection: doubles have 64-bit
+keys of the same order; a pass counts the values of each group by a digit of 16
+bits, the digit that holds the rank becomes the next pass's range, and four passes
+fix the value. A pass moves at most 65536 counts per group and task, whatever the
+number of values or the share of one of them, and only values in the range are
+looked at again. Nothing is estimated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000      # sketch rank error is 1 / ACCURACY of the rows
-GRID = 200             # quantile points of the second narrowing
-SLACK = 4              # below SLACK ranks per step a range is kept whole
+DIRECT = 20_000               # values of a group that an aggregation buffer may hold
+DIRECT_CELLS = 2_000_000      # values of all columns of a frame
+DIGIT_BITS, DIGITS = 16, 4
 
 
 def exact_percentile(df: DataFrame, dims: Sequence[str], value: str, p: float = 0.5,
@@ -28,135 +29,88 @@ def exact_percentile(df: DataFrame, dims: Sequence[str], value: str, p: float =
 
     ``interpolate=True`` is the continuous quantile, ``False`` the smallest
     value whose rank reaches ``p``. NULL is a dimension value like any other. A
-    group without values has no row. For many columns of one frame
-    ``column_percentiles`` reads them side by side.
+    group without values has no row. Whether there are groups above ``DIRECT`` values
+    is looked up first. For many columns of one frame ``column_percentiles`` reads
+    them side by side.
     """
     group = F.struct(*[F.col(d) for d in dims]) if dims else F.struct(F.lit(0).alias("all"))
     data = (df.select(group.alias("g"), F.col(value).cast("double").alias("v"))
               .where(F.col("v").isNotNull()))
-    ranked = _rank_inside(data, _narrow(data, _first_bracket(data, p, interpolate)))
-    picked = _picked(ranked, ["g", "b"])
-    return picked.select(*[F.col(f"g.{d}").alias(d) for d in dims], _checked().alias(name))
-
+    large = data.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > DIRECT).select("g")
 
-def _picked(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The two values around the wanted rank, and the number of values below the bracket."""
-    inside = F.col("v").isNotNull()
-    return ranked.groupBy(*keys).agg(
-        F.min(F.when(inside & (F.col("upto") > F.col("b.k_lo")), F.col("v"))).alias("x"),
-        F.min(F.when(inside & (F.col("upto") > F.col("b.k_hi")), F.col("v"))).alias("y"),
-        F.max(F.when(~inside, F.col("upto"))).alias("below"))
+    def direct(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("g").agg(_built_in("v", p, interpolate).alias("q"))
 
+    if large.isEmpty():
+        picked = direct(data)
+    else:
+        # Structs compare their NULL fields as equal, so these joins are null-safe.
+        picked = direct(data.join(large, "g", "left_anti")).unionByName(
+            _select(data.join(large, "g", "left_semi"), data, p, interpolate))
+    return picked.select(*[F.col(f"g.{d}").alias(d) for d in dims], F.col("q").alias(name))
 
-def _checked() -> Column:
-    """The quantile; the sketch's guaranteed error rules out the failure that is guarded against."""
-    missed = (F.coalesce("below", F.lit(0)) > F.col("b.k_lo")) | F.col("y").isNull()
-    return (F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")))
-             .otherwise(F.col("x") + (F.col("y") - F.col("x")) * F.col("b.frac")))
 
+def column_percentiles(df: DataFrame, cols: Sequence[str], p: float = 0.5, name: str = "percentile",
+                       interpolate: bool = True, by: str | None = None) -> DataFrame:
+    """Exact ``p``-quantile of each column: rows ``(column, <name>)``, per value of ``by`` if given.
 
-def _with_bracket(data: DataFrame, bracket: DataFrame) -> DataFrame:
-    """Each value with its group's bracket.
-
-    Structs compare their NULL fields as equal, so the join is null-safe; the side
-    with one row per group is broadcast where its size allows, and a group with
-    very many values can be split.
+    All columns are read side by side. The size of the frame decides between one
+    aggregation and the passes of radix selection. A column without values has no row.
     """
-    cols = ["lo", "hi", "k_lo", "k_hi", "frac"]
-    return data.join(bracket.select("g", F.struct(*cols).alias("b")), "g")
-
-
-def _first_bracket(data: DataFrame, p: float, interpolate: bool) -> DataFrame:
-    """Wanted ranks per group, and the sketch's values just below and above them."""
-    return data.groupBy("g").agg(*_first_stats(F.col("v"), p)).select("g", *_first_bounds("", p, interpolate))
-
-
-def _first_stats(v: Column, p: float) -> list[Column]:
-    around = [max(p - 2 / ACCURACY, 0.0), min(p + 2 / ACCURACY, 1.0)]
-    return [F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"),
-            F.percentile_approx(v, around, ACCURACY).alias("q")]
+    keys = [] if by is None else [by]
+    typed = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    if typed.count() * len(cols) <= DIRECT_CELLS:
+        wide = typed.groupBy(*keys).agg(*[_built_in(c, p, interpolate).alias(c) for c in cols])
+        return wide.unpivot(keys, list(cols), "column", name).where(F.col(name).isNotNull())
+    long = typed.unpivot(keys, list(cols), "column", "v").where(F.col("v").isNotNull())
+    data = long.select(F.struct(*keys, "column").alias("g"), "v")
+    return _select(data, data, p, interpolate).select(*[F.col(f"g.{k}").alias(k) for k in keys],
+                                                      F.col("g.column").alias("column"), F.col("q").alias(name))
 
 
-def _first_bounds(of: str, p: float, interpolate: bool) -> list[Column]:
-    n = F.col(f"{of}n")
-    rank = F.lit(p) * (n - 1) if interpolate else F.greatest(F.ceil(F.lit(p) * n) - 1, F.lit(0))
-    small = n < SLACK * ACCURACY
-    return [F.when(small, F.col(f"{of}low")).otherwise(F.col(f"{of}q")[0]).alias("lo"),
-            F.when(small, F.col(f"{of}high")).otherwise(F.col(f"{of}q")[1]).alias("hi"),
-            F.floor(rank).alias("k_lo"), F.ceil(rank).alias("k_hi"),
-            (rank - F.floor(rank)).cast("double").alias("frac")]
+def _built_in(col: str, p: float, interpolate: bool) -> Column:
+    return F.expr(f"percentile_{'cont' if interpolate else 'disc'}({p}D) WITHIN GROUP (ORDER BY `{col}`)")
 
 
-def _narrow(data: DataFrame, bracket: DataFrame) -> DataFrame:
-    """A bracket inside the given one, from a grid of quantiles of its values."""
-    stats = _with_bracket(data, bracket).groupBy("g", "b").agg(*_second_stats(F.col("v"), "b."))
-    return stats.select("g", *_second_bounds("", "b."))
+def _digit(v: Column, number: int) -> Column:
+    """A digit of the value's 64-bit key, the first one highest and signed."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v + F.lit(0.0)).cast("long")
+    key = F.when(bits < 0, bits.bitwiseXOR(F.lit(2 ** 63 - 1))).otherwise(bits)
+    digit = F.shiftright(key, 64 - DIGIT_BITS * (number + 1))
+    return digit if number == 0 else digit.bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
 
 
-def _second_stats(v: Column, b: str) -> list[Column]:
-    within = v.between(F.col(f"{b}lo"), F.col(f"{b}hi"))
-    grid = F.expr(f"array({', '.join(f'{i / GRID}D' for i in range(GRID + 1))})")
-    return [F.count_if(v < F.col(f"{b}lo")).alias("below"), F.count_if(within).alias("inside"),
-            F.percentile_approx(F.when(within, v), grid, ACCURACY).alias("q")]
+def _counted(rows: DataFrame, keys: Sequence[str], number: int) -> DataFrame:
+    """Values by digit with the number of those up to each, within ``keys``."""
+    order = Window.partitionBy(*keys).orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = rows.groupBy(*keys, _digit(F.col("v"), number).alias("digit")).agg(
+        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return counts.withColumn("upto", F.sum("n").over(order))
 
 
-def _second_bounds(of: str, b: str) -> list[Column]:
-    inside = F.col(f"{of}inside")
-
-    def step(k: str) -> Column:
-        return F.try_divide((F.col(f"{b}{k}") - F.col(f"{of}below")) * GRID, inside)
-
-    # One grid step of slack on either side covers the sketch's rank error.
-    first = F.greatest(F.floor(step("k_lo")) - 1, F.lit(0)).cast("int")
-    last = F.least(F.ceil(step("k_hi")) + 1, F.lit(GRID)).cast("int")
-    small = inside < SLACK * GRID
-    return [F.when(small, F.col(f"{b}lo")).otherwise(F.col(f"{of}q")[first]).alias("lo"),
-            F.when(small, F.col(f"{b}hi")).otherwise(F.col(f"{of}q")[last]).alias("hi"),
-            F.col(f"{b}k_lo").alias("k_lo"), F.col(f"{b}k_hi").alias("k_hi"), F.col(f"{b}frac").alias("frac")]
-
-
-def _rank_inside(data: DataFrame, bracket: DataFrame) -> DataFrame:
-    """Cumulative counts of the values in the bracket.
-
-    Everything under the bracket is folded into one NULL entry per group
-    map-side; it sorts first, so ranks stay global.
-    """
-    counted = (_with_bracket(data, bracket)
-               .where(F.col("v") <= F.col("b.hi"))
-               .select("g", "b", F.when(F.col("v") >= F.col("b.lo"), F.col("v")).alias("v"))
-               .groupBy("g", "b", "v").agg(F.count(F.lit(1)).alias("n")))
-    order = (Window.partitionBy("g", "b").orderBy(F.col("v").asc_nulls_first())
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return counted.withColumn("upto", F.sum("n").over(order))
-
-
-def column_percentiles(df: DataFrame, cols: Sequence[str], p: float = 0.5, name: str = "percentile",
-                       interpolate: bool = True) -> DataFrame:
-    """Exact ``p``-quantile of each column: rows ``(column, <name>)``.
+def _select(first: DataFrame, data: DataFrame, p: float, interpolate: bool) -> DataFrame:
+    """Quantile ``q`` of each group ``g`` in ``first``; later passes look at ``data`` only within ranges.
 
-    The narrowing steps are one wide aggregation each, whose one row reaches the
-    next as a scalar subquery. Only values inside their column's bracket are
-    turned into rows.
+    A target is a rank ``k`` among the values of its range, with the side (0 below the
+    wanted rank, 1 above) and the share of the upper side.
     """
-    typed = df.select([F.col(c).cast("double").alias(c) for c in cols])
-    first = typed.agg(*[F.struct(*_first_stats(F.col(f"`{c}`"), p)).alias(c) for c in cols])
-    b1 = first.select(F.struct(*[F.struct(*_first_bounds(f"`{c}`.", p, interpolate)).alias(c) for c in cols]))
-    second = (typed.withColumn("_b", b1.scalar())
-              .agg(*[F.struct(*_second_stats(F.col(f"`{c}`"), f"_b.`{c}`.")).alias(c) for c in cols])
-              .withColumn("_b", b1.scalar()))
-    b2 = second.select(F.struct(*[F.struct(*_second_bounds(f"`{c}`.", f"_b.`{c}`.")).alias(c) for c in cols]))
-    bracketed = typed.withColumn("_b", b2.scalar())
-    below = bracketed.agg(*[F.count_if(F.col(f"`{c}`") < F.col(f"_b.`{c}`.lo")).alias(c) for c in cols])
-    brackets = below.withColumn("_b", b2.scalar()).select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("n_below"), F.col(f"_b.`{c}`").alias("b"))
-        for c in cols]))).where("b.lo IS NOT NULL")
-    entry = [F.when(F.col(f"`{c}`").between(F.col(f"_b.`{c}`.lo"), F.col(f"_b.`{c}`.hi")),
-                    F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("v"))) for c in cols]
-    inside = bracketed.select(F.inline(F.filter(F.array(*entry), lambda e: e.isNotNull())))
-    order = (Window.partitionBy("column").orderBy("v")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = (inside.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("within", F.sum("n").over(order)).join(brackets, "column")
-              .withColumn("upto", F.col("within") + F.col("n_below")))
-    picked = _picked(ranked, ["column", "n_below", "b"]).withColumn("below", F.col("n_below"))
-    return picked.select("column", _checked().alias(name))
+    counts = _counted(first, ["g"], 0).withColumn("total", F.sum("n").over(Window.partitionBy("g")))
+    rank = F.lit(p) * (F.col("total") - 1) if interpolate else F.greatest(F.ceil(F.lit(p) * F.col("total")) - 1, F.lit(0))
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), (r - (F.col("upto") - F.col("n"))).cast("long").alias("k"),
+                               (rank - F.floor(rank)).cast("double").alias("share"))
+                      for i, r in enumerate((F.floor(rank), F.ceil(rank)))])
+    here = F.filter(sides, lambda s: (s["k"] >= 0) & (s["k"] < F.col("n")))
+    ranges = counts.select("g", "low", "high", F.inline(here))
+    fixed = []
+    for number in range(1, DIGITS):
+        fixed.append(ranges.where("low = high"))
+        target = ["g", "side", "k", "share"]
+        inside = (data.join(ranges.where("low < high"), "g").where(F.col("v").between(F.col("low"), F.col("high")))
+                  .select(*target, "v"))
+        rest = F.col("k") - (F.col("upto") - F.col("n"))
+        ranges = _counted(inside, target, number).where((rest >= 0) & (rest < F.col("n"))).select(
+            "g", "low", "high", "side", rest.alias("k"), "share")
+    found = reduce(DataFrame.unionByName, fixed, ranges)
+    side = [F.max(F.when(F.col("side") == i, F.col("low"))) for i in (0, 1)]
+    share = F.max("share")
+    return found.groupBy("g").agg(F.when(share == 0, side[0]).otherwise(side[0] + (side[1] - side[0]) * share).alias("q"))

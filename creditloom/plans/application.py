@@ -48,11 +48,12 @@ FEATURE_SOURCES = [
 def clean_application(df: DataFrame, strategy: str = "approx_median", rel_err: float = 0.01,
                       age: str = "ageYears", age_digits: int = 0, employed: str = "yearsEmployed",
                       unemployed: str = "isUnemployed", fit_on: DataFrame | None = None,
-                      dedup: bool = False) -> DataFrame:
+                      dedup: bool = False, by: str | None = None) -> DataFrame:
     """Encode flags, turn day offsets into years and impute what is missing.
 
     Statistics are taken from ``fit_on`` (default: the frame itself, so each
-    split imputes from its own values). Imputed numeric columns are double.
+    split imputes from its own values), in one pass for all values of the split
+    column ``by`` if that is given. Imputed numeric columns are double.
     """
     def derive(raw: DataFrame) -> DataFrame:
         out = encode_flag(raw, ["FLAG_OWN_CAR", "FLAG_OWN_REALTY"])
@@ -63,9 +64,9 @@ def clean_application(df: DataFrame, strategy: str = "approx_median", rel_err: f
 
     base = derive(df)
     reference = base if fit_on is None else derive(fit_on)
-    numeric = columns_by_type(base, exclude=(LABEL, KEY))
-    out = impute_numeric(base, numeric, strategy, rel_err, reference)
-    out = impute_mode(out, columns_by_type(base, ("string",)), fit_on=reference)
+    numeric = columns_by_type(base, exclude=(LABEL, KEY, by))
+    out = impute_numeric(base, numeric, strategy, rel_err, reference, by)
+    out = impute_mode(out, columns_by_type(base, ("string",), exclude=(by,)), fit_on=reference, by=by)
     return dedup_by_key(out, [KEY], [c for c in out.columns if c != KEY]) if dedup else out
 
 
@@ -81,6 +82,17 @@ def application_features(df: DataFrame, with_target: bool = True, strategy: str
     return cleaned.select([c.alias(n) for n, c in columns.items()])
 
 
+def application_features_of_splits(df: DataFrame, split: str, strategy: str = "approx_median",
+                                   rel_err: float = 0.01) -> DataFrame:
+    """Features of all splits in one frame, each imputed from its own values; 26 columns.
+
+    ``split`` names a column of few values. The label of an unlabelled split is NULL.
+    """
+    cleaned = clean_application(df.select(*FEATURE_SOURCES, LABEL, split), strategy, rel_err, by=split)
+    return cleaned.withColumn(LABEL, F.col(LABEL).cast("double")).select(
+        [c.alias(n) for n, c in feature_columns().items()])
+
+
 def feature_columns() -> dict[str, Column]:
     c = F.col
     return {

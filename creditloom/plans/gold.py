@@ -29,11 +29,16 @@ def gold_from_raw(app_train: DataFrame, app_test: DataFrame, raw: Mapping[str, D
     outer merge of the previous features is not needed: each group joins the
     base directly and stays on the partitioning its aggregation produced.
     """
+    return gold_in_one_plan(union_splits(app_train, app_test), raw, variant)
+
+
+def gold_in_one_plan(applications: DataFrame, raw: Mapping[str, DataFrame], variant: str = "as_coded") -> DataFrame:
+    """The gold table on the features of all splits."""
     parts = p.previous_parts(raw["previous_application"], raw["POS_CASH_balance"],
                              raw["installments_payments"], raw["credit_card_balance"], variant)
     tables = [b.bureau_features(raw["bureau"], raw["bureau_balance"], variant)]
     tables += [spec.table(detail) for spec, detail in parts]
-    return fan_in(union_splits(app_train, app_test), tables, "loanId")
+    return fan_in(applications, tables, "loanId")
 
 
 def integrate(base: DataFrame, features: list[DataFrame]) -> DataFrame:

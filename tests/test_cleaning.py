@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from creditloom.operators import cleaning
-from creditloom.operators.quantiles import ACCURACY, SLACK, column_percentiles, exact_percentile
+from creditloom.operators import cleaning, quantiles
+from creditloom.operators.quantiles import column_percentiles, exact_percentile
 
 
 def frame(spark, columns):
@@ -12,8 +12,16 @@ def frame(spark, columns):
     return spark.createDataFrame(data, ", ".join(f"{n} double" for n in names))
 
 
+@pytest.fixture(params=["direct", "radix"])
+def way(request, monkeypatch):
+    """Both ways give the same results; small inputs are sent through the passes too."""
+    if request.param == "radix":
+        monkeypatch.setattr(quantiles, "DIRECT", 3)
+        monkeypatch.setattr(quantiles, "DIRECT_CELLS", 0)
+
+
 @pytest.mark.parametrize("p", [0.0, 0.5, 0.99])
-def test_exact_percentile_small(spark, p):
+def test_exact_percentile_small(spark, p, way):
     """One group per size, with many repeated values."""
     sizes = [1, 2, 3, 4, 7, 10, 199, 200, 801, 5000]
     groups = {n: np.random.default_rng(n).integers(0, max(2, n // 3), n).astype(float) for n in sizes}
@@ -24,22 +32,28 @@ def test_exact_percentile_small(spark, p):
         assert got == np.percentile(groups[n], 100 * p, method="inverted_cdf")
 
 
-@pytest.mark.parametrize("shape", ["spread", "heavy", "two_values", "outliers"])
-def test_exact_percentile_beyond_the_sketch(spark, shape):
-    """Enough rows that both narrowing steps work on sketches; one value holds a third."""
-    n = 3 * SLACK * ACCURACY + 1
+@pytest.mark.parametrize("shape", ["spread", "heavy", "two_values", "outliers", "tiny"])
+def test_radix_selection_on_many_values(spark, shape):
+    """Groups above the direct size; one value may hold a third."""
+    n = 2 * quantiles.DIRECT + 5
     rng = np.random.default_rng(7)
     x = {"spread": rng.normal(size=n), "heavy": np.where(rng.random(n) < 0.34, 0.25, rng.random(n)),
-         "two_values": (rng.random(n) < 0.5).astype(float),
-         "outliers": np.where(rng.random(n) < 0.001, 1e300, rng.exponential(size=n))}[shape]
+         "two_values": (rng.random(n) < 0.5).astype(float), "tiny": rng.integers(-5, 6, n) * 5e-324,
+         "outliers": np.where(rng.random(n) < 0.001, -1e300, rng.exponential(size=n))}[shape]
     import pandas as pd
     df = spark.createDataFrame(pd.DataFrame({"g": np.arange(n) % 2, "v": x})).repartition(16)
     for p in (0.5, 0.9):
         for g, got in exact_percentile(df, ["g"], "v", p).collect():
-            assert got == pytest.approx(np.percentile(x[g::2], 100 * p), rel=1e-12, abs=1e-12)
+            assert got == pytest.approx(np.percentile(x[g::2], 100 * p), rel=1e-12, abs=0)
+
 
+def test_zeros_of_both_signs_and_infinities_are_in_order(spark, way):
+    df = spark.createDataFrame([(v,) for v in (-0.0, 0.0, float("-inf"), float("inf"), -1.5, 2.5, 2.5)], "v double")
+    got = [exact_percentile(df, [], "v", i / 6, interpolate=False).first()[0] for i in range(7)]
+    assert got == [float("-inf"), -1.5, 0.0, 0.0, 2.5, 2.5, float("inf")]
 
-def test_exact_percentile_groups(spark, rows):
+
+def test_exact_percentile_groups(spark, rows, way):
     df = spark.createDataFrame(
         [("a", 1.0), ("a", 2.0), (None, 5.0), (None, None), ("b", None)], "g string, v double")
     assert rows(exact_percentile(df, ["g"], "v")) == [(None, 5.0), ("a", 1.5)]
@@ -49,8 +63,8 @@ def test_exact_percentile_groups(spark, rows):
 
 
 @pytest.mark.parametrize("p", [0.5, 0.9])
-def test_column_percentiles_equal_numpy(spark, p):
-    rng, n = np.random.default_rng(1), SLACK * ACCURACY + 11
+def test_column_percentiles_equal_numpy(spark, p, way):
+    rng, n = np.random.default_rng(1), 30_011
     import pandas as pd
     data = pd.DataFrame({"a": rng.normal(size=n), "same": np.ones(n), "few": rng.integers(0, 3, n).astype(float),
                          "none": [None] * n})
@@ -93,6 +107,16 @@ def test_statistics_can_come_from_another_split(spark):
     assert [r.x for r in cleaning.impute_numeric(test, ["x"], "median", fit_on=train).collect()] == [3.0, 100.0]
 
 
+@pytest.mark.parametrize("strategy", ["median", "approx_median"])
+def test_statistics_of_splits_are_fitted_side_by_side(spark, strategy, way):
+    df = spark.createDataFrame([(True, 1.0, "a"), (True, 3.0, "a"), (True, None, None), (False, None, "b"), (False, 9.0, None),
+                                (False, None, "b")], "test boolean, x double, s string")
+    out = cleaning.impute_mode(cleaning.impute_numeric(df, ["x"], strategy, 0.0, by="test"), ["s"], by="test")
+    lower = 1.0 if strategy == "approx_median" else 2.0
+    assert sorted(map(tuple, out.collect())) == [(False, 9.0, "b"), (False, 9.0, "b"), (False, 9.0, "b"),
+                                                 (True, 1.0, "a"), (True, lower, "a"), (True, 3.0, "a")]
+
+
 def test_mode_lets_null_compete(spark):
     df = spark.createDataFrame(
         [(None, "u", None), (None, "u", "q"), ("a", None, "p"), ("b", "v", None)],

@@ -75,7 +75,8 @@ def _splits(spark, sf):
 
 
 def gold(spark, sf):
-    return rounded(g.gold_from_raw(*_splits(spark, sf), roles.raw(spark, sf)))
+    applications = a.application_features_of_splits(roles.labelled_splits(spark, sf), "unlabelled", "median")
+    return rounded(g.gold_in_one_plan(applications, roles.raw(spark, sf)))
 
 
 def gold_layered(spark, sf):

@@ -88,6 +88,11 @@ def application_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applications(spark, sf_dir).where(F.col("unlabelled")).drop("unlabelled", "TARGET")
 
 
+def labelled_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both splits in one frame, told apart by ``unlabelled``."""
+    return applications(spark, sf_dir).withColumn("TARGET", F.when(~F.col("unlabelled"), F.col("TARGET")))
+
+
 def application(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All applications with their label."""
     return applications(spark, sf_dir).drop("unlabelled")
