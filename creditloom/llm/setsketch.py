@@ -20,7 +20,15 @@ which those that the pivot lacks come first, and two sets of similarity
 follow (how few depends on both sizes). What an outsider has of its own then
 decides whom it meets. Bitmaps of what each set lacks of the pivot and has beyond it
 bound the intersection from above where they meet, which leaves out chance meetings
-of near copies. So a large group does not meet itself, and no pair that shares a band
+of near copies.
+
+Outsiders may be a large family themselves. A place, that is a group and a leading
+shingle, at which more than ``FEW`` outsiders would meet more than ``FEW`` members
+doesn't propose their pairs but elects a new pivot, the outsider with most company, and
+compares all who are there with it; those linked to it are joined up, and the others are
+searched in the same way against the new pivot. A pivot is not among those it is compared
+with, so groups shrink and the search ends. Every family is so compared with a
+few of its members, however many there are in a bucket, and no pair that shares a band
 is lost.
 
 Defined results: null and wordless texts have an empty set and no links. Rows of
@@ -46,6 +54,8 @@ BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 SIZE_CLASSES = 50
 #: Standard deviations that an estimate may lie below the threshold.
 SLACK = 5.0
+#: A place where at most so many of one side meet the others compares them all.
+FEW = 16
 
 _SALT = T.mix(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _FACTOR = T.mix(_SALT) | np.uint64(1)
@@ -280,6 +290,75 @@ def _with_texts(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataF
     return (pairs.join(_sided(texts, "a"), "a").join(_sided(texts, "b"), "b").select("a", "b", "text_a", "text_b"))
 
 
+def _compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Exact decisions on pairs of a pivot and a member, and what the search for other pairs needs."""
+    return stored(T.map_batches(_with_texts(pairs, classes, texts), _verifier(percent, True),
+                                "a long, b long, linked boolean, n long, leading binary, "
+                                + ", ".join(f"{c} long" for c in AGAINST)), "compared")
+
+
+#: A place where members meet: a group, a leading shingle, a class of sizes.
+PLACE = ["pivot", "shingle", "size_class"]
+
+
+def _meeting(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Entries of the outsiders of groups, and of all members to be met by them."""
+    wanted = [F.col("grp").alias("a"), "b", "n", "leading", *AGAINST]
+    return (T.map_batches(rows.where("NOT linked").select(wanted), _entries(percent), _ENTRIES),
+            T.map_batches(rows.select(wanted), _entries(None), _ENTRIES))
+
+
+def _elected(rows: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
+    """Pairs (grp, a, b) of the new pivots of crowded places with all who are there.
+
+    A pivot is the outsider with most company; places of one group that elect the same
+    pivot become one new group.
+    """
+    probes, index = (x.select(*PLACE, "id").join(crowded, PLACE) for x in _meeting(rows, percent))
+    there = stored(probes.select("*", F.lit(True).alias("outsider")).unionByName(
+        index.select("*", F.lit(False).alias("outsider"))), "there")
+    company = there.where("outsider").groupBy("pivot", "id").agg(F.sum(F.col("n_probes") + F.col("n_index")).alias("company"))
+    pivots = (there.where("outsider").join(company, ["pivot", "id"]).groupBy(*PLACE)
+              .agg(F.max(F.struct("company", (-F.col("id")).alias("id"))).alias("p")).select(*PLACE, (-F.col("p.id")).alias("a")))
+    return stored(there.join(pivots, PLACE).where("id != a").select(
+        F.xxhash64("pivot", "a").alias("grp"), "a", F.col("id").alias("b")).distinct(), "elected")
+
+
+def _found(groups: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join up all similar members of groups (grp, pivot a, member b, linked and ``AGAINST`` a)."""
+    needed = f"ceil({percent} * (x.n + y.n) / {100 + percent})"
+    in_pivot = "x.p - bit_count(x.lack0 | y.lack0) - bit_count(x.lack1 | y.lack1)"
+    beyond = "least({0}, {1})".format(*(
+        f"{s}.beyond - bit_count({s}.more0 & ~{t}.more0) - bit_count({s}.more1 & ~{t}.more1)" for s, t in ("xy", "yx")))
+    links, met = groups.where("linked").select("a", "b"), None
+    while True:
+        tally = groups.groupBy("grp").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("outsiders"))
+        rows = groups.join(tally.where("members > 1 AND outsiders > 0"), "grp")
+        probes, index = _meeting(rows, percent)
+        # Where few are on one side all meet; where many are on both, one of them becomes a pivot.
+        many = [x.groupBy(*PLACE).agg(F.count("*").alias(n)).where(f"{n} > {FEW}") for x, n in zip(
+            _meeting(rows.where(f"outsiders > {FEW}"), percent), ("n_probes", "n_index"))]
+        crowded = stored(many[0].join(many[1], PLACE), "crowded")
+        last = crowded.isEmpty()
+        if not last:
+            probes = probes.join(crowded, PLACE, "left_anti")
+        close = (probes.alias("x").join(index.alias("y"), F.expr(
+            f"x.pivot = y.pivot AND x.shingle = y.shingle AND x.size_class = y.size_class AND x.id != y.id"
+            f" AND x.n - x.i >= {needed} AND y.n - y.i >= {needed} AND {in_pivot} + {beyond} >= {needed}"))
+            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+        close = stored(_sketched(close, classes, percent), "met")
+        met = close if met is None else met.unionByName(close)
+        if last:
+            break
+        pairs = _elected(rows.where(f"outsiders > {FEW}"), crowded, percent)
+        groups = pairs.join(_compared(pairs.select("a", "b").distinct(), classes, texts, percent), ["a", "b"])
+        links = links.union(groups.where("linked").select("a", "b"))
+    if met.isEmpty():
+        return links
+    more = T.map_batches(_with_texts(met.distinct(), classes, texts), _verifier(percent, False), "a long, b long, linked boolean")
+    return links.union(more.where("linked").select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``."""
     every = stored(sketches(docs), "sketches")
@@ -302,29 +381,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     pairs = (shared.join(pivots, "band").where("id != a").groupBy("a", F.col("id").alias("b"))
              .agg(F.max("company").alias("company")))
     pairs = stored(_sketched(pairs, classes, percent, "company > 2"), "pairs")
-    compared = stored(T.map_batches(_with_texts(pairs, classes, texts), _verifier(percent, True),
-                                    "a long, b long, linked boolean, n long, leading binary, "
-                                    + ", ".join(f"{c} long" for c in AGAINST)), "compared")
-    links = compared.where("linked").select("a", "b")
-
-    outsiders = compared.where("NOT linked")
-    group = compared.groupBy("a").agg(F.count("*").alias("members"), F.count_if("linked").alias("n_linked"))
-    group = group.where("members > 1 AND n_linked < members").select("a")
-    wanted = ["a", "b", "n", "leading", *AGAINST]
-    probes = T.map_batches(outsiders.join(group, "a", "left_semi").select(wanted), _entries(percent), _ENTRIES)
-    index = T.map_batches(compared.join(group, "a", "left_semi").select(wanted), _entries(None), _ENTRIES)
-    needed = f"ceil({percent} * (x.n + y.n) / {100 + percent})"
-    in_pivot = "x.p - bit_count(x.lack0 | y.lack0) - bit_count(x.lack1 | y.lack1)"
-    beyond = "least({0}, {1})".format(*(
-        f"{s}.beyond - bit_count({s}.more0 & ~{t}.more0) - bit_count({s}.more1 & ~{t}.more1)" for s, t in ("xy", "yx")))
-    met = (probes.alias("x").join(index.alias("y"), F.expr(
-        f"x.pivot = y.pivot AND x.shingle = y.shingle AND x.size_class = y.size_class AND x.id != y.id"
-        f" AND x.n - x.i >= {needed} AND y.n - y.i >= {needed} AND {in_pivot} + {beyond} >= {needed}"))
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
-    met = stored(_sketched(met, classes, percent), "met")
-    if not met.isEmpty():
-        found = T.map_batches(_with_texts(met, classes, texts), _verifier(percent, False), "a long, b long, linked boolean")
-        links = links.union(found.where("linked").select("a", "b"))
+    compared = _compared(pairs, classes, texts, percent)
+    links = _found(compared.withColumn("grp", F.col("a")), classes, texts, percent)
 
     # An id with several texts is one node: it joins the classes of all of them.
     own = named.select("doc_id", "low", "high").join(equal.drop("n_shingles"), ["low", "high"])
@@ -347,11 +405,13 @@ def digest(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those of a group other than its smallest id.
 
-    Repeats of one id and text go too; different texts of an id stay together.
+    Repeats of one id and text go too, the row with the least other columns stays; different
+    texts of an id stay together.
     """
-    gone = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    number = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id"))
-    named = (docs.where("doc_id IS NOT NULL").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-             .withColumn("_nth", number).where("_nth = 1").drop("_nth"))
-    return named.unionByName(docs.where("doc_id IS NULL"))
-
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", whole)
+    gone = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("id")).distinct()
+    order = [F.col("whole").getField(c) for c, kind in docs.dtypes if c != "text" and not kind.startswith("map")]
+    number = F.row_number().over(Window.partitionBy("id", "text").orderBy(*order))
+    named = (rows.where("id IS NOT NULL").join(gone, "id", "left_anti").withColumn("nth", number).where("nth = 1"))
+    return named.select("whole.*").unionByName(docs.where("doc_id IS NULL"))

@@ -82,5 +82,5 @@ def test_registered_queries():
 
     assert set(registry.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(registry.ORACLES) <= set(entry.oracle_sql())
-    assert sorted(int(n.split("_")[0][2:]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in registry.QUERIES) == list(range(1, 14))
     assert crc(1, 4) in range(4)

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from conftest import prose, vocabulary
 
 from creditloom.llm import setsketch as S
@@ -85,6 +86,51 @@ def test_near_copies_beyond_their_pivot(frame):
     assert 5 < sum(k[3] for k in want) < 200
 
 
+def families(n, nested):
+    """Families of ``n`` near copies each that share bands: 200 words, a second and third family with 20 other words each."""
+    rng, words, docs = random.Random(5), vocabulary(), []
+    base = prose(rng, words, 200).split(" ")
+    for k in range(3 if nested else 2):
+        for _ in range(n):
+            copy = list(base)
+            copy[rng.randrange(200)] = rng.choice(words)
+            docs.append((len(docs), " ".join(copy)))
+        for at in rng.sample(range(200), 20):
+            base[at] = f"other{k}{at}"
+    return docs
+
+
+def _met(frame, docs, monkeypatch):
+    """The result's number of groups, and how many pairs were proposed."""
+    pairs = {}
+
+    def counted(found, name, *more):
+        found = stored(found, name, *more)
+        pairs[name] = pairs.get(name, 0) + (found.count() if name in ("met", "elected", "pairs") else 0)
+        return found
+
+    stored = S.stored
+    with monkeypatch.context() as patch:
+        patch.setattr(S, "stored", counted)
+        kept = S.digest(frame(docs)).where("kept").count()
+    return kept, sum(pairs.values())
+
+
+@pytest.mark.parametrize("nested", [False, True])
+def test_large_families_in_one_bucket_do_not_meet_pair_by_pair(frame, monkeypatch, nested):
+    small, large = (_met(frame, families(n, nested), monkeypatch) for n in (60, 240))
+    assert small[0] == large[0] == 3 - (not nested)
+    assert large[1] < 8 * 240 * (2 + nested)
+
+
+def test_families_equal_brute_force(frame, monkeypatch):
+    monkeypatch.setattr(S, "FEW", 2)
+    docs = families(25, True)
+    assert result(S.digest(frame(docs))) == brute(docs)
+    docs = chain()
+    assert result(S.digest(frame(docs))) == brute(docs)
+
+
 def test_empty_tables(frame):
     assert S.digest(frame([])).count() == 0
     assert result(S.digest(frame([(1, None), (2, "")]))) == {("1", 0, 1, True): 1, ("2", 0, 2, True): 1}
@@ -106,6 +152,13 @@ def test_different_texts_of_an_id_stay(frame, corpus):
     assert left == sorted([(7, t) for t in set(texts)] + [(7, ""), (8, "other words here")])
 
 
+def test_keep_one_with_clashing_names(frame):
+    docs = frame([(1, "a b"), (1, "a b"), (2, "a b"), (None, "a b")]).selectExpr(
+        "*", "1 AS _nth", "2 AS _gone", "3 AS nth", "4 AS whole")
+    left = S.keep_one(docs)
+    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "None"]
+
+
 def _sketch(values):
     part = T.mix(np.array(sorted(values), dtype=np.uint64))
     return S.sketch(part, np.zeros(1, dtype=np.int64))[0]
