@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.operators import quality
@@ -22,7 +22,8 @@ from creditloom.plans import cleaned, gold as g
 from creditloom.plans import previous as p
 from creditloom.schemas import RAW_TABLES
 from creditloom.session import build_session
-from creditloom.sources import manifest
+from creditloom.sources import manifest, quarantine
+from creditloom.sources.checksums import checksums
 from creditloom.sources.layers import publish_table, read_layer, read_raw, verify_count, write_layer
 
 HISTORY_TABLES = list(cleaned.KEPT)
@@ -42,18 +43,19 @@ class LandingError(Exception):
 def verify_landing(spark: SparkSession, raw_dir: str, expected: DataFrame | None = None) -> None:
     """Raise unless the landing holds what it should.
 
-    ``expected`` is the sender's manifest ``(name, length)``; without one, the
-    ten known names must be there and nothing else. A file stored as a folder of
-    parts counts as one.
+    ``expected`` is the sender's manifest ``(name, length)``, with ``crc32`` where contents are
+    to be compared too; without one, the ten known names must be there, none of them empty,
+    and nothing else. A file stored as a folder of parts counts as one.
     """
-    landed = (manifest.list_files(spark, raw_dir)
-              .groupBy(F.substring_index("name", "/", 1).alias("name")).agg(F.sum("length").alias("length")))
     if expected is None:
-        names = spark.createDataFrame([(n,) for n in LANDED_FILES], "name string")
-        expected = names.join(landed, "name", "left").fillna(0, ["length"])
-    result = manifest.reconcile_manifest(expected, landed)
-    if not manifest.landing_verdict(result).first().success:
-        bad = result.where("status != 'ok'").orderBy("name").limit(20).collect()
+        expected = spark.createDataFrame([(n, None) for n in LANDED_FILES], "name string, length long")
+    if "crc32" in expected.columns and not expected.where("crc32 IS NOT NULL").isEmpty():
+        found = checksums(spark, raw_dir)
+    else:
+        found = (manifest.list_files(spark, raw_dir)
+                 .groupBy(F.substring_index("name", "/", 1).alias("name")).agg(F.sum("length").alias("length")))
+    bad = manifest.reconcile_contents(expected, found).where("status != 'ok'").orderBy("name").limit(20).collect()
+    if bad:
         raise LandingError("; ".join(f"{r.name}: {r.status}" for r in bad))
 
 
@@ -65,11 +67,35 @@ def check_schemas(spark: SparkSession, bronze: str) -> None:
             raise LandingError("; ".join(f"{name}.{r['column']}: {r.status}" for r in drift))
 
 
-def land(spark: SparkSession, raw_dir: str, bronze: str, expected: DataFrame | None = None) -> None:
-    """Check the landing, then raw CSV to Parquet once; every later scan is columnar and pruned."""
+def land(spark: SparkSession, raw_dir: str, bronze: str, expected: DataFrame | None = None,
+         quarantine_dir: str | None = None) -> None:
+    """Check the landing, then raw CSV to Parquet once; every later scan is columnar and pruned.
+
+    Headers are compared with the registered schemas first. Without ``quarantine_dir`` any
+    drift and any field that does not parse stops the landing. With it, drift is recorded in
+    its ``drift`` table and faulty rows go to its ``rows`` table, and the rest lands.
+    """
     verify_landing(spark, raw_dir, expected)
+    heads = {n: quarantine.headers(spark, f"{raw_dir}/{n}.csv") for n in RAW_TABLES}
+    drifts = {n: quarantine.drift(heads[n], schema) for n, schema in RAW_TABLES.items()}
+    if quarantine_dir is None:
+        found = [f"{n}.{r['column']}: {r.status}" for n, d in drifts.items() for r in d.limit(20).collect()]
+        if found:
+            raise LandingError("; ".join(found))
     for name, schema in RAW_TABLES.items():
-        write_layer(read_raw(spark, f"{raw_dir}/{name}.csv", schema), f"{bronze}/{name}")
+        source = f"{raw_dir}/{name}.csv"
+        if quarantine_dir is None:
+            write_layer(read_raw(spark, source, schema), f"{bronze}/{name}")
+            continue
+        version = quarantine.record_drift(name, drifts[name], f"{quarantine_dir}/drift")
+        rows = quarantine.checked(spark, source, schema, heads[name])
+        # Faulty rows are counted while the others are written; they are read again only where there are some.
+        faulty = Observation()
+        write_layer(quarantine.landed(rows.observe(faulty, F.count_if(F.size("faults") > 0).alias("n")), schema),
+                    f"{bronze}/{name}")
+        if faulty.get["n"]:
+            bad = quarantine.quarantined(rows).select(F.lit(name).alias("table"), F.lit(version).alias("version"), "*")
+            write_layer(bad, f"{quarantine_dir}/rows", mode="append")
 
 
 def build_silver(spark: SparkSession, bronze: str, silver: str, strategy: str = "approx_median",
@@ -151,12 +177,15 @@ def main() -> None:
     parser.add_argument("--db", default="gold")
     parser.add_argument("--table", default="loans")
     parser.add_argument("--buckets", type=int, default=0, help="bucket the gold table by loan")
+    parser.add_argument("--manifest", help="the sender's CSV of name, length and crc32")
+    parser.add_argument("--quarantine", help="folder for faulty rows and schema drift; without it they stop the landing")
     parser.add_argument("--integrated", action="store_true", help="also build the integrated tables")
     parser.add_argument("--shuffle-width", type=int, help="initial partitions of every exchange")
     args = parser.parse_args()
     spark = build_session("creditloom-medallion", shuffle_width=args.shuffle_width)
     bronze, silver = f"{args.out}/bronze", f"{args.out}/silver"
-    land(spark, args.raw, bronze)
+    expected = manifest.read_manifest(spark, args.manifest) if args.manifest else None
+    land(spark, args.raw, bronze, expected, args.quarantine)
     build_silver(spark, bronze, silver)
     buckets = (args.buckets, "loanId") if args.buckets else None
     count = build_gold(spark, silver, f"{args.out}/staging", args.db, args.table, buckets)

@@ -63,6 +63,49 @@ def test_faulty_landings_and_joins_stop_the_pipeline(spark, raw_dir, tmp_path):
     assert not spark.catalog.databaseExists("medallion_bad")
 
 
+def test_manifest_finds_cut_reordered_and_empty_files(spark, raw_dir, tmp_path):
+    from creditloom.sources.checksums import checksums
+    from creditloom.sources.manifest import read_manifest
+
+    checksums(spark, raw_dir).coalesce(1).write.option("header", True).csv(f"{tmp_path}/manifest.csv")
+    sent = read_manifest(spark, f"{tmp_path}/manifest.csv")
+    medallion.verify_landing(spark, raw_dir, sent)
+    part = sorted((tmp_path / "raw" / "bureau.csv").glob("part-*"))[0]
+    (part.parent / f".{part.name}.crc").unlink()     # the local file system's own check
+    text = part.read_bytes()
+    head, *lines = text.splitlines(keepends=True)
+    for changed, status in ((text[:-40], "size_mismatch"), (head + b"".join(reversed(lines)), "checksum_mismatch")):
+        part.write_bytes(changed)
+        with pytest.raises(medallion.LandingError, match=f"bureau.csv: {status}"):
+            medallion.verify_landing(spark, raw_dir, sent)
+    part.write_bytes(text)
+    small = tmp_path / "raw" / "sample_submission.csv"
+    small.write_text("")
+    with pytest.raises(medallion.LandingError, match="sample_submission.csv: empty"):
+        medallion.verify_landing(spark, raw_dir)
+
+
+def test_widened_and_faulty_files_are_quarantined(spark, raw_dir, tmp_path):
+    bronze, aside = f"{tmp_path}/bronze", f"{tmp_path}/aside"
+    folder = tmp_path / "raw" / "bureau_balance.csv"
+    medallion.land(spark, raw_dir, bronze, None, aside)
+    before = read_layer(spark, bronze, "bureau_balance").count()
+    assert not os.path.exists(f"{aside}/rows")
+    (folder / "part-wide.csv").write_text("SK_ID_BUREAU,STATUS,NEW_COL\n1,C,x\n2,0,y\n")
+    (folder / "part-bad.csv").write_text("SK_ID_BUREAU,MONTHS_BALANCE,STATUS\n1,twelve,C\n2,-1,X\n3,-1\n")
+    with pytest.raises(medallion.LandingError, match="bureau_balance.NEW_COL: added"):
+        medallion.land(spark, raw_dir, bronze)
+    medallion.land(spark, raw_dir, bronze, None, aside)
+    assert read_layer(spark, bronze, "bureau_balance").count() == before + 3
+    found = spark.read.parquet(f"{aside}/rows").orderBy("reason").collect()
+    assert [(r.table, r.version, r.file, r["column"], r.reason, r.value) for r in found] == [
+        ("bureau_balance", 2, "part-bad.csv", "MONTHS_BALANCE", "not int", "twelve"),
+        ("bureau_balance", 2, "part-bad.csv", None, "other number of fields", "3,-1")]
+    drift = spark.read.parquet(f"{aside}/drift").where("column IS NOT NULL").orderBy("column").collect()
+    assert [(r.version, r.file, r["column"], r.status) for r in drift] == [
+        (2, "part-wide.csv", "MONTHS_BALANCE", "missing"), (2, "part-wide.csv", "NEW_COL", "added")]
+
+
 def test_pipeline(spark, raw_dir, tmp_path):
     bronze, silver = f"{tmp_path}/bronze", f"{tmp_path}/silver"
     medallion.land(spark, raw_dir, bronze)
