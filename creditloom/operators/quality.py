@@ -6,10 +6,10 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from creditloom.sources.layers import read_path, stage_write, write_layer
+from creditloom.sources.layers import read_path, replace_path, write_layer
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,10 @@ def validate(df: DataFrame, suite: Sequence[Expectation]) -> DataFrame:
     """
     counters = df.agg(F.count(F.lit(1)).alias("n_rows"),
                       *[e.unexpected.alias(f"e{i}") for i, e in enumerate(suite)])
+    return _verdict(counters, suite)
 
+
+def _verdict(counters: DataFrame, suite: Sequence[Expectation]) -> DataFrame:
     def result(step: int, kind: str, column: str | None, count: Column) -> Column:
         return F.struct(F.lit(step).alias("step"), F.lit(kind).alias("expectation"),
                         F.lit(column).cast("string").alias("column"),
@@ -77,6 +80,28 @@ def validate(df: DataFrame, suite: Sequence[Expectation]) -> DataFrame:
     return counters.select(F.inline(F.array(*rows)))
 
 
+class WriteChecks:
+    """A suite whose counts are taken while the rows are written.
+
+    Write ``measured``, then ask for the ``result`` on what was written: only uniqueness
+    is not a running count and reads its key columns once more.
+    """
+
+    def __init__(self, df: DataFrame, suite: Sequence[Expectation]):
+        self.suite, self.seen = list(suite), Observation()
+        self.running = {f"e{i}": e.unexpected for i, e in enumerate(self.suite) if e.kind != "unique"}
+        self.measured = df.observe(self.seen, F.count(F.lit(1)).alias("n_rows"),
+                                   *[c.alias(n) for n, c in self.running.items()])
+
+    def result(self, written: DataFrame) -> DataFrame:
+        """The rows that ``validate`` returns for ``written``."""
+        counted = {n: F.lit(v).cast("long").alias(n) for n, v in self.seen.get.items()}
+        later = {f"e{i}": e.unexpected for i, e in enumerate(self.suite) if f"e{i}" not in counted}
+        counters = (written.agg(*[c.alias(n) for n, c in later.items()]) if later
+                    else written.sparkSession.range(1)).select("*", *counted.values())
+        return _verdict(counters, self.suite)
+
+
 class ValidationError(Exception):
     pass
 
@@ -98,8 +123,9 @@ def key_audit(df: DataFrame, key: str) -> DataFrame:
 
 def promote(df: DataFrame, suite: Sequence[Expectation], path: str, staging: str,
             files: int | None = None) -> DataFrame:
-    """Stage, validate what was staged, and only then write the final path."""
-    staged = stage_write(df, staging)
-    gate(validate(staged, suite))
-    write_layer(staged, path, files)
+    """Stage, gate on the checks taken while staging, and only then move to the final path."""
+    checks = WriteChecks(df, suite)
+    write_layer(checks.measured, staging, files)
+    gate(checks.result(read_path(df.sparkSession, staging)))
+    replace_path(df.sparkSession, staging, path)
     return read_path(df.sparkSession, path)

@@ -9,12 +9,13 @@ the tasks of the running step.
 from __future__ import annotations
 
 import argparse
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.operators import quality
-from creditloom.operators.joins import assert_cardinality
+from creditloom.operators.joins import assert_cardinality, fan_in
 from creditloom.operators.projection import schema_diff, union_splits
 from creditloom.plans import application as a
 from creditloom.plans import bureau as b
@@ -24,7 +25,9 @@ from creditloom.schemas import RAW_TABLES
 from creditloom.session import build_session
 from creditloom.sources import manifest, quarantine
 from creditloom.sources.checksums import checksums
-from creditloom.sources.layers import publish_table, read_layer, read_raw, verify_count, write_layer
+from creditloom.sources.layers import (
+    publish_table, read_layer, read_path, read_raw, replace_path, verify_count, write_layer,
+)
 
 HISTORY_TABLES = list(cleaned.KEPT)
 
@@ -98,14 +101,12 @@ def land(spark: SparkSession, raw_dir: str, bronze: str, expected: DataFrame | N
             write_layer(bad, f"{quarantine_dir}/rows", mode="append")
 
 
-def build_silver(spark: SparkSession, bronze: str, silver: str, strategy: str = "approx_median",
-                 variant: str = "as_coded", files: int | None = None) -> None:
-    check_schemas(spark, bronze)
-
+def silver_tables(spark: SparkSession, bronze: str, strategy: str = "approx_median",
+                  variant: str = "as_coded") -> dict[str, DataFrame]:
     def raw(name: str) -> DataFrame:
         return read_layer(spark, bronze, name)
 
-    tables = {
+    return {
         "application_train": a.application_features(raw("application_train"), True, strategy),
         "application_test": a.application_features(raw("application_test"), False, strategy),
         "bureau_features": b.bureau_features(raw("bureau"), raw("bureau_balance"), variant),
@@ -113,25 +114,60 @@ def build_silver(spark: SparkSession, bronze: str, silver: str, strategy: str =
             raw("previous_application"), raw("POS_CASH_balance"), raw("installments_payments"),
             raw("credit_card_balance"), variant),
     }
-    for name, df in tables.items():
+
+
+def build_silver(spark: SparkSession, bronze: str, silver: str, strategy: str = "approx_median",
+                 variant: str = "as_coded", files: int | None = None) -> None:
+    check_schemas(spark, bronze)
+    for name, df in silver_tables(spark, bronze, strategy, variant).items():
         write_layer(df, f"{silver}/{name}", files)
 
 
+def bucket_silver(tables: Mapping[str, DataFrame], db: str, buckets: int, location: str | None = None) -> None:
+    """Silver as catalog tables bucketed by loan, the applications of both splits in one.
+
+    All hold one row per loan, so no bucket is larger than others.
+    """
+    bucketed = {"applications": union_splits(tables["application_train"], tables["application_test"]),
+                "bureau_features": tables["bureau_features"], "previous_features": tables["previous_features"]}
+    for name, df in bucketed.items():
+        publish_table(df, db, name, (buckets, "loanId"), location)
+
+
+def gold_of_buckets(spark: SparkSession, db: str) -> DataFrame:
+    """Gold of bucketed silver: bucket joins bucket, nothing is exchanged."""
+    base, *features = (spark.table(f"{db}.{n}") for n in ("applications", "bureau_features", "previous_features"))
+    return fan_in(base, features, "loanId")
+
+
 def gold_suite() -> list[quality.Expectation]:
     return [quality.expect_not_null("loanId"), quality.expect_unique("loanId"),
             quality.expect_in_set("target", [0, 1]), quality.expect_between("ageYears", 18, 100)]
 
 
-def build_gold(spark: SparkSession, silver: str, staging: str, db: str, table: str,
-               bucket_by: tuple[int, str] | None = None, location: str | None = None) -> DataFrame:
-    """Join, stage, validate, publish; returns the row count read back."""
+def build_gold(spark: SparkSession, silver: str, db: str, table: str, bucket_by: tuple[int, str] | None = None,
+               location: str | None = None) -> DataFrame:
+    """Join, write a new version, check it, publish it; returns the row count read back."""
     train, test = (read_layer(spark, silver, f"application_{s}") for s in ("train", "test"))
     result = g.gold(train, test, read_layer(spark, silver, "bureau_features"),
                     read_layer(spark, silver, "previous_features"))
-    staged = quality.stage_write(result, f"{staging}/gold")
-    quality.gate(quality.validate(staged, gold_suite()))
-    assert_cardinality(union_splits(train, test).select("loanId"), staged.select("loanId"), "loanId")
-    publish_table(staged, db, table, bucket_by, location)
+    return publish_gold(spark, result, union_splits(train, test), db, table, bucket_by, location)
+
+
+def publish_gold(spark: SparkSession, result: DataFrame, base: DataFrame, db: str, table: str,
+                 bucket_by: tuple[int, str] | None = None, location: str | None = None) -> DataFrame:
+    """Publish gold if what was written passes its suite and has the base's rows and loans."""
+    checks = quality.WriteChecks(result, gold_suite())
+
+    def check(written: DataFrame) -> None:
+        found = checks.result(written)
+        quality.gate(found)
+        rows = found.where("expectation = 'unique'").first()
+        keys = base.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("loanId").alias("k")).first()
+        if (keys.n, keys.k) != (rows.n_rows, rows.n_rows - rows.n_unexpected):
+            raise ValueError(f"join changed the cardinality: {keys.asDict()}, then {rows.asDict()}")
+
+    publish_table(checks.measured, db, table, bucket_by, location, check)
     return verify_count(spark, f"{db}.{table}")
 
 
@@ -164,10 +200,13 @@ def build_integrated(spark: SparkSession, bronze: str, silver: str, final: str,
         chosen = strategy if split == "train" else test_strategy
         write_layer(a.application_clean(raw, chosen), f"{silver}/application_{split}_clean")
         base = read_layer(spark, silver, f"application_{split}_clean")
-        staged = quality.stage_write(g.integrate(base, stored), f"{silver}/{split}_integrated")
-        quality.gate(quality.validate(staged, integrated_suite(split == "train")))
+        checks = quality.WriteChecks(g.integrate(base, stored), integrated_suite(split == "train"))
+        staging = f"{silver}/{split}_integrated"
+        write_layer(checks.measured, staging, files)
+        staged = read_path(spark, staging)
+        quality.gate(checks.result(staged))
         assert_cardinality(base, staged, "SK_ID_CURR")
-        write_layer(staged, f"{final}/{split}", files)
+        replace_path(spark, staging, f"{final}/{split}")
 
 
 def main() -> None:
@@ -188,7 +227,7 @@ def main() -> None:
     land(spark, args.raw, bronze, expected, args.quarantine)
     build_silver(spark, bronze, silver)
     buckets = (args.buckets, "loanId") if args.buckets else None
-    count = build_gold(spark, silver, f"{args.out}/staging", args.db, args.table, buckets)
+    count = build_gold(spark, silver, args.db, args.table, buckets)
     print("gold rows:", count.first().n)
     if args.integrated:
         build_integrated(spark, bronze, silver, f"{args.out}/integrated")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,21 +54,63 @@ def stage_write(df: DataFrame, tmp_path: str) -> DataFrame:
     return read_path(df.sparkSession, tmp_path)
 
 
-def publish_table(df: DataFrame, db: str, table: str, bucket_by: tuple[int, str] | None = None,
-                  location: str | None = None) -> None:
-    """Overwrite a catalog table; bucketing by the key spares later joins a shuffle.
+def replace_path(spark: SparkSession, staged: str, path: str) -> None:
+    """Put a written folder in the place of another one on the same file system, by renaming.
+
+    The old folder is out of the way before the new one takes its name and is deleted last: a
+    process killed in between leaves both, whole, and the next call puts things right.
+    """
+    jvm = spark.sparkContext._jvm
+    new, final, old = (jvm.org.apache.hadoop.fs.Path(p.rstrip("/")) for p in (staged, path, path.rstrip("/") + ".replaced"))
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(new):
+        raise OSError(f"there is nothing at {staged}")
+    if fs.exists(final):
+        fs.delete(old, True)
+        fs.rename(final, old)
+    fs.mkdirs(final.getParent())
+    if not fs.rename(new, final):
+        raise OSError(f"{staged} could not be moved to {path}")
+    fs.delete(old, True)
+
 
-    Bucket by a key with few rows each: every bucket is written by one task,
-    as one file. ``location`` is where a new database keeps its tables.
+def versions(spark: SparkSession, db: str, table: str) -> list[str]:
+    """Names of the stored versions of a published table, oldest first."""
+    return sorted(r.tableName for r in spark.sql(f"SHOW TABLES IN {db} LIKE '{table.lower()}__v*'").collect())
+
+
+def publish_table(df: DataFrame, db: str, table: str, bucket_by: tuple[int, str] | None = None,
+                  location: str | None = None, check: Callable[[DataFrame], None] | None = None,
+                  keep: int = 2) -> None:
+    """Publish a new version of a catalog table; bucketing by the key spares later joins a shuffle.
+
+    The rows are written to a table of their own, ``check`` may refuse what was written, and only
+    then the published name, a view, is pointed at it in one catalog change. Until that moment
+    readers see the old version, also when the write dies half-way; the last ``keep`` versions
+    stay for readers that have begun. Bucket by a key with few rows each: every bucket is
+    written by one task, as one file. ``location`` is where a new database keeps its tables.
     """
+    spark = df.sparkSession
     where = f" LOCATION '{location}'" if location else ""
-    df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {db}{where}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}{where}")
+    before = versions(spark, db, table)
+    number = 1 + (int(before[-1].rsplit("__v", 1)[1].split("_")[0]) if before else 0)
+    version = f"{table.lower()}__v{number:06d}_{uuid.uuid4().hex[:8]}"
     if bucket_by is None:
         writer = df.write
     else:
         n, key = bucket_by
         writer = df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
-    writer.format("parquet").mode("overwrite").saveAsTable(f"{db}.{table}")
+    writer.format("parquet").mode("errorifexists").saveAsTable(f"{db}.{version}")
+    if check is not None:
+        try:
+            check(spark.table(f"{db}.{version}"))
+        except Exception:
+            spark.sql(f"DROP TABLE {db}.{version}")
+            raise
+    spark.sql(f"CREATE OR REPLACE VIEW {db}.{table} AS SELECT * FROM {db}.{version}")
+    for old in [*before, version][:-keep]:
+        spark.sql(f"DROP TABLE {db}.{old}")
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -59,8 +59,9 @@ def test_faulty_landings_and_joins_stop_the_pipeline(spark, raw_dir, tmp_path):
     shutil.rmtree(f"{silver}/bureau_features")
     shutil.copytree(f"{tmp_path}/twice", f"{silver}/bureau_features")
     with pytest.raises(Exception, match="unique|cardinality"):
-        medallion.build_gold(spark, silver, f"{tmp_path}/staging", "medallion_bad", "loans")
-    assert not spark.catalog.databaseExists("medallion_bad")
+        medallion.build_gold(spark, silver, "medallion_bad", "loans")
+    assert spark.catalog.listTables("medallion_bad") == []
+    spark.sql("DROP DATABASE medallion_bad")
 
 
 def test_manifest_finds_cut_reordered_and_empty_files(spark, raw_dir, tmp_path):
@@ -111,14 +112,24 @@ def test_pipeline(spark, raw_dir, tmp_path):
     medallion.land(spark, raw_dir, bronze)
     assert set(os.listdir(bronze)) == set(RAW_TABLES)
     medallion.build_silver(spark, bronze, silver)
-    count = medallion.build_gold(spark, silver, f"{tmp_path}/staging", "medallion_test", "loans",
-                                 bucket_by=(4, "loanId"))
+    count = medallion.build_gold(spark, silver, "medallion_test", "loans", bucket_by=(4, "loanId"))
     customers = roles.table(spark, SF, "customer").count()
     assert count.first().n == customers
     gold = spark.table("medallion_test.loans")
     assert len(gold.columns) == 65
     assert gold.where("target IS NULL").count() == roles.application_test(spark, SF).count()
     spark.sql("DROP DATABASE medallion_test CASCADE")
+    medallion.bucket_silver(medallion.silver_tables(spark, bronze), "silver_test", 4)
+    joined = medallion.gold_of_buckets(spark, "silver_test")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+        assert joined.count() == customers and joined.columns == gold.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP DATABASE silver_test CASCADE")
 
 
 def test_integrated_tables(spark, raw_dir, tmp_path):

@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditloom.operators import projection, quality
@@ -50,6 +51,56 @@ def test_promote_writes_only_validated_data(spark, tmp_path):
     assert quality.promote(spark.createDataFrame(GOOD, SCHEMA), suite, good, f"{tmp_path}/s2", 1).count() == 3
 
 
+def test_checks_taken_while_writing_equal_those_taken_after(spark, tmp_path, rows):
+    suite = quality.load_suite(SUITE)
+    for i, data in enumerate((BAD, GOOD, [])):
+        df = spark.createDataFrame(data, SCHEMA)
+        checks = quality.WriteChecks(df, suite)
+        layers.write_layer(checks.measured, f"{tmp_path}/w{i}")
+        assert rows(checks.result(layers.read_path(spark, f"{tmp_path}/w{i}"))) == rows(quality.validate(df, suite))
+        plan = checks.result(layers.read_path(spark, f"{tmp_path}/w{i}"))._jdf.queryExecution().executedPlan().toString()
+        assert "ReadSchema: struct<SK_ID_CURR:" in plan and "AGE_YEARS" not in plan.split("ReadSchema")[1]
+
+
+def test_a_write_that_dies_leaves_the_old_version(spark, tmp_path):
+    old, worse = spark.range(10), spark.range(100).select(F.when(F.col("id") < 97, F.col("id")).otherwise(
+        F.raise_error(F.lit("killed"))).alias("id")).repartition(5)
+    db = "version_test"
+    try:
+        layers.publish_table(old, db, "T", location=f"{tmp_path}/db")
+        with pytest.raises(Exception, match="killed"):
+            layers.publish_table(worse, db, "T")
+        assert spark.table(f"{db}.T").count() == 10
+
+        def refuse(written):
+            assert written.count() == 3
+            raise quality.ValidationError("refused")
+
+        with pytest.raises(quality.ValidationError):
+            layers.publish_table(spark.range(3), db, "T", check=refuse)
+        assert spark.table(f"{db}.T").count() == 10 and len(layers.versions(spark, db, "T")) == 1
+        for n in (11, 12, 13):
+            layers.publish_table(spark.range(n).withColumn("more", F.lit(n)), db, "T", keep=2)
+        assert spark.table(f"{db}.T").count() == 13 and spark.table(f"{db}.T").columns == ["id", "more"]
+        assert [n.split("_")[2] for n in layers.versions(spark, db, "T")] == ["v000003", "v000004"]
+    finally:
+        spark.sql(f"DROP DATABASE {db} CASCADE")
+
+
+def test_replace_path_is_repeatable(spark, tmp_path):
+    for n in (1, 2):
+        layers.write_layer(spark.range(n), f"{tmp_path}/new")
+        layers.replace_path(spark, f"{tmp_path}/new", f"{tmp_path}/deep/final")
+        assert layers.read_path(spark, f"{tmp_path}/deep/final").count() == n
+    os.rename(f"{tmp_path}/deep/final", f"{tmp_path}/deep/final.replaced")     # killed between the two renames
+    layers.write_layer(spark.range(5), f"{tmp_path}/new")
+    layers.replace_path(spark, f"{tmp_path}/new", f"{tmp_path}/deep/final")
+    assert layers.read_path(spark, f"{tmp_path}/deep/final").count() == 5
+    assert sorted(os.listdir(f"{tmp_path}/deep")) == ["final"]
+    with pytest.raises(OSError):
+        layers.replace_path(spark, f"{tmp_path}/none", f"{tmp_path}/deep/other")
+
+
 def test_csv_needs_a_matching_header(spark, tmp_path, rows):
     path = tmp_path / "b.csv"
     path.write_text("SK_ID_BUREAU,MONTHS_BALANCE,STATUS\n1,-1,C\n2,0,\n")

@@ -710,6 +710,7 @@ ORACLES: dict[str, str] = {
         "app", "SELECT * EXCLUDE (unlabelled, target) FROM feat WHERE unlabelled", **APP_CTES),
     "gold": GOLD_SQL,
     "gold_layered": GOLD_SQL,
+    "gold_bucketed": GOLD_SQL,
     "clean_bureau": with_roles("bureau", CLEAN["bureau"]),
     "clean_bureau_balance": with_roles("balance", CLEAN["balance"]),
     "clean_previous": with_roles("prev", CLEAN["prev"]),
@@ -761,6 +762,24 @@ ORACLES: dict[str, str] = {
     "published_content": with_roles("bureau", "SELECT * FROM bureau"),
     "registered_views": with_roles("bureau", 'SELECT "CREDIT_TYPE", count(*) AS n_rows FROM bureau GROUP BY 1'),
     "landed_files": "SELECT 0::BIGINT AS n_unmatched, 2 * count(*) AS n_rows FROM orders",
+    # CRC-32 bit by bit: after each byte come eight steps, marked -1.
+    "landing_checksums": """
+        WITH files AS (SELECT c_mktsegment AS segment, string_agg(c_custkey || ',' || c_name || ',' || c_nationkey || chr(10), ''
+                         ORDER BY c_custkey) AS content FROM customer GROUP BY 1)
+        SELECT segment, strlen(content) AS length, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+            string_split(content, ''), lambda ch: list_concat([ascii(ch)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+            lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END),
+            4294967295) AS crc32 FROM files""",
+    "landing_quarantine": with_roles("bureau", """
+        SELECT CASE WHEN "SK_ID_BUREAU" % 12 = 0 THEN 'DAYS_CREDIT' END AS "column",
+          CASE WHEN "SK_ID_BUREAU" % 12 = 0 THEN 'not int' ELSE 'landed' END AS reason,
+          CASE WHEN "SK_ID_BUREAU" % 12 = 0 THEN 'many' WHEN "SK_ID_BUREAU" % 3 < 2 THEN "DAYS_CREDIT"::VARCHAR END AS value,
+          "SK_ID_BUREAU" FROM bureau"""),
+    "header_drift": """SELECT * FROM (VALUES ('ADDED', 'added'), ('DAYS_CREDIT', 'missing'),
+        ('SK_ID_BUREAU', 'moved'), ('CREDIT_ACTIVE', 'moved')) t("column", status)""",
+    "published_versions": with_roles("bureau", """
+        SELECT "CREDIT_ACTIVE", count(*) AS n_rows, CASE "CREDIT_ACTIVE" WHEN 'Active' THEN 2 ELSE 1 END AS n_stored
+        FROM bureau WHERE "CREDIT_ACTIVE" IN ('Closed', 'Active') GROUP BY 1"""),
     "schema_diff": """SELECT * FROM (VALUES
         ('AMT_CREDIT_SUM', 'double', 'double', 'ok'), ('AMT_UNKNOWN', 'double', NULL, 'missing'),
         ('CREDIT_ACTIVE', 'string', 'string', 'ok'), ('DAYS_CREDIT', NULL, 'int', 'added'),

@@ -17,11 +17,12 @@ from creditloom.operators import cleaning, joins, projection, quality, reports
 from creditloom.operators.quantiles import exact_percentile
 from creditloom.plans import (
     application as a, bureau as b, cleaned, documented as k, exploration as j, gold as g,
-    previous as p,
+    medallion, previous as p,
 )
 from creditloom.schemas import BUREAU, struct
 from creditloom.session import scratch_path
-from creditloom.sources import layers, manifest
+from creditloom.sources import layers, manifest, quarantine
+from creditloom.sources.checksums import checksums
 from workload import roles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +80,21 @@ def gold(spark, sf):
     return rounded(g.gold_in_one_plan(applications, roles.raw(spark, sf)))
 
 
+def gold_bucketed(spark, sf):
+    """Gold of silver tables bucketed by loan, copied before they are dropped."""
+    path = scratch_path(spark, "silver")
+    db = "check_" + path.rsplit("-", 1)[-1]
+    train, test = _splits(spark, sf)
+    tables = {"application_train": train, "application_test": test,
+              "bureau_features": b.bureau_features(*_history(spark, sf, "bureau", "bureau_balance")),
+              "previous_features": p.previous_features(*_previous_inputs(spark, sf))}
+    try:
+        medallion.bucket_silver(tables, db, 8, path)
+        return layers.stage_write(rounded(medallion.gold_of_buckets(spark, db)), scratch_path(spark, "gold"))
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
+
+
 def gold_layered(spark, sf):
     previous = p.previous_features(*_previous_inputs(spark, sf))
     bureau = b.bureau_features(*_history(spark, sf, "bureau", "bureau_balance"))
@@ -238,6 +254,23 @@ def published_content(spark, sf):
     return _published(spark, sf, lambda t: layers.stage_write(spark.table(t), copy), bucket_by=(4, "SK_ID_BUREAU"))
 
 
+def published_versions(spark, sf):
+    """Three versions of a table: readers see the last one, the one before stays, older ones are gone."""
+    path = scratch_path(spark, "versions")
+    db = "check_" + path.rsplit("-", 1)[-1]
+    bureau = roles.bureau(spark, sf)
+    try:
+        for status in ("Sold", "Closed", "Active"):
+            layers.publish_table(bureau.where(F.col("CREDIT_ACTIVE") == status), db, "bureau", location=path)
+        stored = layers.versions(spark, db, "bureau")
+        seen = spark.table(f"{db}.bureau").groupBy("CREDIT_ACTIVE").agg(F.count("*").alias("n_rows"))
+        before = spark.table(f"{db}.{stored[0]}").groupBy("CREDIT_ACTIVE").agg(F.count("*").alias("n_rows"))
+        both = seen.withColumn("n_stored", F.lit(len(stored))).unionByName(before.withColumn("n_stored", F.lit(len(stored) - 1)))
+        return layers.stage_write(both, scratch_path(spark, "seen"))
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
+
+
 def sql_over_views(spark, sf):
     """The history is folded per record before the join, so no record fans out."""
     bureau, balance = _history(spark, sf, "bureau", "bureau_balance")
@@ -282,6 +315,50 @@ def landed_files(spark, sf):
                     (F.sum("n_lines") - F.count("n_lines")).alias("n_rows"))
 
 
+def landing_checksums(spark, sf):
+    """Length and CRC-32 of the files of a landing that this query writes: one per market segment."""
+    path = scratch_path(spark, "landing")
+    customers = roles.table(spark, sf, "customer").selectExpr(
+        "c_mktsegment AS segment", "c_custkey", "CONCAT_WS(',', c_custkey, c_name, c_nationkey) AS line")
+    (customers.repartition("segment").sortWithinPartitions("segment", "c_custkey").select("segment", "line")
+     .write.partitionBy("segment").text(path))
+    return (checksums(spark, path).where("name LIKE 'segment=%'")
+            .select(F.substring_index("name", "=", -1).alias("segment"), "length", "crc32"))
+
+
+def _faulty_landing(spark, sf):
+    """Bureau records as CSV of three makes: with an amount in words, with a column more, with one less."""
+    path = scratch_path(spark, "faulty")
+    source = roles.bureau(spark, sf).selectExpr(
+        "SK_ID_BUREAU", "DAYS_CREDIT", "CREDIT_ACTIVE", "SK_ID_BUREAU % 3 AS make",
+        "IF(SK_ID_BUREAU % 12 = 0, 'many', CAST(DAYS_CREDIT AS STRING)) AS words")
+    layers.export_csv(source.where("make = 0").select("SK_ID_BUREAU", F.col("words").alias("DAYS_CREDIT"), "CREDIT_ACTIVE"),
+                      f"{path}/words")
+    layers.export_csv(source.where("make = 1").select("SK_ID_BUREAU", "DAYS_CREDIT", F.lit(1).alias("ADDED"), "CREDIT_ACTIVE"),
+                      f"{path}/more")
+    layers.export_csv(source.where("make = 2").select("CREDIT_ACTIVE", "SK_ID_BUREAU"), f"{path}/less")
+    schema = struct(long="SK_ID_BUREAU", int="DAYS_CREDIT", string="CREDIT_ACTIVE")
+    return path, schema
+
+
+def landing_quarantine(spark, sf):
+    """What lands of the faulty landing, and what is put aside with its reason."""
+    path, schema = _faulty_landing(spark, sf)
+    rows = quarantine.checked(spark, path, schema)
+    aside = quarantine.quarantined(rows).select("column", "reason", "value", F.get_json_object("row", "$.SK_ID_BUREAU")
+                                                .cast("long").alias("SK_ID_BUREAU"))
+    landed = quarantine.landed(rows, schema).select(
+        F.lit(None).cast("string").alias("column"), F.lit("landed").alias("reason"),
+        F.col("DAYS_CREDIT").cast("string").alias("value"), "SK_ID_BUREAU")
+    return landed.unionByName(aside)
+
+
+def header_drift(spark, sf):
+    """Drift by column over the headers of the faulty landing."""
+    path, schema = _faulty_landing(spark, sf)
+    return quarantine.drift(quarantine.headers(spark, path), schema).select("column", "status").distinct()
+
+
 def schema_diff(spark, sf):
     source = roles.bureau(spark, sf).select("SK_ID_CURR", "CREDIT_ACTIVE", "AMT_CREDIT_SUM", "DAYS_CREDIT")
     return projection.schema_diff(source, struct(double="AMT_CREDIT_SUM AMT_UNKNOWN", string="CREDIT_ACTIVE SK_ID_CURR"))
@@ -408,6 +485,7 @@ QUERIES: dict[str, Query] = {
         a.application_features(roles.application_train(s, d))),
     "gold": gold,
     "gold_layered": gold_layered,
+    "gold_bucketed": gold_bucketed,
     "clean_bureau": _cleaned("bureau"),
     "clean_bureau_balance": _cleaned("bureau_balance"),
     "clean_previous": _cleaned("previous_application"),
@@ -450,6 +528,10 @@ QUERIES: dict[str, Query] = {
     "sql_over_views": sql_over_views,
     "registered_views": registered_views,
     "landed_files": landed_files,
+    "landing_checksums": landing_checksums,
+    "landing_quarantine": landing_quarantine,
+    "header_drift": header_drift,
+    "published_versions": published_versions,
     "schema_diff": schema_diff,
     "preview_found": preview_found,
     "reconcile_manifest": reconcile_manifest,
