@@ -8,12 +8,16 @@ block; where the shift is zero, the block's bucket gives the test strings ending
 in it, their first block is compared, and what remains is confirmed by comparing
 the words themselves. All search positions of a slice of texts move together.
 
-Benchmarks are cut into parts of a bounded number of bytes and the documents pass
-one search per part in the same task, so what is broadcast does not depend on the
-size of the benchmark, and nothing is shuffled.
+The benchmark never comes to the driver. Long items are cut into pieces that overlap by
+a window, pieces are dealt to parts of a bounded number of bytes, and tasks build each
+part's tables and write them to the shared scratch folder. The tasks that search the
+documents read the tables from there by path, all at once where they fit ``HELD_BYTES``,
+else one part after another for a run of documents; each document passes once and
+nothing of it is shuffled. The scratch folder must be one that pyarrow can open.
 
 Defined results: a null or wordless text has no words and no hits; an item
-without words, text or id is never found; items of equal id count once, repeated
+without words or text is never found; words inside windows of an item without an id
+are hit, but there is no item to count; items of equal id count once, repeated
 documents are searched alike; extra columns of either table are not read.
 """
 
@@ -24,30 +28,35 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs
+import pyarrow.parquet
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm import text as T
+from creditloom.llm.components import stored
 
 LENGTH = 10
-#: Bytes of benchmark text in one search.
-PART_BYTES = 4 << 20
+#: Bytes of benchmark text in one part, and words in one piece of an item.
+PART_BYTES, PIECE_WORDS = 1 << 20, 20_000
+#: Bytes of tables that a task holds; beyond them, bytes of documents that it gathers for each part.
+HELD_BYTES, RUN_BYTES = 192 << 20, 32 << 20
 #: Search positions start this many words apart.
 STRIDE = 64
 
 
 class Strings(NamedTuple):
-    """The test strings of one length, with their shift table and buckets."""
+    """The test strings of one length by block code, with their shift table."""
 
     length: int
     block: int
     mask: np.uint64
-    shift: np.ndarray       # by block code
-    bucket: np.ndarray      # by block code: first string ending in that block, and one entry more
+    shift: np.ndarray        # by block code
+    codes: np.ndarray        # by string, sorted: code of its last block
     first_block: np.ndarray  # by string
-    text: list[bytes]       # by string: its words joined by spaces
-    items: list[list[str]]  # by string
+    spelled: bytes           # words of all strings, joined by spaces, one string after another
+    bounds: np.ndarray       # by string: where it starts, and one entry more
+    items: list[list[str]]   # by string
 
 
 class Searched(NamedTuple):
@@ -64,7 +73,7 @@ def _block_code(hashes: np.ndarray, last: np.ndarray, block: int) -> np.ndarray:
     return T.mix(hashes[last] + np.uint64(3) * T.mix(hashes[last - 1]))
 
 
-def compile_strings(rows: list[tuple[str, str]], length: int = LENGTH) -> list[Strings]:
+def compile_strings(rows: list[tuple[str | None, str]], length: int = LENGTH) -> list[Strings]:
     """Searches for the windows of (item id, text) rows, one per string length."""
     by_length: dict[int, dict[bytes, set[str]]] = {}
     for item, content in rows:
@@ -74,7 +83,8 @@ def compile_strings(rows: list[tuple[str, str]], length: int = LENGTH) -> list[S
             spelled = [data[s:e].tobytes() for s, e in zip(found.start, found.end)]
             size = min(length, len(spelled))
             for i in range(len(spelled) - size + 1) if size else ():
-                by_length.setdefault(size, {}).setdefault(b" ".join(spelled[i:i + size]), set()).add(item)
+                by_length.setdefault(size, {}).setdefault(
+                    b" ".join(spelled[i:i + size]), set()).update([] if item is None else [item])
     return [_tables(size, strings) for size, strings in sorted(by_length.items())]
 
 
@@ -87,19 +97,19 @@ def _tables(length: int, strings: dict[bytes, set[str]]) -> Strings:
     hashes = found.hash.reshape(len(spelled), length)
     bits = max(10, int(np.ceil(np.log2(4 * len(spelled) * (length - block + 1)))))
     mask = np.uint64((1 << bits) - 1)
-    shift = np.full(1 << bits, length - block + 1, dtype=np.int32)
+    shift = np.full(1 << bits, min(length - block + 1, 127), dtype=np.int8)
     for end in range(block, length + 1):
         flat = np.ascontiguousarray(hashes[:, end - block:end]).reshape(-1)
         codes = _block_code(flat, np.arange(block - 1, len(flat), block), block) & mask
-        np.minimum.at(shift, codes, length - end)
+        np.minimum.at(shift, codes, np.int8(min(length - end, 127)))
     ends = np.ascontiguousarray(hashes[:, length - block:]).reshape(-1)
     codes = _block_code(ends, np.arange(block - 1, len(ends), block), block) & mask
     order = np.argsort(codes, kind="stable")
     begins = np.ascontiguousarray(hashes[:, :block]).reshape(-1)
     first_block = _block_code(begins, np.arange(block - 1, len(begins), block), block)
-    bucket = np.searchsorted(codes[order], np.arange((1 << bits) + 1, dtype=np.uint64))
-    return Strings(length, block, mask, shift, bucket, first_block[order], [spelled[i] for i in order],
-                   [sorted(strings[spelled[i]]) for i in order])
+    texts = [spelled[i] for i in order]
+    return Strings(length, block, mask, shift, codes[order], first_block[order], b"".join(texts),
+                   np.cumsum([0, *map(len, texts)]), [sorted(strings[t]) for t in texts])
 
 
 def search(found: T.Words, data: np.ndarray, strings: Strings) -> Searched:
@@ -114,11 +124,12 @@ def search(found: T.Words, data: np.ndarray, strings: Strings) -> Searched:
     ends, which = [], []
     while len(at):
         code = _block_code(found.hash, at, block) & strings.mask
-        jump = strings.shift[code]
+        jump = strings.shift[code].astype(np.int64)
         zero = jump == 0
         if zero.any():
-            end, code = at[zero], code[zero].astype(np.int64)
-            low, size = strings.bucket[code], strings.bucket[code + 1] - strings.bucket[code]
+            end, code = at[zero], code[zero]
+            low = np.searchsorted(strings.codes, code)
+            size = np.searchsorted(strings.codes, code, "right") - low
             end = np.repeat(end, size)
             string = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
             same = _block_code(found.hash, end - length + block, block) == strings.first_block[string]
@@ -129,7 +140,8 @@ def search(found: T.Words, data: np.ndarray, strings: Strings) -> Searched:
         at, stop = at[going], stop[going]
     end = np.concatenate(ends) if ends else np.zeros(0, dtype=np.int64)
     string = np.concatenate(which) if which else np.zeros(0, dtype=np.int64)
-    ok = np.fromiter((_spelled(found, data, e - length + 1, length) == strings.text[s]
+    at = strings.bounds
+    ok = np.fromiter((_spelled(found, data, e - length + 1, length) == strings.spelled[at[s]:at[s + 1]]
                       for e, s in zip(end.tolist(), string.tolist())), bool, len(end))
     end, string = end[ok], string[ok]
     return Searched(row[end], end - length + 1, length, string)
@@ -140,60 +152,116 @@ def _spelled(found: T.Words, data: np.ndarray, start: int, length: int) -> bytes
                      zip(found.start[start:start + length], found.end[start:start + length]))
 
 
-def _parts(spark: SparkSession, benchmark: DataFrame, part_bytes: int):
-    """Item rows in parts of about ``part_bytes``: the searches to run, as broadcasts."""
-    items = (benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text"))
-             .where("item_id IS NOT NULL AND text IS NOT NULL"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + total // part_bytes
-    cut = items.withColumn("_part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    for part in range(n):
-        yield [(r.item_id, r.text) for r in cut.where(F.col("_part") == part).drop("_part").toLocalIterator()]
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH,
-                  part_bytes: int = PART_BYTES) -> DataFrame:
-    """``doc_id``, ``n_words``, ``hits`` (positions of words inside an occurrence) and ``items``."""
-    spark = docs.sparkSession
-    result = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"),
-                         F.array().cast("array<long>").alias("hits"),
-                         F.array().cast("array<string>").alias("items"))
-    for rows in _parts(spark, benchmark, part_bytes):
-        tables = spark.sparkContext.broadcast(cloudpickle.dumps(compile_strings(rows, length)))
-        result = T.map_batches(result, _searcher(tables), result.schema)
-    return result.select("doc_id", "n_words", F.array_sort(F.array_distinct("hits")).alias("hits"),
-                         F.array_sort(F.array_distinct("items")).alias("items"))
-
-
-def _searcher(tables):
+def _cutter(length: int):
+    """Pieces of items whose windows are those of the item."""
     def run(batches):
-        searches = pickle.loads(tables.value)
         for batch in batches:
+            names, pieces = [], []
             for part in T.slices(batch.column("text")):
-                yield _annotate(batch.slice(part.low, part.high - part.low), part, searches)
+                data = T.LOWER[part.data]
+                found = T.words(data, part.bounds, T.PLAIN)
+                for row, name in enumerate(batch.column("item").slice(part.low, part.high - part.low).to_pylist()):
+                    low, high = int(found.first[row]), int(found.first[row + 1])
+                    for at in range(low, max(low + 1, high - length + 1) if high > low else low, PIECE_WORDS):
+                        names.append(name)
+                        pieces.append(_spelled(found, data, at, min(high - at, PIECE_WORDS + length - 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(pieces, pa.binary())], names=["item", "piece"])
     return run
 
 
-def _annotate(batch: pa.RecordBatch, part: T.Slice, searches: list[Strings]) -> pa.RecordBatch:
-    data = T.LOWER[part.data]
-    found = T.words(data, part.bounds, T.PLAIN)
-    hits: dict[int, set[int]] = {}
-    items: dict[int, set[str]] = {}
-    for strings in searches:
-        met = search(found, data, strings)
-        for row, start, string in zip(met.row.tolist(), met.start.tolist(), met.string.tolist()):
-            start -= int(found.first[row])
-            hits.setdefault(row, set()).update(range(start, start + met.length))
-            items.setdefault(row, set()).update(strings.items[string])
-    columns = {name: batch.column(name) for name in batch.schema.names}
-    columns["n_words"] = pa.array(found.counts)
-    for name, new in (("hits", hits), ("items", items)):
-        if new:
-            old = columns[name].to_pylist()
-            columns[name] = pa.array([[*a, *sorted(new.get(i, ()))] for i, a in enumerate(old)],
-                                     columns[name].type)
-    return pa.RecordBatch.from_arrays([columns[n].cast(batch.schema.field(n).type)
-                                       for n in batch.schema.names], schema=batch.schema)
+def searches(benchmark: DataFrame, length: int = LENGTH, part_bytes: int = PART_BYTES) -> list[str]:
+    """Files in the shared folder that hold the tables of all parts of a benchmark."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text")).where("text IS NOT NULL")
+    pieces = stored(T.map_batches(items, _cutter(length), "item string, piece binary"), "pieces")
+    parts = 1 + (pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0) // part_bytes
+
+    def build(table: pa.Table) -> pa.Table:
+        rows = list(zip(table.column("item").to_pylist(), (p.decode() for p in table.column("piece").to_pylist())))
+        return pa.table({"tables": pa.array([pickle.dumps([tuple(s) for s in compile_strings(rows, length)], 5)], pa.binary())})
+
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("item", "piece"), F.lit(parts)))
+    return stored(dealt.groupBy("part").applyInArrow(build, "tables binary"), "searches").inputFiles()
+
+
+def _loaded(files: list[str]):
+    """The searches of one part after the other."""
+    for uri in files:
+        system, path = pyarrow.fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as source:
+            for batch in pyarrow.parquet.ParquetFile(source).iter_batches(batch_size=1):
+                yield from ([Strings(*s) for s in pickle.loads(t.as_buffer())] for t in batch.column("tables"))
+
+
+class _Parts:
+    """The searches of all parts, held where they fit and read again each time where they don't."""
+
+    def __init__(self, files: list[str]):
+        self.files, held, size = files, [], 0
+        for part in _loaded(files):
+            held.append(part)
+            size += sum(s.shift.nbytes + s.codes.nbytes + s.first_block.nbytes + len(s.spelled) + s.bounds.nbytes for s in part)
+            if size > HELD_BYTES:
+                held = None
+                break
+        self.held = held
+
+    def runs(self, batches):
+        """Batches to be searched together."""
+        if self.held is not None:
+            yield from ([batch] for batch in batches)
+            return
+        run, size = [], 0
+        for batch in batches:
+            run.append(batch)
+            size += batch.nbytes
+            if size >= RUN_BYTES:
+                yield run
+                run, size = [], 0
+        if run:
+            yield run
+
+    def __iter__(self):
+        return iter(_loaded(self.files) if self.held is None else self.held)
+
+
+def _occurrences(run: list[pa.RecordBatch], parts: _Parts):
+    """Slices of the batches, as (batch, slice, words), and the occurrences in each by part."""
+    cut = []
+    for batch in run:
+        for part in T.slices(batch.column("text")):
+            data = T.LOWER[part.data]
+            cut.append((batch.slice(part.low, part.high - part.low), data, T.words(data, part.bounds, T.PLAIN)))
+    met: list[list[tuple[Strings, Searched]]] = [[] for _ in cut]
+    for searched in parts:
+        for found, (_, data, words) in zip(met, cut):
+            found += [(strings, search(words, data, strings)) for strings in searched]
+    return zip(cut, met)
+
+
+_CONTAMINATION = "doc_id long, n_words long, hits array<long>, items array<string>"
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH,
+                  part_bytes: int = PART_BYTES) -> DataFrame:
+    """``doc_id``, ``n_words``, ``hits`` (positions of words inside an occurrence) and ``items``."""
+    files = searches(benchmark, length, part_bytes)
+
+    def annotate(batches):
+        parts = _Parts(files)
+        for run in parts.runs(batches):
+            for (batch, _, words), met in _occurrences(run, parts):
+                n = batch.num_rows
+                hits, items = [set() for _ in range(n)], [set() for _ in range(n)]
+                for strings, found in met:
+                    for row, start, string in zip(found.row.tolist(), found.start.tolist(), found.string.tolist()):
+                        start -= int(words.first[row])
+                        hits[row].update(range(start, start + found.length))
+                        items[row].update(strings.items[string])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(words.counts), pa.array(map(sorted, hits), pa.list_(pa.int64())),
+                     pa.array(map(sorted, items), pa.list_(pa.string()))], names=["doc_id", "n_words", "hits", "items"])
+
+    return T.map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), annotate, _CONTAMINATION)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -210,23 +278,15 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The text passes through the search as it is, so nothing is joined back.
     """
-    spark = docs.sparkSession
-    kept = docs
-    for rows in _parts(spark, benchmark, PART_BYTES):
-        tables = spark.sparkContext.broadcast(cloudpickle.dumps(compile_strings(rows)))
-        kept = T.map_batches(kept, _dropper(tables), docs.schema)
-    return kept
-
-
-def _dropper(tables):
-    def run(batches):
-        searches = pickle.loads(tables.value)
-        for batch in batches:
-            for part in T.slices(batch.column("text")):
-                data = T.LOWER[part.data]
-                found = T.words(data, part.bounds, T.PLAIN)
-                clean = np.ones(part.high - part.low, dtype=bool)
-                for strings in searches:
-                    clean[search(found, data, strings).row] = False
-                yield batch.slice(part.low, part.high - part.low).filter(pa.array(clean))
-    return run
+    files = searches(benchmark)
+
+    def clean(batches):
+        parts = _Parts(files)
+        for run in parts.runs(batches):
+            for (batch, _, _), met in _occurrences(run, parts):
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for _, found in met:
+                    keep[found.row] = False
+                yield batch.filter(pa.array(keep))
+
+    return T.map_batches(docs, clean, docs.schema)

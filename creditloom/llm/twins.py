@@ -10,7 +10,7 @@ DECONTAMINATE = f"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all({_LOWERED}, '{_PLAIN}') AS w FROM documents),
 b AS (SELECT DISTINCT item_id::VARCHAR AS item, regexp_extract_all({_LOWERED}, '{_PLAIN}') AS w
-      FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+      FROM benchmark WHERE text IS NOT NULL),
 item_windows AS (
   SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
   FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
@@ -21,7 +21,7 @@ doc_windows AS (
 met AS (SELECT doc_id, i, n, item FROM doc_windows JOIN item_windows USING (n, g)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS c
         FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM met)) GROUP BY 1),
-found AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM met GROUP BY 1)
+found AS (SELECT doc_id, list_sort(list(DISTINCT item) FILTER (WHERE item IS NOT NULL)) AS items FROM met GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(c, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)"""

@@ -19,8 +19,8 @@ def brute(docs, items):
     for item, text in items:
         w = WORD.findall(lower(text))
         n = min(10, len(w))
-        for i in range(len(w) - n + 1) if n and item is not None else ():
-            windows.setdefault(tuple(w[i:i + n]), set()).add(str(item))
+        for i in range(len(w) - n + 1) if n else ():
+            windows.setdefault(tuple(w[i:i + n]), set()).update([] if item is None else [str(item)])
     sizes = {len(k) for k in windows}
     for doc, text in docs:
         w, hit, found = WORD.findall(lower(text)), set(), set()
@@ -54,8 +54,11 @@ def planted():
     return docs, items
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 20, 300])
-def test_equals_brute_force(frame, benchmark, rows, part_bytes):
+@pytest.mark.parametrize("part_bytes,piece,held", [(1 << 20, 20_000, 1 << 28), (300, 15, 1 << 28), (300, 1, 0)])
+def test_equals_brute_force(frame, benchmark, rows, monkeypatch, part_bytes, piece, held):
+    """Also with items in pieces, in several parts, and parts read again for each run of documents."""
+    for name, value in (("PIECE_WORDS", piece), ("HELD_BYTES", held), ("RUN_BYTES", 4000)):
+        monkeypatch.setattr(decontaminate, name, value)
     docs, items = planted()
     got = decontaminate.contamination(frame(docs), benchmark(items), part_bytes=part_bytes)
     got = sorted((str(r.doc_id), r.n_words, len(r.hits), len(r.items), hashlib.sha256(",".join(r.items).encode()).hexdigest())
