@@ -13,10 +13,13 @@ shuffled, memory is bounded by the block, and only the last bins of a block can
 suffer from its end. Bins depend on how the input is partitioned; which pieces
 exist does not.
 
-Defined results: null and wordless texts have no pieces; repeated rows are packed
+The unit is the token of a byte-pair vocabulary, so a text without blanks has its real
+length and is cut like any other: the length of a text is its number of tokens plus one
+for the end mark.
+
+Defined results: null and empty texts have no pieces; repeated rows are packed
 as often as they occur; rows without an id are packed with a null id; extra
-columns are not read. The length of a text is its number of words plus one for
-the end mark.
+columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm import text as T
+from creditloom.llm.token_store import VOCABULARY, read_ranks, tokenizer
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 16
@@ -84,18 +88,16 @@ _MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int64()), ("
 _SCHEMA = ("capacity long, used long, members array<struct<doc_id: bigint, piece: bigint, start: bigint, length: bigint>>")
 
 
-def _packer(sizes, cost, block):
+def _packer(sizes, cost, block, ranks):
     longest = max(sizes)
 
     def pieces(batches):
+        encode = tokenizer(ranks.value)
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for part in T.slices(batch.column("text")):
-                counts = T.words(part.data, part.bounds, T.SPACED).counts
-                for doc, n in zip(ids[part.low:part.high], counts.tolist()):
-                    if n:
-                        for piece, start in enumerate(range(0, n + 1, longest)):
-                            yield doc, piece, start, min(longest, n + 1 - start)
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                if n := len(encode(text.as_py() or "")):
+                    for piece, start in enumerate(range(0, n + 1, longest)):
+                        yield doc, piece, start, min(longest, n + 1 - start)
 
     def packed(rows):
         bins, capacities = best_fit(np.array([r[3] for r in rows]), sizes, cost)
@@ -119,13 +121,14 @@ def _packer(sizes, cost, block):
 
 
 def pack(docs: DataFrame, sizes: Sequence[int] = CAPACITIES, cost: Callable[[int], float] = linear_cost,
-         block: int = BLOCK) -> DataFrame:
+         block: int = BLOCK, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per sequence: ``bin``, its ``capacity``, tokens ``used`` and ``members``.
 
     A member is a run of ``length`` tokens of a document from token ``start``; the
-    end mark is the last token of its document.
+    end mark is the last token of its document. ``vocabulary`` is a byte-pair rank file.
     """
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     bins = T.map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
-                         _packer(tuple(sizes), cost, block), _SCHEMA)
+                         _packer(tuple(sizes), cost, block, ranks), _SCHEMA)
     return bins.select(F.monotonically_increasing_id().alias("bin"), "capacity", "used",
                        F.size("members").cast("long").alias("n_members"), "members")

@@ -1,12 +1,10 @@
 import itertools
-import re
 
 import numpy as np
 import pytest
 
 from creditloom.llm import packing as P
-
-WORD = re.compile("[^\x20\x09-\x0D]+")
+from creditloom.llm.token_store import VOCABULARY, read_ranks, tokenizer
 
 
 def optimum(lengths, sizes):
@@ -50,12 +48,21 @@ def test_every_token_is_packed_once(frame, corpus, block):
         assert b.n_members == len(b.members)
         for m in b.members:
             spans.setdefault(m.doc_id, []).append((m.start, m.length, m.piece))
-    want = {}
+    want, encode = {}, tokenizer(read_ranks(VOCABULARY))
     for doc, text in corpus:
-        if n := len(WORD.findall(text or "")):
+        if n := len(encode(text or "")):
             want.setdefault(doc, []).extend((s, min(1024, n + 1 - s), i) for i, s in enumerate(range(0, n + 1, 1024)))
     assert {d: sorted(s) for d, s in spans.items()} == {d: sorted(s) for d, s in want.items()}
 
 
+def test_text_without_blanks_is_cut(frame):
+    text = "".join(chr(0x4E00 + i * 37 % 20_000) for i in range(50_000))
+    bins = P.pack(frame([(1, text), (2, "a"), (3, "")])).collect()
+    pieces = sorted((m.start, m.length) for b in bins for m in b.members if m.doc_id == 1)
+    assert len(pieces) > 12 and all(n == 4096 for _, n in pieces[:-1])
+    assert sum(n for _, n in pieces) == len(tokenizer(read_ranks(VOCABULARY))(text)) + 1
+    assert {m.doc_id for b in bins for m in b.members} == {1, 2}
+
+
 def test_empty_table(frame):
     assert P.pack(frame([])).count() == 0
