@@ -6,11 +6,13 @@ that are decoded and parsed before they are reported:
 
 * ``der``: bytes that are one ASN.1 SEQUENCE whose nested lengths close exactly
   and which starts like a private key (a small version INTEGER, then an INTEGER, an
-  OCTET STRING or an algorithm identifier); with or without PEM armour;
-* ``ssh``: length-prefixed key blobs (``openssh-key-v1`` or a public key line's
-  fields) whose lengths close exactly;
+  OCTET STRING or an algorithm identifier) or is an encrypted one (the identifier of a
+  password-based cipher, then an OCTET STRING); with or without PEM armour;
+* ``ssh``: length-prefixed blobs of private keys (``openssh-key-v1``) whose lengths
+  close exactly; a public key is no secret;
   base64 of both may be broken into lines, also by a literal ``\\n``; the structure's
-  lengths say where a key ends, and its line must end there as well;
+  lengths say where a key ends, and its line must end there as well. A key in hex is cut
+  by its lengths, whatever hex follows;
 * ``token``: three dot-separated base64url parts whose first is a JSON object with
   an ``alg``, and whose second is a JSON object.
 
@@ -44,20 +46,22 @@ _HEX = re.compile(rb"[0-9a-f]{32,}")  # a maximal run starts where a run of any
 _TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 #: A line break, or one that is written as an escape (in JSON and environment files).
 _BREAK = rb"(?:\r?\n|(?:\\r)?\\n)"
-#: Base64 of a SEQUENCE starts with "M", of a key blob with "AAAA" or the text "openssh-key".
-_START = re.compile(rb"(?:(?<![A-Za-z0-9+/])|(?<=\\n))(?=(?:M[A-P]|AAAA|b3Bl)(?:[A-Za-z0-9+/]|" + _BREAK + rb"){30})")
+#: Base64 of a SEQUENCE starts with "M", of a key blob with that of the text "openssh-key".
+_START = re.compile(rb"(?:(?<![A-Za-z0-9+/])|(?<=\\n))(?=(?:M[A-P]|b3Bl)(?:[A-Za-z0-9+/]|" + _BREAK + rb"){30})")
 _LINE = re.compile(_BREAK + rb"?([A-Za-z0-9+/]+)")
 _PADDING = re.compile(_BREAK + rb"?={1,2}")
 _GOES_ON = re.compile(rb"[A-Za-z0-9+/]")
 MIN_CHARS = 32
-_HEX_DER = re.compile(rb"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
+_HEX_DER = re.compile(rb"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
+#: Identifiers of password-based ciphers (fixed values), as they begin.
+_PASSWORD_BASED = (bytes.fromhex("06092a864886f70d0105"), bytes.fromhex("060a2a864886f70d010c01"))
 
 #: Markers that must occur for a pattern to match at all.
 _NAMES = re.compile(rb"passw|secret|token|api_?key", re.IGNORECASE)
 
 
-def der_length(data: bytes, at: int) -> tuple[int, int] | None:
-    """Start and end of the content of the ASN.1 value at ``at``; None if it isn't in ``data``."""
+def der_bounds(data: bytes, at: int) -> tuple[int, int] | None:
+    """Start and end of the content of the ASN.1 value at ``at``, by its header."""
     if at + 2 > len(data):
         return None
     size, start = data[at + 1], at + 2
@@ -69,7 +73,13 @@ def der_length(data: bytes, at: int) -> tuple[int, int] | None:
         start += width
         if size < 0x80:
             return None
-    return (start, start + size) if start + size <= len(data) else None
+    return start, start + size
+
+
+def der_length(data: bytes, at: int) -> tuple[int, int] | None:
+    """The same; None if the value isn't whole in ``data``."""
+    found = der_bounds(data, at)
+    return found if found and found[1] <= len(data) else None
 
 
 def is_private_der(data: bytes) -> bool:
@@ -77,18 +87,21 @@ def is_private_der(data: bytes) -> bool:
     whole = der_length(data, 0)
     if not data or data[0] != 0x30 or whole is None or whole[1] != len(data):
         return False
-    at, tags, version = whole[0], [], None
+    at, tags, version, cipher = whole[0], [], None, False
     while at < len(data):
         inner = der_length(data, at)
         if inner is None:
             return False
         if not tags and data[at] == 0x02:
             version = data[inner[0]:inner[1]]
+        if not tags and data[at] == 0x30:
+            cipher = data.startswith(_PASSWORD_BASED, inner[0])
         if data[at] == 0x30 and not _closes(data, *inner):
             return False
         tags.append(data[at])
         at = inner[1]
-    return version in (b"\x00", b"\x01") and len(tags) >= 2 and tags[1] in (0x02, 0x04, 0x30)
+    plain = version in (b"\x00", b"\x01") and len(tags) >= 2 and tags[1] in (0x02, 0x04, 0x30)
+    return plain or cipher and tags == [0x30, 0x04]
 
 
 def _closes(data: bytes, at: int, end: int) -> bool:
@@ -100,35 +113,22 @@ def _closes(data: bytes, at: int, end: int) -> bool:
     return at == end
 
 
-#: Fields of the public keys whose first field starts so; others have at least two.
-_SSH_FIELDS = ((b"ssh-ed25519", 2), (b"ssh-rsa", 3), (b"ssh-dss", 5), (b"ecdsa-", 3), (b"sk-ssh-", 3), (b"sk-ecdsa-", 4))
-
-
-def _ssh_ends(take):
-    """Every length in bytes at which a key blob may end; ``take`` gives its first bytes."""
-    opened = take(15) == b"openssh-key-v1\0"
-    at, fields, least, most = (15 if opened else 0), 0, 2, None
-    while len(data := take(at + 4)) == at + 4:
-        size = int.from_bytes(data[at:], "big")
-        if opened and fields == 3:
-            # Cipher, its key derivation and options are followed by the number of keys, these and the private part.
-            if size < 1:
-                return
-            at, fields, most = at + 4, 4, 4 + size + 1
-            continue
-        if len(data := take(at + 4 + size)) < at + 4 + size:
-            return
-        if not opened and not fields:
-            name = data[at + 4:]
-            if not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", name):
-                return
-            if b"-cert-" not in name:
-                least = next((n for start, n in _SSH_FIELDS if name.startswith(start)), 2)
-        at, fields = at + 4 + size, fields + 1
-        if opened and fields == most or not opened and fields >= least:
-            yield at
-        if fields == most:
-            return
+def _openssh_end(take) -> int | None:
+    """Length in bytes of the blob of private keys that begins ``take``'s bytes."""
+    at = 15
+    for _ in range(3):
+        if len(data := take(at + 4)) < at + 4:
+            return None
+        at += 4 + int.from_bytes(data[at:], "big")
+    # Cipher, its key derivation and options are followed by the number of keys, these and the private part.
+    if len(data := take(at + 4)) < at + 4 or not 0 < (keys := int.from_bytes(data[at:], "big")) < 1 << 16:
+        return None
+    at += 4
+    for _ in range(keys + 1):
+        if len(data := take(at + 4)) < at + 4:
+            return None
+        at += 4 + int.from_bytes(data[at:], "big")
+    return at if len(take(at)) == at else None
 
 
 def is_signed_token(header: bytes, payload: bytes) -> bool:
@@ -147,8 +147,10 @@ class _Run:
         self.packed, self.lines, self.open = bytearray(), [], True
 
     def take(self, size: int) -> bytes:
-        """The first ``size`` bytes, or what there is."""
+        """The first ``size`` bytes, or what there is; nothing is decoded for more than the text can hold."""
         chars = -(-size * 4 // 3)
+        if chars > len(self.data) - self.start:
+            return b""
         while self.open and len(self.packed) < chars:
             line = _LINE.match(self.data, self.at)
             self.open = line is not None
@@ -176,26 +178,44 @@ def _key_at(data: bytes, start: int) -> tuple[int, str] | None:
     """End and kind of the key whose base64 begins at ``start``; its own lengths say where it ends."""
     run = _Run(data, start)
     if data[start:start + 1] == b"M":
-        # Long enough for the SEQUENCE's length and the version that a private key begins with.
-        head = run.take(9)
-        if len(head) < 9:
-            return None
-        wide = head[1] & 0x7F if head[1] & 0x80 else 0
-        at = 2 + wide
-        if wide > 4 or head[at:at + 2] != b"\x02\x01" or head[at + 2:at + 3] not in (b"\0", b"\1"):
-            return None
-        size = at + (int.from_bytes(head[2:at], "big") if wide else head[1])
-        if not is_private_der(run.take(size)):
+        size = _der_size(run.take)
+        if size is None or not is_private_der(run.take(size)):
             return None
         end = run.end(size)
         return end and (end, "der")
-    head = run.take(24)
-    if not head.startswith(b"openssh-key-v1\0") and not re.match(rb"\0\0\0.(ssh|ecdsa|sk)-", head, re.DOTALL):
+    if run.take(15) != b"openssh-key-v1\0" or not (size := _openssh_end(run.take)):
         return None
-    for size in _ssh_ends(run.take):
-        if end := run.end(size):
-            return end, "ssh"
-    return None
+    end = run.end(size)
+    return end and (end, "ssh")
+
+
+def _der_size(take) -> int | None:
+    """Length in bytes of a SEQUENCE that may be a private key.
+
+    The headers of its values are followed to its end, so what doesn't close is
+    given up at its first odd header and not decoded further.
+    """
+    head = take(24)
+    if len(head) < 24 or head[0] != 0x30 or (whole := der_bounds(head, 0)) is None:
+        return None
+    at, size = whole
+    inner = der_bounds(head, at)
+    plain = head[at:at + 2] == b"\x02\x01" and head[at + 2:at + 3] in (b"\0", b"\1")
+    if not plain and not (head[at] == 0x30 and inner and head.startswith(tuple(p[:24 - inner[0]] for p in _PASSWORD_BASED), inner[0])):
+        return None
+    while at < size:
+        if (inner := der_bounds(take(min(at + 6, size)), at)) is None:
+            return None
+        at = inner[1]
+    return size if at == size else None
+
+
+def _hex_key(run: bytes) -> int | None:
+    """Digits of the private key that a run of hex digits begins with."""
+    def take(size: int) -> bytes:
+        return bytes.fromhex(run[:2 * size].decode()) if 2 * size <= len(run) else b""
+    size = _der_size(take)
+    return 2 * size if size and is_private_der(take(size)) else None
 
 
 def scan(data: bytes) -> list[tuple[int, int, str]]:
@@ -210,8 +230,7 @@ def scan(data: bytes) -> list[tuple[int, int, str]]:
         if m.start() >= reach and (key := _key_at(data, m.start())):
             reach = key[0]
             spans.append((m.start(), *key))
-    spans += [(m.start(), m.end(), "der") for m in _HEX_DER.finditer(data)
-              if len(m[0]) % 2 == 0 and is_private_der(bytes.fromhex(m[0].decode()))]
+    spans += [(m.start(), m.start() + size, "der") for m in _HEX_DER.finditer(data) if (size := _hex_key(m[0]))]
     spans += [(m.start(), m.end(), "token") for m in _TOKEN.finditer(data) if is_signed_token(m[1], m[2])]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -264,7 +283,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every secret replaced by its kind in brackets; ``n_chars`` follows the text.
+    """The documents with every secret replaced by its kind in brackets; an integer ``n_chars`` follows the text.
 
     Overlapping spans are replaced together under the kind of the first. Null stays null.
     """
@@ -283,7 +302,7 @@ def redact(docs: DataFrame) -> DataFrame:
                     texts[i] = new
                 columns = {n: batch.column(n) for n in batch.schema.names}
                 columns["text"] = pa.array(texts, column.type)
-                if "n_chars" in columns:
+                if "n_chars" in columns and pa.types.is_integer(columns["n_chars"].type):
                     sizes = columns["n_chars"].to_pylist()
                     for i, new in changed.items():
                         sizes[i] = len(new)

@@ -3,6 +3,9 @@ import hashlib
 import json
 import re
 import struct
+import time
+
+from pyspark.sql import functions as F
 
 from creditloom.llm import secret_scan as S
 
@@ -62,7 +65,7 @@ def test_structures_are_confirmed(frame):
     for r in S.digest(frame(DOCS)).collect():
         kinds.setdefault(r.doc_id, (r.n_der, r.n_ssh, r.n_token, r.spans))
     assert kinds[4][:3] == (1, 0, 0)
-    assert kinds[5][:3] == (1, 1, 1)
+    assert kinds[5][:3] == (1, 0, 1), "a public key is no secret"
     assert kinds[6][:3] == (0, 0, 0)
     text = dict(DOCS)[5]
     at = text.index(TOKEN)
@@ -85,6 +88,11 @@ RSA = FIELD(b"ssh-rsa") + FIELD(b"\1\0\1") + FIELD(b"\0" + bytes(range(256)))
 DSS = FIELD(b"ssh-dss") + FIELD(b"\0" + b"p" * 128) + FIELD(b"q" * 20) + FIELD(b"g" * 128) + FIELD(b"y" * 128)
 
 
+#: PKCS#8 under a password: PBES2 with its parameters, then the encrypted key.
+ENCRYPTED = der(0x30, der(0x30, bytes.fromhex("06092a864886f70d01050d") + der(0x30, der(0x30, der(4, b"salt" * 9)))) + der(4, bytes(range(200))))
+DIGEST_INFO = der(0x30, der(0x30, bytes.fromhex("0609608648016503040201") + b"\x05\0") + der(4, bytes(range(32))))
+
+
 def lines(data, width=64, by="\n"):
     text = base64.b64encode(data).decode()
     return by.join(text[i:i + width] for i in range(0, len(text), width))
@@ -97,18 +105,40 @@ def keys(text):
 
 def test_a_key_ends_where_its_structure_says():
     assert len(ED25519) == 48 and len(b64(PUBLIC)) == 68
-    for data, kind in ((ED25519, "der"), (KEY, "der"), (PUBLIC, "ssh"), (RSA, "ssh"), (DSS, "ssh"), (OPENSSH, "ssh")):
+    for data, kind in ((ED25519, "der"), (KEY, "der"), (ENCRYPTED, "der"), (OPENSSH, "ssh")):
         for by in ("\n", "\r\n"):
             for width in (64, 76, 10_000):
                 key = lines(data, width, by)
                 for before, after in (("", ""), ("", f"{by}Regards{by}Max"), (f"Message{by}", f"{by}word"), (f"MAIN{by}", " x"), ("key=", ";")):
                     assert keys(before + key + after) == [(key, kind)], (kind, by, width, before, after)
-    assert keys(f"{b64(PUBLIC)}\n{b64(PUBLIC)}\nword") == [(b64(PUBLIC), "ssh")] * 2
+    assert keys(f"{b64(OPENSSH)}\n{b64(OPENSSH)}\nword") == [(b64(OPENSSH), "ssh")] * 2
+    for public in (PUBLIC, RSA, DSS):
+        assert keys(f"ssh-rsa {b64(public)} me@host\n{lines(public)}\n") == []
     assert keys(f"{b64(ED25519)}\n{b64(ED25519)}\nword") == [(b64(ED25519), "der")] * 2
-    assert keys(b64(ED25519) + "word") == keys(b64(ED25519)[:-1] + "\n") == keys(b64(PUBLIC + b"x")) == []
+    assert keys(b64(ED25519) + "word") == keys(b64(ED25519)[:-1] + "\n") == keys(b64(OPENSSH[:-1])) == []
     assert keys("MA" + "\n" * 40) == keys("AAAA" + "\n" * 40) == []
 
 
+def test_keys_in_hex_are_cut_by_their_length():
+    for key in (KEY, ED25519, ENCRYPTED):
+        for text in (key.hex(), key.hex().upper(), key.hex() + "0", key.hex() + "ab" * 20):
+            assert keys(f"x {text} y") == [(text[:2 * len(key)], "der")]
+        assert keys(f"0{key.hex()}") == keys(key.hex()[:-2]) == []
+    assert keys(DIGEST_INFO.hex()) == keys(b64(DIGEST_INFO)) == []
+
+
+def test_many_lines_that_claim_to_be_long():
+    line = b64(bytes.fromhex("3082fff0020100") + b"0" * 41)
+    start = time.process_time()
+    assert keys("\n".join([line] * 20_000)) == []
+    assert time.process_time() - start < 20
+
+
+def test_redaction_leaves_other_n_chars_alone(frame):
+    docs = frame([(1, "password=hunter2hunter2")]).withColumn("n_chars", F.lit("many"))
+    assert S.redact(docs).select("text", "n_chars").first() == ("[assign]", "many")
+
+
 def test_keys_with_escaped_line_breaks(frame):
     for data, kind in ((ED25519, "der"), (KEY, "der"), (OPENSSH, "ssh")):
         for by in ("\\n", "\\r\\n"):
