@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from creditloom.operators.cleaning import distinct_rows
 from creditloom.operators.projection import fill_defaults
+from creditloom.operators.sketches import distinct_of_mostly_unique
 from creditloom.schemas import RAW_TABLES
 
 UNKNOWN = "Unknown"
@@ -34,6 +35,10 @@ def default_fills(table: str) -> dict[str, object]:
     return fills | SPECIAL.get(table, {})
 
 
-def clean_table(df: DataFrame, table: str, partial: bool = False) -> DataFrame:
-    """Fill, then drop repeated rows; ``partial`` allows a frame with some of the columns."""
-    return distinct_rows(fill_defaults(df, default_fills(table), partial))
+def clean_table(df: DataFrame, table: str, partial: bool = False, mostly_unique: bool = False) -> DataFrame:
+    """Fill, then drop repeated rows; ``partial`` allows a frame with some of the columns.
+
+    ``mostly_unique`` spares rows without a copy the exchange, at the price of a second read.
+    """
+    filled = fill_defaults(df, default_fills(table), partial)
+    return distinct_of_mostly_unique(filled) if mostly_unique else distinct_rows(filled)

@@ -188,7 +188,8 @@ def build_integrated(spark: SparkSession, bronze: str, silver: str, final: str,
     """
     check_schemas(spark, bronze)
     for name in HISTORY_TABLES:
-        write_layer(cleaned.clean_table(read_layer(spark, bronze, name), name), f"{silver}/{name}_clean")
+        rows = cleaned.clean_table(read_layer(spark, bronze, name), name, mostly_unique=True)
+        write_layer(rows, f"{silver}/{name}_clean")
     features = g.features_from_cleaned({n: read_layer(spark, silver, f"{n}_clean")
                                         for n in HISTORY_TABLES})
     stored = []

@@ -716,6 +716,7 @@ ORACLES: dict[str, str] = {
     "clean_previous": with_roles("prev", CLEAN["prev"]),
     "clean_pos": with_roles("pos", CLEAN["pos"]),
     "clean_installments": with_roles("inst", CLEAN["inst"]),
+    "clean_installments_in_place": with_roles("inst", CLEAN["inst"]),
     "clean_card": with_roles("card", CLEAN["card"]),
     "bureau_credit": with_roles("bureau", BUREAU_CREDIT, c_bureau=CLEAN["bureau"]),
     "delinquency": with_roles("bureau balance", delinquency(6), c_bureau=CLEAN["bureau"],
@@ -736,7 +737,12 @@ ORACLES: dict[str, str] = {
         f"""SELECT '{c}' AS "column", count("{c}") AS n, true AS "within" FROM app""" for c in NUMERIC)),
     "median_per_loan": with_roles("bureau", """SELECT "SK_ID_CURR", round(median("AMT_CREDIT_SUM"), 4) AS median_credit
         FROM bureau WHERE "AMT_CREDIT_SUM" IS NOT NULL GROUP BY 1"""),
+    "sketch_refit": with_roles("app", " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count("{c}") AS n, true AS "within" FROM app""" for c in NUMERIC)),
+    "footer_count": """SELECT count(*) AS n, 'lineitem' AS source FROM lineitem UNION ALL
+        SELECT count(*) AS n, 'orders' AS source FROM orders""",
     "impute_mode": mode_fills(),
+    "impute_mode_of_many": mode_fills(),
     "null_profile": null_profile(),
     "dedup_by_key": """SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity, l_extendedprice, l_partkey
         FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from creditloom.functions import (
     code_to_int, coalesce_key, days_to_years, flag, like_flag, ratio, sum_flags,
 )
-from creditloom.operators import cleaning, joins, projection, quality, reports
+from creditloom.operators import cleaning, joins, projection, quality, reports, sketches
 from creditloom.operators.quantiles import exact_percentile
 from creditloom.plans import (
     application as a, bureau as b, cleaned, documented as k, exploration as j, gold as g,
@@ -101,9 +101,9 @@ def gold_layered(spark, sf):
     return rounded(g.gold(*_splits(spark, sf), bureau, previous))
 
 
-def _cleaned(name: str) -> Query:
+def _cleaned(name: str, mostly_unique: bool = False) -> Query:
     def run(spark, sf):
-        return cleaned.clean_table(roles.HISTORY[name](spark, sf), name, partial=True)
+        return cleaned.clean_table(roles.HISTORY[name](spark, sf), name, partial=True, mostly_unique=mostly_unique)
     return run
 
 
@@ -135,7 +135,19 @@ def _imputed(strategy: str, rel_err: float = 0.01) -> Query:
 def approx_median_bound(spark, sf):
     """Whether the rank of each approximate median is within the error asked for."""
     app = roles.application(spark, sf).select(NUMERIC)
-    fills = cleaning.fit_numeric(app, NUMERIC)
+    return _within(app, cleaning.fit_numeric(app, NUMERIC))
+
+
+def sketch_refit(spark, sf):
+    """Medians from sketches that were made per kind of contract and of car owner, stored, and merged."""
+    app, path = roles.application(spark, sf), scratch_path(spark, "sketches")
+    for day, part in enumerate(("FLAG_OWN_REALTY = 'Y'", "FLAG_OWN_REALTY = 'N'")):
+        layers.write_layer(sketches.fit_sketches(app.where(part), NUMERIC, by=["REGION_RATING_CLIENT"]), f"{path}/{day}")
+    stored = layers.read_layer(spark, path, "0").unionByName(layers.read_layer(spark, path, "1"))
+    return _within(app.select(NUMERIC), sketches.sketch_quantiles(sketches.merge_sketches(stored)))
+
+
+def _within(app: DataFrame, fills: DataFrame) -> DataFrame:
     values = app.select([F.col(c).cast("double") for c in NUMERIC]).unpivot([], NUMERIC, "column", "v")
     counts = values.where("v IS NOT NULL").join(fills, "column").groupBy("column").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.col("fill")).alias("below"),
@@ -150,6 +162,19 @@ def median_per_loan(spark, sf):
     return rounded(exact_percentile(bureau, ["SK_ID_CURR"], "AMT_CREDIT_SUM", 0.5, "median_credit"))
 
 
+def impute_mode_of_many(spark, sf):
+    """Modes from sketched candidates; the long names are unique and are counted in full."""
+    app = roles.application(spark, sf)
+    return cleaning.apply_fills(app.select("SK_ID_CURR", *STRINGS), STRINGS,
+                                sketches.fit_mode_of_many(app, STRINGS), "string")
+
+
+def footer_count(spark, sf):
+    """Rows of the lines and orders as their files' footers tell."""
+    counts = [layers.footer_count(spark, f"{sf.rstrip('/')}/{n}.parquet").withColumn("source", F.lit(n)) for n in ("lineitem", "orders")]
+    return counts[0].unionByName(counts[1])
+
+
 def impute_mode(spark, sf):
     app = roles.application(spark, sf).select("SK_ID_CURR", *STRINGS)
     return cleaning.impute_mode(app, STRINGS)
@@ -491,6 +516,7 @@ QUERIES: dict[str, Query] = {
     "clean_previous": _cleaned("previous_application"),
     "clean_pos": _cleaned("POS_CASH_balance"),
     "clean_installments": _cleaned("installments_payments"),
+    "clean_installments_in_place": _cleaned("installments_payments", mostly_unique=True),
     "clean_card": _cleaned("credit_card_balance"),
     "bureau_credit": bureau_credit,
     "delinquency": delinquency,
@@ -512,6 +538,9 @@ QUERIES: dict[str, Query] = {
     "approx_median_bound": approx_median_bound,
     "median_per_loan": median_per_loan,
     "impute_mode": impute_mode,
+    "impute_mode_of_many": impute_mode_of_many,
+    "sketch_refit": sketch_refit,
+    "footer_count": footer_count,
     "null_profile": lambda s, d: cleaning.null_profile(roles.application(s, d)),
     "dedup_by_key": dedup_by_key,
     "join_detail": join_detail,
