@@ -138,3 +138,95 @@ def test_ngrams_of_words():
     assert len(word) == len(want)
     shared = set(bucket[word == 0]) & set(bucket[word == 2])
     assert len(shared) == 1  # the start mark and "ab"
+
+
+def test_every_split_is_the_best_of_all():
+    """Exhaustive search over all statistics and cuts at every node, on real-valued gradients."""
+    rng = np.random.default_rng(5)
+    n, width = 120, 3
+    x = np.round(rng.normal(size=(n, width)), 1)
+    bins = np.stack([np.searchsorted(np.unique(x[:, i]), x[:, i]) for i in range(width)], axis=1)
+    gradient, weight = rng.normal(size=n) + (x[:, 1] > 0.3), rng.uniform(0.1, 0.3, n)
+    statistic, cut, leaf, at = Q._tree(bins + np.arange(width) * Q.BINS, bins, gradient, weight)
+
+    def term(rows):
+        return sum(gradient[i] for i in rows) ** 2 / (sum(weight[i] for i in rows) + Q.RIDGE)
+
+    def check(node, rows):
+        if node >= 2 ** Q.DEPTH - 1:
+            g, h = sum(gradient[i] for i in rows), sum(weight[i] for i in rows)
+            assert leaf[node - (2 ** Q.DEPTH - 1)] == pytest.approx(-Q.RATE * g / (h + Q.RIDGE))
+            assert all(at[i] == node - (2 ** Q.DEPTH - 1) for i in rows)
+            return
+        gains = {}
+        for s in range(width):
+            for c in range(Q.BINS):
+                low, high = [i for i in rows if bins[i, s] <= c], [i for i in rows if bins[i, s] > c]
+                if min(sum(weight[i] for i in low), sum(weight[i] for i in high)) >= Q.MIN_WEIGHT:
+                    gains[s, c] = term(low) + term(high) - term(rows)
+        best = max(gains.values(), default=0)
+        if best > 1e-6:
+            assert gains[int(statistic[node]), int(cut[node])] == pytest.approx(best)
+        low = [i for i in rows if bins[i, statistic[node]] <= cut[node]]
+        check(2 * node + 1, low)
+        check(2 * node + 2, [i for i in rows if i not in set(low)])
+
+    check(0, list(range(n)))
+
+
+def test_statistics_equal_plain_python():
+    texts = ["Ab ab  AB|!\nab ab ab\n\nab ab ab", "", " \n", "x", "Füße 12,5 $#? «q» a.b", "one two three one two three\none two three"]
+    got = Q.statistics(next(T.slices(pa.array(texts))))
+    for row, text in zip(got, texts):
+        data, words = text.encode(), [w.encode() for w in text.split()]
+        n, size = max(1, len(words)), max(1, len(data))
+        lengths, lines = [len(w) for w in words] or [0], [line for line in text.split("\n") if line]
+        triples = list(zip(words, words[1:], words[2:]))
+        mean = sum(map(len, words)) / n
+        count = lambda chars: sum(b in chars for b in data)
+        share = lambda items: len(set(items)) / max(1, len(items))
+        want = [np.log1p(len(data)), np.log1p(len(words)), mean,
+                np.sqrt(max(0.0, sum(len(w) ** 2 for w in words) / n - mean ** 2)), np.log1p(max(lengths)),
+                count(Q.SYMBOLS) / n, count(b"!?") / n, count(b"|") / n, count(bytes(range(65, 91))) / size, count(b"0123456789") / size,
+                count(b".,;:-'\"()") / n, sum(b > 127 for b in data) / size, count(b"\n") / n, share(words),
+                sum(a == b for a, b in zip(words, words[1:])) / n, share(triples), 1 - share(lines),
+                np.log1p(len(words) / max(1, len(lines)))]
+        assert row == pytest.approx(want, abs=1e-9), text
+
+
+def test_forward_pass_equals_plain_python():
+    rng = np.random.default_rng(8)
+    model = X.Model(rng.normal(size=1 << X.BITS), -0.7)
+
+    def bucket(gram):
+        code = int.from_bytes(gram, "little") + len(gram) - 1
+        return (code * int(X._HASH) % 2 ** 64) >> (64 - X.BITS)
+
+    def plain(text):
+        values = []
+        for word in text.lower().split():
+            marked = b"\x02" + word.encode() + b"\x03"
+            grams = [marked[i:i + n] for n in X.NGRAMS for i in range(len(marked) - n + 1)]
+            values.append(sum(model.bucket[bucket(g)] for g in grams) / len(grams))
+        z = [np.mean(values[i:i + X.SPAN]) for i in range(0, len(values), X.SPAN)]
+        if not z:
+            return 1 / (1 + np.exp(-model.bias))
+        weight = np.exp(X.SHARPNESS * (np.array(z) - max(z)))
+        return 1 / (1 + np.exp(-(model.bias + float(weight @ z / weight.sum()))))
+
+    texts = ["", "a", "one TWO three", "Grüße an alle und noch mehr", "x " * 50 + "grumbler"]
+    part = next(T.slices(pa.array(texts)))
+    assert X.score(part.data, part.bounds, model) == pytest.approx([plain(t) for t in texts], rel=1e-9)
+
+
+def test_gradient_of_the_pooling_equals_differences():
+    rng = np.random.default_rng(9)
+    z, text = rng.normal(size=7), np.array([0, 0, 0, 1, 2, 2, 2])
+    pooled, weight = X._pooled(z, text, 3)
+    claimed = weight * (1 + X.SHARPNESS * (z - pooled[text]))
+    for j in range(len(z)):
+        up, down = z.copy(), z.copy()
+        up[j] += 1e-6
+        down[j] -= 1e-6
+        slope = (X._pooled(up, text, 3)[0] - X._pooled(down, text, 3)[0]) / 2e-6
+        assert slope == pytest.approx(claimed[j] * (np.arange(3) == text[j]), abs=1e-6)
