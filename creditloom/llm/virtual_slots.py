@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -128,11 +129,32 @@ def placed_rows(rows: DataFrame, placed: dict[int, int]) -> DataFrame:
                            F.explode(F.sequence("first", F.col("first") + F.col("copies") - 1)).alias("slot"))
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """One row per document: size, checksum, shard and place in it. Bytes decide the map, so there is no grown shard."""
+def current_map(spark: SparkSession, path: str, weights: dict[int, int], shards: int = SHARDS) -> dict[int, int]:
+    """The map in use for these loads: the latest version at ``path``, edited where loads ask for it.
+
+    Without a map there, a first version is made. An edit that moves slots is appended as the next
+    version; records of other slots stay where they are.
+    """
+    try:
+        version, placed = read_map(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        version, placed = 0, {}
+    edited = rebalance(placed, weights, shards) if placed else assign(weights, shards)
+    if edited != placed:
+        write_map(spark, path, edited, weights, version + 1)
+        edited = read_map(spark, path, version + 1)[1]
+    return edited
+
+
+def digest(docs: DataFrame, map_path: str | None = None) -> DataFrame:
+    """One row per document: size, checksum, shard and place in it. Bytes decide the map, so there is no grown shard.
+
+    ``map_path`` is where the map lives on between runs; without one, a run has a map of its own.
+    """
     spark, rows = docs.sparkSession, stored(records(docs), "records")
-    weights, path = slot_weights(rows), scratch_path(docs.sparkSession, "slot-map")
-    write_map(spark, path, assign(weights), weights, 1)
-    return placed_rows(rows, read_map(spark, path, 1)[1]).select(
+    placed = current_map(spark, map_path or scratch_path(spark, "slot-map"), slot_weights(rows))
+    return placed_rows(rows, placed).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")

@@ -68,6 +68,25 @@ def test_hot_ids_and_repeats_are_spread(spark, frame, tmp_path, monkeypatch):
     assert version == 1 and all(placed[r.virtual_slot] == r.shard for r in got)
 
 
+def test_the_map_lives_on_between_runs(spark, frame, tmp_path):
+    path = str(tmp_path / "map")
+    docs = [(i, "x" * (i * 37 % 1900)) for i in range(2000)]
+    first = {r.doc_id: r.shard for r in V.digest(frame(docs), path).collect()}
+    assert {r.doc_id: r.shard for r in V.digest(frame(docs), path).collect()} == first
+    assert V.read_map(spark, path)[0] == 1, "the same loads need no edit"
+    placed = V.read_map(spark, path)[1]
+    slot = {r.doc_id: r.virtual_slot for r in V.digest(frame(docs), path).collect()}
+    more = docs + [(i, "y" * 3000) for i in range(5000, 9000) if i % 3]
+    got = V.digest(frame(more), path).collect()
+    version, edited = V.read_map(spark, path)
+    assert version == 2 and all(edited[r.virtual_slot] == r.shard for r in got)
+    assert {r.doc_id for r in got if r.doc_id in first and r.shard != first[r.doc_id]} == {
+        i for i in first if edited[slot[i]] != placed[slot[i]]}
+    assert sum(edited[s] == placed[s] for s in placed) > len(placed) / 2
+    sizes = [sum(r.size for r in got if r.shard == k) for k in range(24)]
+    assert max(sizes) - min(sizes) <= 0.05 * max(sizes)
+
+
 @pytest.mark.parametrize("docs", [[], [(None, None)], [(1, None)]])
 def test_tiny_tables(frame, docs):
     assert V.digest(frame(docs)).count() == len(docs)
