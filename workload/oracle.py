@@ -8,6 +8,7 @@ modes are plain aggregates - so it checks the rewrites on the Spark side.
 from __future__ import annotations
 
 from workload.queries import NUMERIC, STRINGS
+from workload.roles import PREVIOUS_REST
 
 # ---- role mapping -----------------------------------------------------------
 ROLE_SQL = {
@@ -111,8 +112,8 @@ ROLE_SQL = {
                WHEN o_orderpriority = '2-HIGH' AND dom > 20 THEN 'LIMIT' ELSE 'HC' END
             AS "CODE_REJECT_REASON",
           CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderpriority = '3-MEDIUM' THEN 1e0 ELSE 0e0 END
-            AS "NFLAG_INSURED_ON_APPROVAL"
-        FROM dated_orders""",
+            AS "NFLAG_INSURED_ON_APPROVAL", PREVIOUS_REST
+        FROM dated_orders""".replace("PREVIOUS_REST", ", ".join(f'{expr} AS "{name}"' for name, expr in PREVIOUS_REST.items())),
     "inst": """
         SELECT l_orderkey AS "SK_ID_PREV", o_custkey AS "SK_ID_CURR",
           CASE WHEN o_custkey % 7 = 0 THEN NULL WHEN o_custkey % 7 = 1 THEN 0e0 WHEN o_custkey % 7 = 2 THEN 2e0
@@ -425,8 +426,13 @@ CLEAN = {
         "AMT_CREDIT_SUM_OVERDUE", "DAYS_CREDIT_UPDATE", "AMT_ANNUITY"], ["CREDIT_TYPE"]),
     "balance": cleaned("balance", [], STATUS="C"),
     "prev": cleaned("prev", [
-        "AMT_ANNUITY", "AMT_CREDIT", "AMT_DOWN_PAYMENT", "RATE_INTEREST_PRIMARY", "DAYS_DECISION",
-        "NFLAG_INSURED_ON_APPROVAL"], ["NAME_CONTRACT_TYPE", "NAME_CONTRACT_STATUS", "CODE_REJECT_REASON"]),
+        "AMT_ANNUITY", "AMT_APPLICATION", "AMT_CREDIT", "AMT_DOWN_PAYMENT", "AMT_GOODS_PRICE", "HOUR_APPR_PROCESS_START",
+        "NFLAG_LAST_APPL_IN_DAY", "RATE_DOWN_PAYMENT", "RATE_INTEREST_PRIMARY", "RATE_INTEREST_PRIVILEGED", "DAYS_DECISION",
+        "SELLERPLACE_AREA", "CNT_PAYMENT", "DAYS_FIRST_DRAWING", "DAYS_FIRST_DUE", "DAYS_LAST_DUE_1ST_VERSION",
+        "DAYS_LAST_DUE", "DAYS_TERMINATION", "NFLAG_INSURED_ON_APPROVAL"], [
+        "NAME_CONTRACT_TYPE", "WEEKDAY_APPR_PROCESS_START", "NAME_CASH_LOAN_PURPOSE", "NAME_CONTRACT_STATUS", "NAME_PAYMENT_TYPE",
+        "CODE_REJECT_REASON", "NAME_TYPE_SUITE", "NAME_CLIENT_TYPE", "NAME_GOODS_CATEGORY", "NAME_PORTFOLIO", "NAME_PRODUCT_TYPE",
+        "CHANNEL_TYPE", "NAME_SELLER_INDUSTRY", "NAME_YIELD_GROUP", "PRODUCT_COMBINATION"], FLAG_LAST_APPL_PER_CONTRACT="N"),
     "pos": cleaned("pos", ["CNT_INSTALMENT", "CNT_INSTALMENT_FUTURE", "SK_DPD", "SK_DPD_DEF"], ["NAME_CONTRACT_STATUS"]),
     "inst": cleaned("inst", [
         "NUM_INSTALMENT_VERSION", "DAYS_INSTALMENT", "DAYS_ENTRY_PAYMENT", "AMT_INSTALMENT", "AMT_PAYMENT"]),

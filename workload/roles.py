@@ -149,8 +149,41 @@ def bureau_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Columns of earlier applications that no feature uses; the same text is SQL for either engine.
+PREVIOUS_REST = {
+    "AMT_APPLICATION": "CASE WHEN dom <> 2 THEN amount * 0.95e0 END",
+    "AMT_GOODS_PRICE": "CASE WHEN o_orderpriority <> '5-LOW' THEN amount * 0.9e0 END",
+    "WEEKDAY_APPR_PROCESS_START": "CASE dom % 7 WHEN 0 THEN 'MONDAY' WHEN 1 THEN 'TUESDAY' WHEN 2 THEN 'WEDNESDAY'"
+                                  " WHEN 3 THEN 'THURSDAY' WHEN 4 THEN 'FRIDAY' WHEN 5 THEN 'SATURDAY' END",
+    "HOUR_APPR_PROCESS_START": "CASE WHEN dom <> 24 THEN CAST(dom % 24 AS INT) END",
+    "FLAG_LAST_APPL_PER_CONTRACT": "CASE dom % 3 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' END",
+    "NFLAG_LAST_APPL_IN_DAY": "CASE WHEN dom <> 5 THEN CAST(dom % 2 AS INT) END",
+    "RATE_DOWN_PAYMENT": "CASE WHEN o_orderstatus = 'F' THEN dom / 310e0 END",
+    "RATE_INTEREST_PRIVILEGED": "CASE WHEN dom = 7 THEN 0.8e0 END",
+    "NAME_CASH_LOAN_PURPOSE": "CASE WHEN o_orderpriority = '1-URGENT' THEN 'Repairs' WHEN o_orderpriority = '2-HIGH' THEN 'Car' END",
+    "NAME_PAYMENT_TYPE": "CASE WHEN dom < 29 THEN 'Cash through the bank' END",
+    "NAME_TYPE_SUITE": "CASE dom % 4 WHEN 0 THEN 'Family' WHEN 1 THEN 'Unaccompanied' WHEN 2 THEN 'Children' END",
+    "NAME_CLIENT_TYPE": "CASE WHEN o_orderstatus = 'F' THEN 'Repeater' WHEN o_orderstatus = 'O' THEN 'New' END",
+    "NAME_GOODS_CATEGORY": "CASE dom % 5 WHEN 0 THEN 'Mobile' WHEN 1 THEN 'Furniture' WHEN 2 THEN 'Computers' END",
+    "NAME_PORTFOLIO": "CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'Cards' WHEN dom < 20 THEN 'POS' END",
+    "NAME_PRODUCT_TYPE": "CASE WHEN o_orderpriority = '2-HIGH' THEN 'x-sell' WHEN dom > 3 THEN 'walk-in' END",
+    "CHANNEL_TYPE": "CASE WHEN dom % 2 = 0 THEN 'Stone' WHEN dom % 3 = 0 THEN 'Contact center' END",
+    "SELLERPLACE_AREA": "CASE WHEN dom <> 11 THEN CAST(dom * 100 - 1 AS INT) END",
+    "NAME_SELLER_INDUSTRY": "CASE dom % 6 WHEN 0 THEN 'Connectivity' WHEN 1 THEN 'Furniture' END",
+    "CNT_PAYMENT": "CASE WHEN dom < 25 THEN dom * 2e0 END",
+    "NAME_YIELD_GROUP": "CASE WHEN dom < 10 THEN 'low_normal' WHEN dom < 20 THEN 'high' END",
+    "PRODUCT_COMBINATION": "CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'Card Street' WHEN dom < 27 THEN 'Cash' END",
+    "DAYS_FIRST_DRAWING": "CASE WHEN dom = 1 THEN 365243e0 WHEN dom = 2 THEN days + 1e0 END",
+    "DAYS_FIRST_DUE": "CASE WHEN o_orderstatus = 'F' THEN days + 30e0 END",
+    "DAYS_LAST_DUE_1ST_VERSION": "CASE WHEN o_orderstatus = 'F' THEN days + 390e0 END",
+    "DAYS_LAST_DUE": "CASE WHEN o_orderstatus = 'F' AND dom <> 9 THEN days + 360e0 END",
+    "DAYS_TERMINATION": "CASE WHEN o_orderstatus = 'F' AND dom <> 9 THEN days + 365e0 END",
+}
+
+
 def previous_application(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).selectExpr(
+        *(f"{expr} AS {name}" for name, expr in PREVIOUS_REST.items()),
         "o_orderkey AS SK_ID_PREV", "o_custkey AS SK_ID_CURR",
         "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Cash loans'"
         " WHEN o_orderpriority = '3-MEDIUM' THEN 'Revolving loans' ELSE 'Consumer loans' END"
