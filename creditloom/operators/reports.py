@@ -32,6 +32,33 @@ def target_rate(df: DataFrame, dims: Mapping[str, Column | str] | Sequence[str],
     return report.orderBy(*(order or [F.col(rate_name).desc_nulls_last(), *[F.col(n) for n in named]]))
 
 
+def rates_in_one_scan(df: DataFrame, reports: Mapping[str, Mapping[str, Column | str] | Sequence[str]],
+                      target: str = "target") -> DataFrame:
+    """Row count and average label of several reports from one read of ``df``.
+
+    All dimensions are derived once and grouped by one set per report; each task folds its rows
+    before anything is exchanged. Rows carry the ``report`` they belong to and its dimensions;
+    those of other reports are NULL. ``report_of`` gives one of them.
+    """
+    sets = {name: dict(dims) if isinstance(dims, Mapping) else {d: d for d in dims} for name, dims in reports.items()}
+    named = {n: F.col(c) if isinstance(c, str) else c for dims in sets.values() for n, c in dims.items()}
+    derived = df.select(*[c.alias(n) for n, c in named.items()], F.col(target).alias("label"))
+    which = F.grouping_id(*[F.col(n) for n in named])
+    grouped = derived.groupingSets([[F.col(n) for n in dims] for dims in sets.values()], *[F.col(n) for n in named]).agg(
+        which.alias("which"), F.count(F.lit(1)).alias("total"), F.avg("label").alias("default_rate"))
+    ids = {sum(1 << (len(named) - 1 - i) for i, n in enumerate(named) if n not in dims): name for name, dims in sets.items()}
+    if len(ids) < len(sets):
+        raise ValueError("two reports have the same dimensions")
+    label = reduce(lambda when, item: when.when(F.col("which") == item[0], item[1]), ids.items(), F)
+    return grouped.select(label.alias("report"), *named, "total", "default_rate")
+
+
+def report_of(reports: DataFrame, name: str, dims: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
+    """One report of ``rates_in_one_scan``, highest rate first."""
+    rows = reports.where(F.col("report") == name).select(*dims, "total", "default_rate")
+    return rows.orderBy(*(order or [F.col("default_rate").desc_nulls_last(), *dims]))
+
+
 def compare_by_target(df: DataFrame, metrics: Mapping[str, Column], target: str = "target") -> DataFrame:
     """Mean of each metric per label value."""
     return df.groupBy(target).agg(*[F.avg(c).alias(n) for n, c in metrics.items()])

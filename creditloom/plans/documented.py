@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from creditloom.functions import bucketize, cross_profile, flag, ratio, sum_flags
 from creditloom.operators.quantiles import exact_percentile
-from creditloom.operators.reports import compare_by_target, target_rate
+from creditloom.operators.reports import compare_by_target, rates_in_one_scan, target_rate
 from creditloom.plans import bureau as b
 from creditloom.plans import previous as p
 from creditloom.plans.exploration import CONTACT_FLAGS, credit_to_income
@@ -60,6 +60,15 @@ def rate_by_hour_group(app: DataFrame) -> DataFrame:
     return target_rate(app, {"app_time_group": steps("hourApp", HOUR_GROUPS, HOUR_REST)})
 
 
+def rate_reports(app: DataFrame) -> DataFrame:
+    """The application reports by one or two dimensions, from one scan."""
+    return rates_in_one_scan(app, {
+        "contract": ["contractType"], "suite": ["suiteType"], "assets": ["ownCar", "ownRealty"],
+        "income_type": ["incomeType"], "weekday": ["weekdayApp"], "region": ["regionRate"],
+        "hour_group": {"app_time_group": steps("hourApp", HOUR_GROUPS, HOUR_REST)},
+        "commute": ["liveNotWork", "liveCityNotWork"]})
+
+
 def rate_by_weekday(app: DataFrame) -> DataFrame:
     return target_rate(app, ["weekdayApp"])
 

@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from creditloom.operators import reports
 from creditloom.operators.reports import compare_by_target, target_rate, top_k, union_all
 from creditloom.plans import documented as k
 from creditloom.plans import exploration as j
@@ -83,3 +85,17 @@ def test_goods_gap_reports(spark):
     both = j.gap_extremes_combined(app, 1, with_target=True).collect()
     assert [(r.case_type, r.loanId, r.avg_target) for r in both] == [
         (j.POSITIVE_GAP, 1, 0.0), (j.NEGATIVE_GAP, 2, 1.0)]
+
+
+def test_reports_of_one_scan_equal_reports_of_their_own(spark, rows):
+    df = spark.createDataFrame([(0, "a", 1, 1.0), (1, "a", None, 2.0), (None, None, 2, 3.0), (1, "b", 2, None), (0, None, None, 1.0)] * 3,
+                               "target int, x string, y int, z double")
+    wanted = {"x": ["x"], "xy": ["x", "y"], "big": {"big": F.col("z") > 1.5}, "x_big": {"x": "x", "big": F.col("z") > 1.5}}
+    together = reports.rates_in_one_scan(df, wanted)
+    for name, dims in wanted.items():
+        alone = reports.target_rate(df, dims)
+        assert rows(reports.report_of(together, name, list(dims))) == rows(alone)
+    plan = together._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Expand" in plan
+    with pytest.raises(ValueError):
+        reports.rates_in_one_scan(df, {"a": ["x", "y"], "b": ["y", "x"]})

@@ -875,6 +875,13 @@ ORACLES: dict[str, str] = {
         CASE WHEN occupation IN ('Drivers', 'Laborers') THEN 'High Risk'
              WHEN occupation = 'Sales staff' THEN 'Medium Risk' ELSE 'Low Risk' END
         AS occupation_risk_group FROM view"""),
+    "rate_reports": with_roles("view", " UNION ALL BY NAME ".join(
+        f"SELECT '{name}' AS report, * FROM ({rate(dims)})" for name, dims in {
+            "contract": '"contractType"', "suite": '"suiteType"', "assets": '"ownCar", "ownRealty"',
+            "income_type": '"incomeType"', "weekday": '"weekdayApp"', "region": '"regionRate"',
+            "hour_group": steps('"hourApp"', [("<= 5", "Dini Hari (0-5)"), ("<= 11", "Pagi (6-11)"), ("<= 17", "Siang (12-17)")],
+                                "Malam (18-23)") + " AS app_time_group",
+            "commute": '"liveNotWork", "liveCityNotWork"'}.items())),
     "rate_by_weekday": with_roles("view", rate('"weekdayApp"')),
     "rate_by_hour_group": with_roles("view", rate(steps('"hourApp"', [
         ("<= 5", "Dini Hari (0-5)"), ("<= 11", "Pagi (6-11)"), ("<= 17", "Siang (12-17)")],

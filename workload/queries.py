@@ -591,6 +591,7 @@ QUERIES: dict[str, Query] = {
     "occupation_rates": _on_view(j.occupation_rates),
     "occupation_averages": _on_view(j.rate_with_averages, "occupation", digits=4),
     "occupation_groups": _on_view(j.occupation_groups),
+    "rate_reports": _on_view(k.rate_reports),
     "rate_by_weekday": _on_view(k.rate_by_weekday),
     "rate_by_hour_group": _on_view(k.rate_by_hour_group),
     "rate_by_region": _on_view(k.rate_by_region, digits=4),
