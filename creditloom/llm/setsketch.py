@@ -26,10 +26,11 @@ Outsiders may be a large family themselves. A place, that is a group and a leadi
 shingle, at which more than ``FEW`` outsiders would meet more than ``FEW`` members
 doesn't propose their pairs but elects a new pivot, the outsider with most company, and
 compares all who are there with it; those linked to it are joined up, and the others are
-searched in the same way against the new pivot. A pivot is not among those it is compared
-with, so groups shrink and the search ends. Every family is so compared with a
-few of its members, however many there are in a bucket, and no pair that shares a band
-is lost.
+searched in the same way against the new pivot. Every family is so compared with a few of its members, however many
+families there are in a bucket. Where a new pivot links less than a quarter of those it is
+compared with, there is no such family around it, and the others meet pair by pair within
+the bound of the bitmaps. The outsiders of a group so shrink by a quarter at least each
+time, which bounds the number of rounds by a logarithm. No pair that shares a band is lost.
 
 Defined results: null and wordless texts have an empty set and no links. Rows of
 one id are one node. Rows without an id are never linked; their component is null
@@ -55,7 +56,9 @@ SIZE_CLASSES = 50
 #: Standard deviations that an estimate may lie below the threshold.
 SLACK = 5.0
 #: A place where at most so many of one side meet the others compares them all.
-FEW = 16
+FEW = 32
+#: A new pivot must link at least one in so many of those it is compared with for another one to follow.
+PRODUCTIVE = 4
 
 _SALT = T.mix(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _FACTOR = T.mix(_SALT) | np.uint64(1)
@@ -282,17 +285,21 @@ def _sketched(pairs: DataFrame, classes: DataFrame, percent: int, keep: str = "f
     return T.map_batches(both, _likely(percent / 100), "a long, b long")
 
 
-def _with_texts(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``text_a`` and ``text_b`` of stored pairs; only the texts that occur in pairs are moved twice."""
+def _with_texts(pairs: DataFrame, classes: DataFrame, texts: DataFrame, few: bool = False) -> DataFrame:
+    """``text_a`` and ``text_b`` of stored pairs; only the texts that occur in pairs are moved twice.
+
+    Of ``few`` pairs the ids are stored, so that Spark knows their size and need not move texts for them.
+    """
     needed = (pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
               .join(classes.select("id", "doc_id", "ref"), "id"))
+    needed = stored(needed, "needed") if few else needed
     texts = stored(texts.join(needed, ["doc_id", "ref"]).dropDuplicates(["doc_id", "ref"]).select("id", "text"), "texts")
     return (pairs.join(_sided(texts, "a"), "a").join(_sided(texts, "b"), "b").select("a", "b", "text_a", "text_b"))
 
 
-def _compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, few: bool = False) -> DataFrame:
     """Exact decisions on pairs of a pivot and a member, and what the search for other pairs needs."""
-    return stored(T.map_batches(_with_texts(pairs, classes, texts), _verifier(percent, True),
+    return stored(T.map_batches(_with_texts(pairs, classes, texts, few), _verifier(percent, True),
                                 "a long, b long, linked boolean, n long, leading binary, "
                                 + ", ".join(f"{c} long" for c in AGAINST)), "compared")
 
@@ -330,14 +337,14 @@ def _found(groups: DataFrame, classes: DataFrame, texts: DataFrame, percent: int
     in_pivot = "x.p - bit_count(x.lack0 | y.lack0) - bit_count(x.lack1 | y.lack1)"
     beyond = "least({0}, {1})".format(*(
         f"{s}.beyond - bit_count({s}.more0 & ~{t}.more0) - bit_count({s}.more1 & ~{t}.more1)" for s, t in ("xy", "yx")))
-    links, met = groups.where("linked").select("a", "b"), None
+    links, met, crowd = groups.where("linked").select("a", "b"), None, f"outsiders > {FEW}"
     while True:
         tally = groups.groupBy("grp").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("outsiders"))
         rows = groups.join(tally.where("members > 1 AND outsiders > 0"), "grp")
         probes, index = _meeting(rows, percent)
         # Where few are on one side all meet; where many are on both, one of them becomes a pivot.
         many = [x.groupBy(*PLACE).agg(F.count("*").alias(n)).where(f"{n} > {FEW}") for x, n in zip(
-            _meeting(rows.where(f"outsiders > {FEW}"), percent), ("n_probes", "n_index"))]
+            _meeting(rows.where(crowd), percent), ("n_probes", "n_index"))]
         crowded = stored(many[0].join(many[1], PLACE), "crowded")
         last = crowded.isEmpty()
         if not last:
@@ -350,9 +357,10 @@ def _found(groups: DataFrame, classes: DataFrame, texts: DataFrame, percent: int
         met = close if met is None else met.unionByName(close)
         if last:
             break
-        pairs = _elected(rows.where(f"outsiders > {FEW}"), crowded, percent)
-        groups = pairs.join(_compared(pairs.select("a", "b").distinct(), classes, texts, percent), ["a", "b"])
+        pairs = _elected(rows.where(crowd), crowded, percent)
+        groups = pairs.join(_compared(pairs.select("a", "b").distinct(), classes, texts, percent, few=True), ["a", "b"])
         links = links.union(groups.where("linked").select("a", "b"))
+        crowd = f"outsiders > {FEW} AND {PRODUCTIVE} * (members - outsiders) >= members"
     if met.isEmpty():
         return links
     more = T.map_batches(_with_texts(met.distinct(), classes, texts), _verifier(percent, False), "a long, b long, linked boolean")
