@@ -10,7 +10,6 @@ from creditloom.functions import (
 )
 from creditloom.operators.cleaning import dedup_by_key, impute_mode, impute_numeric
 from creditloom.operators.projection import columns_by_type, encode_flag, present, rename_project, sentinel
-from creditloom.schemas import BUILDING_MEASURES, BUILDING_STATISTICS, DOCUMENT_NUMBERS
 
 KEY, LABEL = "SK_ID_CURR", "TARGET"
 
@@ -140,44 +139,132 @@ def application_clean(df: DataFrame, strategy: str = "approx_median", rel_err: f
 
 
 # ---- exploration view -------------------------------------------------------
-# Source name -> analyst name (fixed values); families follow by rule below.
+# Analyst name of every source column, and of the three derived ones.
 VIEW_NAMES = {
-    "SK_ID_CURR": "loanId", "TARGET": "target", "NAME_CONTRACT_TYPE": "contractType",
-    "CODE_GENDER": "gender", "FLAG_OWN_CAR": "ownCar", "FLAG_OWN_REALTY": "ownRealty",
-    "CNT_CHILDREN": "childrenCnt", "AMT_INCOME_TOTAL": "incomeTotal", "AMT_CREDIT": "creditAmt",
-    "AMT_ANNUITY": "annuityAmt", "AMT_GOODS_PRICE": "goodsPrice", "NAME_TYPE_SUITE": "suiteType",
-    "NAME_INCOME_TYPE": "incomeType", "NAME_EDUCATION_TYPE": "education",
-    "NAME_FAMILY_STATUS": "familyStatus", "NAME_HOUSING_TYPE": "housingType",
-    "REGION_POPULATION_RELATIVE": "regionPop", "ageYears": "ageYears",
-    "yearsEmployed": "yearsEmployed", "isUnemployed": "isUnemployed",
-    "DAYS_REGISTRATION": "daysReg", "DAYS_ID_PUBLISH": "daysIdPub", "OWN_CAR_AGE": "carAge",
-    "FLAG_MOBIL": "flagMobil", "FLAG_EMP_PHONE": "empPhone", "FLAG_WORK_PHONE": "workPhone",
-    "FLAG_CONT_MOBILE": "contMobile", "FLAG_PHONE": "flagPhone", "FLAG_EMAIL": "flagEmail",
-    "OCCUPATION_TYPE": "occupation", "CNT_FAM_MEMBERS": "famMembers",
-    "REGION_RATING_CLIENT": "regionRate", "REGION_RATING_CLIENT_W_CITY": "regionRateCity",
-    "WEEKDAY_APPR_PROCESS_START": "weekdayApp", "HOUR_APPR_PROCESS_START": "hourApp",
-    "REG_REGION_NOT_LIVE_REGION": "regNotLive", "REG_REGION_NOT_WORK_REGION": "regNotWork",
-    "LIVE_REGION_NOT_WORK_REGION": "liveNotWork", "REG_CITY_NOT_LIVE_CITY": "cityNotLive",
-    "REG_CITY_NOT_WORK_CITY": "cityNotWork", "LIVE_CITY_NOT_WORK_CITY": "liveCityNotWork",
-    "ORGANIZATION_TYPE": "orgType", "EXT_SOURCE_1": "ext1", "EXT_SOURCE_2": "ext2",
-    "EXT_SOURCE_3": "ext3", "FONDKAPREMONT_MODE": "modeFond", "HOUSETYPE_MODE": "modeHouse",
-    "TOTALAREA_MODE": "modeTotal", "WALLSMATERIAL_MODE": "modeWall",
-    "EMERGENCYSTATE_MODE": "modeEmerg", "DAYS_LAST_PHONE_CHANGE": "daysPhone",
+    "SK_ID_CURR": "loanId",
+    "TARGET": "target",
+    "NAME_CONTRACT_TYPE": "contractType",
+    "CODE_GENDER": "gender",
+    "FLAG_OWN_CAR": "ownCar",
+    "FLAG_OWN_REALTY": "ownRealty",
+    "CNT_CHILDREN": "childrenCnt",
+    "AMT_INCOME_TOTAL": "incomeTotal",
+    "AMT_CREDIT": "creditAmt",
+    "AMT_ANNUITY": "annuityAmt",
+    "AMT_GOODS_PRICE": "goodsPrice",
+    "NAME_TYPE_SUITE": "suiteType",
+    "NAME_INCOME_TYPE": "incomeType",
+    "NAME_EDUCATION_TYPE": "education",
+    "NAME_FAMILY_STATUS": "familyStatus",
+    "NAME_HOUSING_TYPE": "housingType",
+    "REGION_POPULATION_RELATIVE": "regionPop",
+    "DAYS_REGISTRATION": "daysReg",
+    "DAYS_ID_PUBLISH": "daysIdPub",
+    "OWN_CAR_AGE": "carAge",
+    "FLAG_MOBIL": "flagMobil",
+    "FLAG_EMP_PHONE": "empPhone",
+    "FLAG_WORK_PHONE": "workPhone",
+    "FLAG_CONT_MOBILE": "contMobile",
+    "FLAG_PHONE": "flagPhone",
+    "FLAG_EMAIL": "flagEmail",
+    "OCCUPATION_TYPE": "occupation",
+    "CNT_FAM_MEMBERS": "famMembers",
+    "REGION_RATING_CLIENT": "regionRate",
+    "REGION_RATING_CLIENT_W_CITY": "regionRateCity",
+    "WEEKDAY_APPR_PROCESS_START": "weekdayApp",
+    "HOUR_APPR_PROCESS_START": "hourApp",
+    "REG_REGION_NOT_LIVE_REGION": "regNotLive",
+    "REG_REGION_NOT_WORK_REGION": "regNotWork",
+    "LIVE_REGION_NOT_WORK_REGION": "liveNotWork",
+    "REG_CITY_NOT_LIVE_CITY": "cityNotLive",
+    "REG_CITY_NOT_WORK_CITY": "cityNotWork",
+    "LIVE_CITY_NOT_WORK_CITY": "liveCityNotWork",
+    "ORGANIZATION_TYPE": "orgType",
+    "EXT_SOURCE_1": "ext1",
+    "EXT_SOURCE_2": "ext2",
+    "EXT_SOURCE_3": "ext3",
+    "APARTMENTS_AVG": "avgApt",
+    "BASEMENTAREA_AVG": "avgBsmt",
+    "YEARS_BEGINEXPLUATATION_AVG": "avgYrsExpl",
+    "YEARS_BUILD_AVG": "avgYrsBuild",
+    "COMMONAREA_AVG": "avgCommArea",
+    "ELEVATORS_AVG": "avgElev",
+    "ENTRANCES_AVG": "avgEnt",
+    "FLOORSMAX_AVG": "avgFlrMax",
+    "FLOORSMIN_AVG": "avgFlrMin",
+    "LANDAREA_AVG": "avgLand",
+    "LIVINGAPARTMENTS_AVG": "avgLivApt",
+    "LIVINGAREA_AVG": "avgLivArea",
+    "NONLIVINGAPARTMENTS_AVG": "avgNonLivApt",
+    "NONLIVINGAREA_AVG": "avgNonLivArea",
+    "APARTMENTS_MODE": "modeApt",
+    "BASEMENTAREA_MODE": "modeBsmt",
+    "YEARS_BEGINEXPLUATATION_MODE": "modeYrsExpl",
+    "YEARS_BUILD_MODE": "modeYrsBuild",
+    "COMMONAREA_MODE": "modeCommArea",
+    "ELEVATORS_MODE": "modeElev",
+    "ENTRANCES_MODE": "modeEnt",
+    "FLOORSMAX_MODE": "modeFlrMax",
+    "FLOORSMIN_MODE": "modeFlrMin",
+    "LANDAREA_MODE": "modeLand",
+    "LIVINGAPARTMENTS_MODE": "modeLivApt",
+    "LIVINGAREA_MODE": "modeLivArea",
+    "NONLIVINGAPARTMENTS_MODE": "modeNonLivApt",
+    "NONLIVINGAREA_MODE": "modeNonLivArea",
+    "APARTMENTS_MEDI": "medApt",
+    "BASEMENTAREA_MEDI": "medBsmt",
+    "YEARS_BEGINEXPLUATATION_MEDI": "medYrsExpl",
+    "YEARS_BUILD_MEDI": "medYrsBuild",
+    "COMMONAREA_MEDI": "medCommArea",
+    "ELEVATORS_MEDI": "medElev",
+    "ENTRANCES_MEDI": "medEnt",
+    "FLOORSMAX_MEDI": "medFlrMax",
+    "FLOORSMIN_MEDI": "medFlrMin",
+    "LANDAREA_MEDI": "medLand",
+    "LIVINGAPARTMENTS_MEDI": "medLivApt",
+    "LIVINGAREA_MEDI": "medLivArea",
+    "NONLIVINGAPARTMENTS_MEDI": "medNonLivApt",
+    "NONLIVINGAREA_MEDI": "medNonLivArea",
+    "FONDKAPREMONT_MODE": "modeFond",
+    "HOUSETYPE_MODE": "modeHouse",
+    "TOTALAREA_MODE": "modeTotal",
+    "WALLSMATERIAL_MODE": "modeWall",
+    "EMERGENCYSTATE_MODE": "modeEmerg",
+    "OBS_30_CNT_SOCIAL_CIRCLE": "obs30",
+    "DEF_30_CNT_SOCIAL_CIRCLE": "def30",
+    "OBS_60_CNT_SOCIAL_CIRCLE": "obs60",
+    "DEF_60_CNT_SOCIAL_CIRCLE": "def60",
+    "DAYS_LAST_PHONE_CHANGE": "daysPhone",
+    "FLAG_DOCUMENT_2": "doc2",
+    "FLAG_DOCUMENT_3": "doc3",
+    "FLAG_DOCUMENT_4": "doc4",
+    "FLAG_DOCUMENT_5": "doc5",
+    "FLAG_DOCUMENT_6": "doc6",
+    "FLAG_DOCUMENT_7": "doc7",
+    "FLAG_DOCUMENT_8": "doc8",
+    "FLAG_DOCUMENT_9": "doc9",
+    "FLAG_DOCUMENT_10": "doc10",
+    "FLAG_DOCUMENT_11": "doc11",
+    "FLAG_DOCUMENT_12": "doc12",
+    "FLAG_DOCUMENT_13": "doc13",
+    "FLAG_DOCUMENT_14": "doc14",
+    "FLAG_DOCUMENT_15": "doc15",
+    "FLAG_DOCUMENT_16": "doc16",
+    "FLAG_DOCUMENT_17": "doc17",
+    "FLAG_DOCUMENT_18": "doc18",
+    "FLAG_DOCUMENT_19": "doc19",
+    "FLAG_DOCUMENT_20": "doc20",
+    "FLAG_DOCUMENT_21": "doc21",
+    "AMT_REQ_CREDIT_BUREAU_HOUR": "reqBurH",
+    "AMT_REQ_CREDIT_BUREAU_DAY": "reqBurD",
+    "AMT_REQ_CREDIT_BUREAU_WEEK": "reqBurW",
+    "AMT_REQ_CREDIT_BUREAU_MON": "reqBurM",
+    "AMT_REQ_CREDIT_BUREAU_QRT": "reqBurQ",
+    "AMT_REQ_CREDIT_BUREAU_YEAR": "reqBurY",
+    "ageYears": "ageYears",
+    "yearsEmployed": "yearsEmployed",
+    "isUnemployed": "isUnemployed",
 }
-REQUEST_PERIODS = {"HOUR": "H", "DAY": "D", "WEEK": "W", "MON": "M", "QRT": "Q", "YEAR": "Y"}
-SOCIAL_CIRCLE = {"OBS": "obs", "DEF": "def"}
-
-
-def view_names() -> dict[str, str]:
-    """All source columns of the exploration view with their analyst names."""
-    names = dict(VIEW_NAMES)
-    for statistic, prefix in BUILDING_STATISTICS.items():
-        names |= {f"{m}_{statistic}": prefix + short for m, short in BUILDING_MEASURES.items()}
-    names |= {f"{kind}_{days}_CNT_SOCIAL_CIRCLE": f"{short}{days}"
-              for days in (30, 60) for kind, short in SOCIAL_CIRCLE.items()}
-    names |= {f"FLAG_DOCUMENT_{n}": f"doc{n}" for n in DOCUMENT_NUMBERS}
-    names |= {f"AMT_REQ_CREDIT_BUREAU_{p}": f"reqBur{s}" for p, s in REQUEST_PERIODS.items()}
-    return names
 
 
 def application_view(df: DataFrame, partial: bool = False) -> DataFrame:
@@ -187,5 +274,4 @@ def application_view(df: DataFrame, partial: bool = False) -> DataFrame:
              "yearsEmployed": F.when(F.col("DAYS_EMPLOYED") == NOT_EMPLOYED, 0.0).otherwise(
                  days_to_years("DAYS_EMPLOYED", digits=1))}
     derived = df.withColumns(years)
-    names = view_names()
-    return rename_project(derived, {c: names[c] for c in present(derived, list(names), partial)})
+    return rename_project(derived, {c: VIEW_NAMES[c] for c in present(derived, list(VIEW_NAMES), partial)})

@@ -1,7 +1,6 @@
 """Schemas of the raw loan tables.
 
-Column names are fixed values of the public ten-file loan dataset. Keys are
-long: at cluster scale they do not fit an int.
+Keys are long: at cluster scale they do not fit an int.
 """
 
 from __future__ import annotations
@@ -18,114 +17,246 @@ def struct(**groups: str) -> T.StructType:
                          for kind, names in groups.items() for name in names.split()])
 
 
-# Building measures come as one column per statistic.
-BUILDING_MEASURES = {
-    "APARTMENTS": "Apt", "BASEMENTAREA": "Bsmt", "YEARS_BEGINEXPLUATATION": "YrsExpl",
-    "YEARS_BUILD": "YrsBuild", "COMMONAREA": "CommArea", "ELEVATORS": "Elev",
-    "ENTRANCES": "Ent", "FLOORSMAX": "FlrMax", "FLOORSMIN": "FlrMin", "LANDAREA": "Land",
-    "LIVINGAPARTMENTS": "LivApt", "LIVINGAREA": "LivArea",
-    "NONLIVINGAPARTMENTS": "NonLivApt", "NONLIVINGAREA": "NonLivArea",
-}
-BUILDING_STATISTICS = {"AVG": "avg", "MODE": "mode", "MEDI": "med"}
-DOCUMENT_NUMBERS = range(2, 22)
+def columns(text: str) -> T.StructType:
+    """One ``name type`` a line."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in map(str.split, text.strip().splitlines())])
 
-_BUILDING = " ".join(f"{m}_{s}" for s in BUILDING_STATISTICS for m in BUILDING_MEASURES)
-_DOCUMENTS = " ".join(f"FLAG_DOCUMENT_{n}" for n in DOCUMENT_NUMBERS)
 
-APPLICATION_TEST = struct(
-    long="SK_ID_CURR",
-    string_1="NAME_CONTRACT_TYPE CODE_GENDER FLAG_OWN_CAR FLAG_OWN_REALTY",
-    int_1="CNT_CHILDREN",
-    double_1="AMT_INCOME_TOTAL AMT_CREDIT AMT_ANNUITY AMT_GOODS_PRICE",
-    string_2="NAME_TYPE_SUITE NAME_INCOME_TYPE NAME_EDUCATION_TYPE NAME_FAMILY_STATUS"
-             " NAME_HOUSING_TYPE",
-    double_2="REGION_POPULATION_RELATIVE",
-    int_2="DAYS_BIRTH DAYS_EMPLOYED",
-    double_3="DAYS_REGISTRATION",
-    int_3="DAYS_ID_PUBLISH",
-    double_4="OWN_CAR_AGE",
-    int_4="FLAG_MOBIL FLAG_EMP_PHONE FLAG_WORK_PHONE FLAG_CONT_MOBILE FLAG_PHONE FLAG_EMAIL",
-    string_3="OCCUPATION_TYPE",
-    double_5="CNT_FAM_MEMBERS",
-    int_5="REGION_RATING_CLIENT REGION_RATING_CLIENT_W_CITY",
-    string_4="WEEKDAY_APPR_PROCESS_START",
-    int_6="HOUR_APPR_PROCESS_START REG_REGION_NOT_LIVE_REGION REG_REGION_NOT_WORK_REGION"
-          " LIVE_REGION_NOT_WORK_REGION REG_CITY_NOT_LIVE_CITY REG_CITY_NOT_WORK_CITY"
-          " LIVE_CITY_NOT_WORK_CITY",
-    string_5="ORGANIZATION_TYPE",
-    double_6="EXT_SOURCE_1 EXT_SOURCE_2 EXT_SOURCE_3",
-    double_7=_BUILDING,
-    string_6="FONDKAPREMONT_MODE HOUSETYPE_MODE",
-    double_8="TOTALAREA_MODE",
-    string_7="WALLSMATERIAL_MODE EMERGENCYSTATE_MODE",
-    double_9="OBS_30_CNT_SOCIAL_CIRCLE DEF_30_CNT_SOCIAL_CIRCLE OBS_60_CNT_SOCIAL_CIRCLE"
-             " DEF_60_CNT_SOCIAL_CIRCLE",
-    int_7="DAYS_LAST_PHONE_CHANGE",
-    int_8=_DOCUMENTS,
-    double_10=" ".join(f"AMT_REQ_CREDIT_BUREAU_{p}"
-                       for p in ("HOUR", "DAY", "WEEK", "MON", "QRT", "YEAR")),
-)
+# Names, order and types of the columns of the public ten-file loan dataset.
+APPLICATION_TEST = columns("""
+    SK_ID_CURR long
+    NAME_CONTRACT_TYPE string
+    CODE_GENDER string
+    FLAG_OWN_CAR string
+    FLAG_OWN_REALTY string
+    CNT_CHILDREN int
+    AMT_INCOME_TOTAL double
+    AMT_CREDIT double
+    AMT_ANNUITY double
+    AMT_GOODS_PRICE double
+    NAME_TYPE_SUITE string
+    NAME_INCOME_TYPE string
+    NAME_EDUCATION_TYPE string
+    NAME_FAMILY_STATUS string
+    NAME_HOUSING_TYPE string
+    REGION_POPULATION_RELATIVE double
+    DAYS_BIRTH int
+    DAYS_EMPLOYED int
+    DAYS_REGISTRATION double
+    DAYS_ID_PUBLISH int
+    OWN_CAR_AGE double
+    FLAG_MOBIL int
+    FLAG_EMP_PHONE int
+    FLAG_WORK_PHONE int
+    FLAG_CONT_MOBILE int
+    FLAG_PHONE int
+    FLAG_EMAIL int
+    OCCUPATION_TYPE string
+    CNT_FAM_MEMBERS double
+    REGION_RATING_CLIENT int
+    REGION_RATING_CLIENT_W_CITY int
+    WEEKDAY_APPR_PROCESS_START string
+    HOUR_APPR_PROCESS_START int
+    REG_REGION_NOT_LIVE_REGION int
+    REG_REGION_NOT_WORK_REGION int
+    LIVE_REGION_NOT_WORK_REGION int
+    REG_CITY_NOT_LIVE_CITY int
+    REG_CITY_NOT_WORK_CITY int
+    LIVE_CITY_NOT_WORK_CITY int
+    ORGANIZATION_TYPE string
+    EXT_SOURCE_1 double
+    EXT_SOURCE_2 double
+    EXT_SOURCE_3 double
+    APARTMENTS_AVG double
+    BASEMENTAREA_AVG double
+    YEARS_BEGINEXPLUATATION_AVG double
+    YEARS_BUILD_AVG double
+    COMMONAREA_AVG double
+    ELEVATORS_AVG double
+    ENTRANCES_AVG double
+    FLOORSMAX_AVG double
+    FLOORSMIN_AVG double
+    LANDAREA_AVG double
+    LIVINGAPARTMENTS_AVG double
+    LIVINGAREA_AVG double
+    NONLIVINGAPARTMENTS_AVG double
+    NONLIVINGAREA_AVG double
+    APARTMENTS_MODE double
+    BASEMENTAREA_MODE double
+    YEARS_BEGINEXPLUATATION_MODE double
+    YEARS_BUILD_MODE double
+    COMMONAREA_MODE double
+    ELEVATORS_MODE double
+    ENTRANCES_MODE double
+    FLOORSMAX_MODE double
+    FLOORSMIN_MODE double
+    LANDAREA_MODE double
+    LIVINGAPARTMENTS_MODE double
+    LIVINGAREA_MODE double
+    NONLIVINGAPARTMENTS_MODE double
+    NONLIVINGAREA_MODE double
+    APARTMENTS_MEDI double
+    BASEMENTAREA_MEDI double
+    YEARS_BEGINEXPLUATATION_MEDI double
+    YEARS_BUILD_MEDI double
+    COMMONAREA_MEDI double
+    ELEVATORS_MEDI double
+    ENTRANCES_MEDI double
+    FLOORSMAX_MEDI double
+    FLOORSMIN_MEDI double
+    LANDAREA_MEDI double
+    LIVINGAPARTMENTS_MEDI double
+    LIVINGAREA_MEDI double
+    NONLIVINGAPARTMENTS_MEDI double
+    NONLIVINGAREA_MEDI double
+    FONDKAPREMONT_MODE string
+    HOUSETYPE_MODE string
+    TOTALAREA_MODE double
+    WALLSMATERIAL_MODE string
+    EMERGENCYSTATE_MODE string
+    OBS_30_CNT_SOCIAL_CIRCLE double
+    DEF_30_CNT_SOCIAL_CIRCLE double
+    OBS_60_CNT_SOCIAL_CIRCLE double
+    DEF_60_CNT_SOCIAL_CIRCLE double
+    DAYS_LAST_PHONE_CHANGE int
+    FLAG_DOCUMENT_2 int
+    FLAG_DOCUMENT_3 int
+    FLAG_DOCUMENT_4 int
+    FLAG_DOCUMENT_5 int
+    FLAG_DOCUMENT_6 int
+    FLAG_DOCUMENT_7 int
+    FLAG_DOCUMENT_8 int
+    FLAG_DOCUMENT_9 int
+    FLAG_DOCUMENT_10 int
+    FLAG_DOCUMENT_11 int
+    FLAG_DOCUMENT_12 int
+    FLAG_DOCUMENT_13 int
+    FLAG_DOCUMENT_14 int
+    FLAG_DOCUMENT_15 int
+    FLAG_DOCUMENT_16 int
+    FLAG_DOCUMENT_17 int
+    FLAG_DOCUMENT_18 int
+    FLAG_DOCUMENT_19 int
+    FLAG_DOCUMENT_20 int
+    FLAG_DOCUMENT_21 int
+    AMT_REQ_CREDIT_BUREAU_HOUR double
+    AMT_REQ_CREDIT_BUREAU_DAY double
+    AMT_REQ_CREDIT_BUREAU_WEEK double
+    AMT_REQ_CREDIT_BUREAU_MON double
+    AMT_REQ_CREDIT_BUREAU_QRT double
+    AMT_REQ_CREDIT_BUREAU_YEAR double
+""")
+#: The train split has its label after the key.
 APPLICATION_TRAIN = T.StructType(
-    [APPLICATION_TEST.fields[0], T.StructField("TARGET", T.IntegerType())]
-    + APPLICATION_TEST.fields[1:])
-
-BUREAU = struct(
-    long="SK_ID_CURR SK_ID_BUREAU",
-    string_1="CREDIT_ACTIVE CREDIT_CURRENCY",
-    int_1="DAYS_CREDIT CREDIT_DAY_OVERDUE",
-    double_1="DAYS_CREDIT_ENDDATE DAYS_ENDDATE_FACT AMT_CREDIT_MAX_OVERDUE",
-    int_2="CNT_CREDIT_PROLONG",
-    double_2="AMT_CREDIT_SUM AMT_CREDIT_SUM_DEBT AMT_CREDIT_SUM_LIMIT AMT_CREDIT_SUM_OVERDUE",
-    string_2="CREDIT_TYPE",
-    int_3="DAYS_CREDIT_UPDATE",
-    double_3="AMT_ANNUITY",
-)
-BUREAU_BALANCE = struct(long="SK_ID_BUREAU", int="MONTHS_BALANCE", string="STATUS")
-
-PREVIOUS_APPLICATION = struct(
-    long="SK_ID_PREV SK_ID_CURR",
-    string_1="NAME_CONTRACT_TYPE",
-    double_1="AMT_ANNUITY AMT_APPLICATION AMT_CREDIT AMT_DOWN_PAYMENT AMT_GOODS_PRICE",
-    string_2="WEEKDAY_APPR_PROCESS_START",
-    int_1="HOUR_APPR_PROCESS_START",
-    string_3="FLAG_LAST_APPL_PER_CONTRACT",
-    int_2="NFLAG_LAST_APPL_IN_DAY",
-    double_2="RATE_DOWN_PAYMENT RATE_INTEREST_PRIMARY RATE_INTEREST_PRIVILEGED",
-    string_4="NAME_CASH_LOAN_PURPOSE NAME_CONTRACT_STATUS",
-    int_3="DAYS_DECISION",
-    string_5="NAME_PAYMENT_TYPE CODE_REJECT_REASON NAME_TYPE_SUITE NAME_CLIENT_TYPE"
-             " NAME_GOODS_CATEGORY NAME_PORTFOLIO NAME_PRODUCT_TYPE CHANNEL_TYPE",
-    int_4="SELLERPLACE_AREA",
-    string_6="NAME_SELLER_INDUSTRY",
-    double_3="CNT_PAYMENT",
-    string_7="NAME_YIELD_GROUP PRODUCT_COMBINATION",
-    double_4="DAYS_FIRST_DRAWING DAYS_FIRST_DUE DAYS_LAST_DUE_1ST_VERSION DAYS_LAST_DUE"
-             " DAYS_TERMINATION NFLAG_INSURED_ON_APPROVAL",
-)
-POS_CASH_BALANCE = struct(
-    long="SK_ID_PREV SK_ID_CURR", int_1="MONTHS_BALANCE",
-    double="CNT_INSTALMENT CNT_INSTALMENT_FUTURE", string="NAME_CONTRACT_STATUS",
-    int_2="SK_DPD SK_DPD_DEF",
-)
-INSTALLMENTS_PAYMENTS = struct(
-    long="SK_ID_PREV SK_ID_CURR", double_1="NUM_INSTALMENT_VERSION",
-    int="NUM_INSTALMENT_NUMBER",
-    double_2="DAYS_INSTALMENT DAYS_ENTRY_PAYMENT AMT_INSTALMENT AMT_PAYMENT",
-)
-CREDIT_CARD_BALANCE = struct(
-    long="SK_ID_PREV SK_ID_CURR",
-    int_1="MONTHS_BALANCE",
-    double_1="AMT_BALANCE",
-    int_2="AMT_CREDIT_LIMIT_ACTUAL",
-    double_2="AMT_DRAWINGS_ATM_CURRENT AMT_DRAWINGS_CURRENT AMT_DRAWINGS_OTHER_CURRENT"
-             " AMT_DRAWINGS_POS_CURRENT AMT_INST_MIN_REGULARITY AMT_PAYMENT_CURRENT"
-             " AMT_PAYMENT_TOTAL_CURRENT AMT_RECEIVABLE_PRINCIPAL AMT_RECIVABLE"
-             " AMT_TOTAL_RECEIVABLE CNT_DRAWINGS_ATM_CURRENT",
-    int_3="CNT_DRAWINGS_CURRENT",
-    double_3="CNT_DRAWINGS_OTHER_CURRENT CNT_DRAWINGS_POS_CURRENT CNT_INSTALMENT_MATURE_CUM",
-    string="NAME_CONTRACT_STATUS",
-    int_4="SK_DPD SK_DPD_DEF",
-)
+    [APPLICATION_TEST.fields[0], T.StructField("TARGET", T.IntegerType())] + APPLICATION_TEST.fields[1:])
+BUREAU = columns("""
+    SK_ID_CURR long
+    SK_ID_BUREAU long
+    CREDIT_ACTIVE string
+    CREDIT_CURRENCY string
+    DAYS_CREDIT int
+    CREDIT_DAY_OVERDUE int
+    DAYS_CREDIT_ENDDATE double
+    DAYS_ENDDATE_FACT double
+    AMT_CREDIT_MAX_OVERDUE double
+    CNT_CREDIT_PROLONG int
+    AMT_CREDIT_SUM double
+    AMT_CREDIT_SUM_DEBT double
+    AMT_CREDIT_SUM_LIMIT double
+    AMT_CREDIT_SUM_OVERDUE double
+    CREDIT_TYPE string
+    DAYS_CREDIT_UPDATE int
+    AMT_ANNUITY double
+""")
+BUREAU_BALANCE = columns("""
+    SK_ID_BUREAU long
+    MONTHS_BALANCE int
+    STATUS string
+""")
+PREVIOUS_APPLICATION = columns("""
+    SK_ID_PREV long
+    SK_ID_CURR long
+    NAME_CONTRACT_TYPE string
+    AMT_ANNUITY double
+    AMT_APPLICATION double
+    AMT_CREDIT double
+    AMT_DOWN_PAYMENT double
+    AMT_GOODS_PRICE double
+    WEEKDAY_APPR_PROCESS_START string
+    HOUR_APPR_PROCESS_START int
+    FLAG_LAST_APPL_PER_CONTRACT string
+    NFLAG_LAST_APPL_IN_DAY int
+    RATE_DOWN_PAYMENT double
+    RATE_INTEREST_PRIMARY double
+    RATE_INTEREST_PRIVILEGED double
+    NAME_CASH_LOAN_PURPOSE string
+    NAME_CONTRACT_STATUS string
+    DAYS_DECISION int
+    NAME_PAYMENT_TYPE string
+    CODE_REJECT_REASON string
+    NAME_TYPE_SUITE string
+    NAME_CLIENT_TYPE string
+    NAME_GOODS_CATEGORY string
+    NAME_PORTFOLIO string
+    NAME_PRODUCT_TYPE string
+    CHANNEL_TYPE string
+    SELLERPLACE_AREA int
+    NAME_SELLER_INDUSTRY string
+    CNT_PAYMENT double
+    NAME_YIELD_GROUP string
+    PRODUCT_COMBINATION string
+    DAYS_FIRST_DRAWING double
+    DAYS_FIRST_DUE double
+    DAYS_LAST_DUE_1ST_VERSION double
+    DAYS_LAST_DUE double
+    DAYS_TERMINATION double
+    NFLAG_INSURED_ON_APPROVAL double
+""")
+POS_CASH_BALANCE = columns("""
+    SK_ID_PREV long
+    SK_ID_CURR long
+    MONTHS_BALANCE int
+    CNT_INSTALMENT double
+    CNT_INSTALMENT_FUTURE double
+    NAME_CONTRACT_STATUS string
+    SK_DPD int
+    SK_DPD_DEF int
+""")
+INSTALLMENTS_PAYMENTS = columns("""
+    SK_ID_PREV long
+    SK_ID_CURR long
+    NUM_INSTALMENT_VERSION double
+    NUM_INSTALMENT_NUMBER int
+    DAYS_INSTALMENT double
+    DAYS_ENTRY_PAYMENT double
+    AMT_INSTALMENT double
+    AMT_PAYMENT double
+""")
+CREDIT_CARD_BALANCE = columns("""
+    SK_ID_PREV long
+    SK_ID_CURR long
+    MONTHS_BALANCE int
+    AMT_BALANCE double
+    AMT_CREDIT_LIMIT_ACTUAL int
+    AMT_DRAWINGS_ATM_CURRENT double
+    AMT_DRAWINGS_CURRENT double
+    AMT_DRAWINGS_OTHER_CURRENT double
+    AMT_DRAWINGS_POS_CURRENT double
+    AMT_INST_MIN_REGULARITY double
+    AMT_PAYMENT_CURRENT double
+    AMT_PAYMENT_TOTAL_CURRENT double
+    AMT_RECEIVABLE_PRINCIPAL double
+    AMT_RECIVABLE double
+    AMT_TOTAL_RECEIVABLE double
+    CNT_DRAWINGS_ATM_CURRENT double
+    CNT_DRAWINGS_CURRENT int
+    CNT_DRAWINGS_OTHER_CURRENT double
+    CNT_DRAWINGS_POS_CURRENT double
+    CNT_INSTALMENT_MATURE_CUM double
+    NAME_CONTRACT_STATUS string
+    SK_DPD int
+    SK_DPD_DEF int
+""")
 
 RAW_TABLES = {
     "application_train": APPLICATION_TRAIN,

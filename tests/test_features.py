@@ -254,7 +254,7 @@ def test_wide_clean_table(spark):
 
 
 def test_application_view_names_every_column(spark):
-    names = a.view_names()
+    names = a.VIEW_NAMES
     assert len(names) == 123 and len(set(names.values())) == 123
     view = a.application_view(applications(spark, {"DAYS_EMPLOYED": 365243}))
     assert set(view.columns) == set(names.values())
