@@ -91,7 +91,8 @@ ROLE_SQL = {
         FROM dated_orders""",
     "balance": """
         SELECT l_orderkey AS "SK_ID_BUREAU",
-          (year(l_shipdate) * 12 + month(l_shipdate) - 24023)::INT AS "MONTHS_BALANCE",
+          (CASE WHEN l_orderkey % 5 = 4 THEN year(l_shipdate) * 12 + month(l_shipdate) - 24023
+            ELSE -((month(l_shipdate) + l_linenumber) % (5 + 7 * (l_orderkey % 2))) END)::INT AS "MONTHS_BALANCE",
           CASE WHEN l_quantity = 50 THEN NULL
                WHEN l_returnflag = 'R' THEN (1 + (l_linenumber - 1) % 5)::VARCHAR
                WHEN l_returnflag = 'A' THEN '0' WHEN l_linestatus = 'O' THEN 'C' ELSE 'X' END AS "STATUS"

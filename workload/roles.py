@@ -141,8 +141,9 @@ def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bureau_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey AS SK_ID_BUREAU",
-        f"YEAR(l_shipdate) * 12 + MONTH(l_shipdate) - {REFERENCE_MONTH}"
-        " AS MONTHS_BALANCE",
+        # Most records are young, so that some loans have short histories only.
+        f"CASE WHEN l_orderkey % 5 = 4 THEN YEAR(l_shipdate) * 12 + MONTH(l_shipdate) - {REFERENCE_MONTH}"
+        " ELSE -((MONTH(l_shipdate) + l_linenumber) % (5 + 7 * CAST(l_orderkey % 2 AS INT))) END AS MONTHS_BALANCE",
         "CASE WHEN l_quantity = 50 THEN NULL"
         " WHEN l_returnflag = 'R' THEN CAST(1 + (l_linenumber - 1) % 5 AS STRING)"
         " WHEN l_returnflag = 'A' THEN '0' WHEN l_linestatus = 'O' THEN 'C' ELSE 'X' END AS STATUS",
