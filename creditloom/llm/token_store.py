@@ -35,6 +35,8 @@ from creditloom.session import scratch_path
 
 VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 STRIDE, SHARD_SLOTS, BLOCK_SLOTS, KEY, ROUNDS = 1024, 65_536, 256, 0x5EED, 6
+#: Ranges of slots in a shard, each written by one task.
+RANGES = 16
 
 #: The usual splitting pattern of byte-level vocabularies (a fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -200,13 +202,23 @@ def _packer(shard_slots: int, block_slots: int):
     return run
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def write_shards(rows: DataFrame, path: str, shard_slots: int = SHARD_SLOTS, block_slots: int = BLOCK_SLOTS) -> None:
     """Store sequences as blocks of fixed-stride binary, partitioned by shard.
 
     A block is at most ``block_slots`` sequences; ``members`` keeps which documents they are of.
+    Slots are gapless, so the ranges are known without sampling the sequences: a range is
+    ``RANGES`` to a shard, whole blocks each, and ranges are dealt to tasks in turn.
     """
+    per_shard = -(-shard_slots // block_slots)
+    blocks = -(-per_shard // RANGES)
+    slot = F.col("slot")
+    number = (F.floor(slot / shard_slots) * -(-per_shard // blocks) + F.floor(slot % shard_slots / (blocks * block_slots)))
     placed = (rows.select("slot", "doc_id", "piece", "n_tokens", "tokens")
-              .repartitionByRange(F.floor(F.col("slot") / shard_slots), F.floor(F.col("slot") % shard_slots / block_slots))
+              .repartitionById(_tasks(rows.sparkSession), (number % _tasks(rows.sparkSession)).cast("int"))
               .sortWithinPartitions("slot"))
     blocks = T.map_batches(placed, _packer(shard_slots, block_slots), f"shard long, {_BLOCKS}")
     (blocks.sortWithinPartitions("shard", "block").write.option("compression", "zstd").partitionBy("shard").parquet(path))
@@ -228,8 +240,10 @@ def _members(batches):
 def stored_order(spark: SparkSession, path: str) -> DataFrame:
     """The sequences of stored shards, cut from their blocks, in the order of their slots."""
     blocks = spark.read.schema(f"{_BLOCKS}, shard long").parquet(path).select("shard", "first_slot", "members", "payload")
-    # Files are read largest first, so whole blocks are put in order again.
-    return T.map_batches(blocks.repartitionByRange("first_slot").sortWithinPartitions("first_slot"), _members,
+    # Files are read largest first, so whole blocks are put in order again; the last slot gives the ranges.
+    total, tasks = (blocks.agg(F.max(F.col("first_slot"))).first()[0] or 0) + 1, _tasks(spark)
+    dealt = blocks.repartitionById(tasks, F.floor(F.col("first_slot") / total * tasks).cast("int"))
+    return T.map_batches(dealt.sortWithinPartitions("first_slot"), _members,
                          "shard long, slot long, doc_id long, piece long, n_tokens long, tokens binary")
 
 
