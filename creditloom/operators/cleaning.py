@@ -56,15 +56,17 @@ def apply_fills(df: DataFrame, cols: Sequence[str], fills: DataFrame, dtype: str
     """
     if not cols:
         return df
-    fitted = F.map_from_entries(F.collect_list(F.struct("column", "fill")))
+    fitted = F.struct(*[F.max(F.when(F.col("column") == c, F.col("fill"))).alias(c) for c in cols])
     if by is None:
         values = fills.agg(fitted).scalar()
     else:
         groups = fills.groupBy(by).agg(fitted.alias("fits")).agg(F.map_from_entries(F.collect_list(F.struct(by, "fits"))))
         values = F.try_element_at(groups.scalar(), F.col(by))
     target = set(cols)
-    return df.select([F.coalesce(F.col(c).cast(dtype), F.try_element_at(values, F.lit(c))).alias(c)
-                      if c in target else F.col(c) for c in df.columns])
+    held = next(n for n in map("fills{}".format, range(len(df.columns) + 1)) if n not in df.columns)
+    return (df.withColumn(held, values)
+            .select([F.coalesce(F.col(c).cast(dtype), F.col(f"{held}.`{c}`")).alias(c) if c in target else F.col(c)
+                     for c in df.columns]))
 
 
 def impute_numeric(df: DataFrame, cols: Sequence[str], strategy: str = "approx_median",
