@@ -2,12 +2,15 @@
 
 The built-in exact percentile keeps all distinct values of a group in one
 aggregation buffer, which is right for groups of at most ``DIRECT`` values. The
-wanted ranks of larger groups are found by radix selection: doubles have 64-bit
-keys of the same order; a pass counts the values of each group by a digit of 16
-bits, the digit that holds the rank becomes the next pass's range, and four passes
-fix the value. A pass moves at most 65536 counts per group and task, whatever the
-number of values or the share of one of them, and only values in the range are
-looked at again. Nothing is estimated.
+wanted ranks of larger groups are found by radix selection: a pass counts the values
+of each group by a digit that grows with the value, and the digit that holds the rank
+becomes the next pass's range, until the range is one value. The first digit is the
+size on a logarithmic scale, later ones are equal parts of the range, so that five
+passes fix what two or three don't. A pass moves at most ``PARTS + 1`` counts per range
+and task (the first 126,000 per group if values of all sizes and signs occur), whatever
+the number of values or the share of one of them, and only values in the range are
+looked at again. Each pass is a job of its own: what it leaves, two ranges a group, goes
+to the shared scratch folder. Nothing is estimated.
 """
 
 from __future__ import annotations
@@ -15,12 +18,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.session import scratch_path
+
 DIRECT = 20_000               # values of a group that an aggregation buffer may hold
 DIRECT_CELLS = 2_000_000      # values of all columns of a frame
-DIGIT_BITS, DIGITS = 16, 4
+OCTAVE, END = 30, 2 ** 17      # first digits of an octave; those of the infinities
+PARTS = 8_192                 # of a range, in later passes
 
 
 def exact_percentile(df: DataFrame, dims: Sequence[str], value: str, p: float = 0.5,
@@ -72,45 +78,65 @@ def _built_in(col: str, p: float, interpolate: bool) -> Column:
     return F.expr(f"percentile_{'cont' if interpolate else 'disc'}({p}D) WITHIN GROUP (ORDER BY `{col}`)")
 
 
-def _digit(v: Column, number: int) -> Column:
-    """A digit of the value's 64-bit key, the first one highest and signed."""
-    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v + F.lit(0.0)).cast("long")
-    key = F.when(bits < 0, bits.bitwiseXOR(F.lit(2 ** 63 - 1))).otherwise(bits)
-    digit = F.shiftright(key, 64 - DIGIT_BITS * (number + 1))
-    return digit if number == 0 else digit.bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
+def _first_digit(v: Column) -> Column:
+    """A number that grows with the value: 30 an octave (the logarithm never falls as its argument grows)."""
+    size = F.floor((F.log2(F.abs(v)) + 1075) * OCTAVE)
+    finite = F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
+    return (F.when(F.isnan(v), END + 1).when(v == F.lit(float("inf")), END).when(v == F.lit(float("-inf")), -END)
+            .otherwise(finite))
+
+
+def _spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per range: its number of values and, in order, its digits with their number, least and greatest value."""
+    counts = rows.groupBy(*keys, "digit").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(
+        F.struct("digit", "n", "low", "high"))).alias("digits"))
+
+
+def _narrowed(targets: DataFrame) -> DataFrame:
+    """The digit that holds each target's rank as its range, with the rank there."""
+    kind = "struct<seen: bigint, k: bigint, low: double, high: double>"
+    start = F.struct(F.lit(0), F.lit(None), F.lit(None), F.lit(None)).cast(kind)
+
+    def step(s: Column, d: Column) -> Column:
+        seen = s["seen"] + d["n"]
+        here = (F.col("k") >= s["seen"]) & (F.col("k") < seen)
+        return F.when(here, F.struct(seen, F.col("k") - s["seen"], d["low"], d["high"]).cast(kind)).otherwise(
+            F.struct(seen, s["k"], s["low"], s["high"]).cast(kind))
+
+    found = targets.select("g", "side", "share", F.aggregate("digits", start, step).alias("at"))
+    return found.select("g", "side", "share", "at.k", "at.low", "at.high")
 
 
-def _counted(rows: DataFrame, keys: Sequence[str], number: int) -> DataFrame:
-    """Values by digit with the number of those up to each, within ``keys``."""
-    order = Window.partitionBy(*keys).orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = rows.groupBy(*keys, _digit(F.col("v"), number).alias("digit")).agg(
-        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    return counts.withColumn("upto", F.sum("n").over(order))
+def _stored(ranges: DataFrame) -> DataFrame:
+    """Written and read back, so that a pass is a job of its own and no later one repeats it."""
+    path = scratch_path(ranges.sparkSession, "ranges")
+    ranges.write.parquet(path)
+    return ranges.sparkSession.read.schema(ranges.schema).parquet(path)
 
 
 def _select(first: DataFrame, data: DataFrame, p: float, interpolate: bool) -> DataFrame:
     """Quantile ``q`` of each group ``g`` in ``first``; later passes look at ``data`` only within ranges.
 
-    A target is a rank ``k`` among the values of its range, with the side (0 below the
-    wanted rank, 1 above) and the share of the upper side.
+    A target is a rank ``k`` among the values of its range, with the side (0 the wanted rank
+    or below, 1 above) and the share of the upper side.
     """
-    counts = _counted(first, ["g"], 0).withColumn("total", F.sum("n").over(Window.partitionBy("g")))
+    spread = _spread(first.withColumn("digit", _first_digit(F.col("v"))), ["g"])
     rank = F.lit(p) * (F.col("total") - 1) if interpolate else F.greatest(F.ceil(F.lit(p) * F.col("total")) - 1, F.lit(0))
-    sides = F.array(*[F.struct(F.lit(i).alias("side"), (r - (F.col("upto") - F.col("n"))).cast("long").alias("k"),
-                               (rank - F.floor(rank)).cast("double").alias("share"))
+    share = (rank - F.floor(rank)).cast("double").alias("share")
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), r.cast("long").alias("k"), share)
                       for i, r in enumerate((F.floor(rank), F.ceil(rank)))])
-    here = F.filter(sides, lambda s: (s["k"] >= 0) & (s["k"] < F.col("n")))
-    ranges = counts.select("g", "low", "high", F.inline(here))
-    fixed = []
-    for number in range(1, DIGITS):
-        fixed.append(ranges.where("low = high"))
-        target = ["g", "side", "k", "share"]
-        inside = (data.join(ranges.where("low < high"), "g").where(F.col("v").between(F.col("low"), F.col("high")))
-                  .select(*target, "v"))
-        rest = F.col("k") - (F.col("upto") - F.col("n"))
-        ranges = _counted(inside, target, number).where((rest >= 0) & (rest < F.col("n"))).select(
-            "g", "low", "high", "side", rest.alias("k"), "share")
-    found = reduce(DataFrame.unionByName, fixed, ranges)
+    needed = F.filter(sides, lambda s: (s["side"] == 0) | (s["share"] > 0))
+    ranges = _stored(_narrowed(spread.select("g", "digits", F.inline(needed))))
+    found = [ranges.where("low = high")]
+    while not (open_ := ranges.where("low < high").withColumnsRenamed({"low": "start", "high": "end"})).isEmpty():
+        # Several targets may lie in one range; its values are counted once.
+        inside = data.join(open_.select("g", "start", "end").distinct(), "g").where(F.col("v").between(F.col("start"), F.col("end")))
+        digit = F.floor((F.col("v") - F.col("start")) / (F.col("end") - F.col("start")) * PARTS).alias("digit")
+        spread = _spread(inside.select("g", "start", digit, "v"), ["g", "start"])
+        ranges = _stored(_narrowed(open_.join(spread, ["g", "start"])))
+        found.append(ranges.where("low = high"))
     side = [F.max(F.when(F.col("side") == i, F.col("low"))) for i in (0, 1)]
     share = F.max("share")
-    return found.groupBy("g").agg(F.when(share == 0, side[0]).otherwise(side[0] + (side[1] - side[0]) * share).alias("q"))
+    return reduce(DataFrame.unionByName, found).groupBy("g").agg(
+        F.when(share == 0, side[0]).otherwise(side[0] + (side[1] - side[0]) * share).alias("q"))

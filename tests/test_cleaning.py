@@ -78,6 +78,30 @@ def test_column_percentiles_equal_numpy(spark, p, way):
     assert column_percentiles(df.where("false"), ["a"], p).count() == 0
 
 
+def test_radix_selection_leaves_only_stored_ranges_to_read(spark, monkeypatch):
+    """One job a pass: the result holds no window and reads no row of the frame again."""
+    monkeypatch.setattr(quantiles, "DIRECT_CELLS", 0)
+    df = spark.range(5000).selectExpr("CAST(id AS DOUBLE) AS a", "SQRT(id) AS b")
+    medians = column_percentiles(df, ["a", "b"])
+    plan = medians._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Range (" not in plan and "Expand" not in plan
+    assert medians.inputFiles() and all("/ranges-" in f for f in medians.inputFiles())
+    assert {r["column"]: r.percentile for r in medians.collect()} == pytest.approx(
+        {"a": 2499.5, "b": (2499 ** 0.5 + 2500 ** 0.5) / 2})
+
+
+def test_radix_selection_over_doubles_of_all_sizes(spark, way):
+    """Random bits: both signs, subnormal numbers, infinities and NaN, which is the greatest."""
+    bits = np.random.default_rng(11).integers(-2 ** 63, 2 ** 63, 4001)
+    x = np.concatenate([bits.view(float), bits[:50] % 2 ** 40 * 5e-324, [np.inf, -np.inf, 0.0, -0.0, np.nan, np.nan]])
+    x = np.sort(x)
+    df = spark.createDataFrame([(float(v),) for v in x], "v double").repartition(5)
+    for rank in (0, 1, 7, 1500, 2000, 2030, 2100, 3000, len(x) - 20, len(x) - 1):
+        got = exact_percentile(df, [], "v", rank / (len(x) - 1), interpolate=False).first()[0]
+        want = x[max(int(np.ceil(rank / (len(x) - 1) * len(x))) - 1, 0)]
+        assert got == want or (np.isnan(got) and np.isnan(want))
+
+
 def test_numeric_imputation_strategies(spark):
     df = frame(spark, {"x": [1, 2, None, 10, 3], "y": [None] * 5, "z": [4, 4, 4, 4, 4]})
     exact = cleaning.impute_numeric(df, ["x", "y", "z"], "median").collect()
