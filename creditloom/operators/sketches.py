@@ -93,19 +93,23 @@ def fingerprint(columns: Sequence[str]) -> list[Column]:
 FEW_REPEATED = 50_000
 
 
-def distinct_of_mostly_unique(df: DataFrame, most: int = FEW_REPEATED) -> DataFrame:
+def distinct_of_mostly_unique(df: DataFrame, most: int = FEW_REPEATED, by: Sequence[str] | None = None) -> DataFrame:
     """``distinct`` that moves only rows whose fingerprint occurs again.
 
     Fingerprints are counted first, in an exchange of 16 bytes a row. If at most ``most`` of them
     repeat, they are broadcast: all other rows stay where they are and only the repeated ones are
-    compared in full. Otherwise the whole frame goes through ``distinct``.
+    compared in full. Otherwise the whole frame goes through ``distinct``. With ``by``, columns
+    that rarely hold the same values twice, the fingerprint is that of these, and only they are
+    read to count it; equal rows agree in them.
     """
-    counted = df.select(*fingerprint(df.columns)).groupBy("f0", "f1").count()
-    few = counted.where("count > 1").select("f0", "f1").limit(most + 1).collect()
+    marks = fingerprint(by or df.columns)
+    counted = df.select(*marks).groupBy("f0", "f1").count()
+    # Collected as one row: a bare limit would run a few partitions at a time.
+    few = counted.where("count > 1").limit(most + 1).agg(F.collect_list(F.struct("f0", "f1")).alias("few")).first().few
     if not few or len(few) > most:
         return df.distinct() if few else df
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     known = F.broadcast(df.sparkSession.createDataFrame(few, "f0 long, f1 long"))
-    rows = df.select(*fingerprint(df.columns), whole)
+    rows = df.select(*marks, whole)
     alone = rows.join(known, ["f0", "f1"], "left_anti").select("row.*")
     return alone.unionByName(rows.join(known, ["f0", "f1"], "left_semi").select("row.*").distinct())

@@ -25,6 +25,8 @@ SPECIAL = {
     "bureau_balance": {"STATUS": "C"},
     "previous_application": {"FLAG_LAST_APPL_PER_CONTRACT": "N"},
 }
+# Tables with one row per record: the column whose values are counted before rows are compared.
+RECORD_ID = {"bureau": "SK_ID_BUREAU", "previous_application": "SK_ID_PREV"}
 
 
 def default_fills(table: str) -> dict[str, object]:
@@ -39,6 +41,10 @@ def clean_table(df: DataFrame, table: str, partial: bool = False, mostly_unique:
     """Fill, then drop repeated rows; ``partial`` allows a frame with some of the columns.
 
     ``mostly_unique`` spares rows without a copy the exchange, at the price of a second read.
+    Tables with one row per record are spared it by a read of the record id alone.
     """
     filled = fill_defaults(df, default_fills(table), partial)
-    return distinct_of_mostly_unique(filled) if mostly_unique else distinct_rows(filled)
+    if mostly_unique:
+        return distinct_of_mostly_unique(filled)
+    record = RECORD_ID.get(table)
+    return distinct_of_mostly_unique(filled, by=[record]) if record in filled.columns else distinct_rows(filled)

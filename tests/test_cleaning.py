@@ -184,6 +184,24 @@ def test_clean_table_fills_and_drops_copies(spark, rows):
         assert cleaned.clean_table(empty, table).schema.names == RAW_TABLES[table].names
 
 
+@pytest.mark.parametrize("table,record", [("bureau", "SK_ID_BUREAU"), ("previous_application", "SK_ID_PREV")])
+def test_clean_table_moves_no_rows_of_unique_records(spark, rows, table, record):
+    """Records that occur once are not shuffled to be compared; copies go, other rows of a record stay."""
+    from creditloom.operators.projection import fill_defaults
+    from creditloom.plans import cleaned
+
+    unique = spark.createDataFrame([(i, i % 7, None if i % 3 == 0 else i / 4) for i in range(3000)],
+                                   f"{record} long, SK_ID_CURR long, AMT_ANNUITY double")
+    plan = cleaned.clean_table(unique, table, partial=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    null = unique.where("SK_ID_CURR = 1").withColumn(record, F.lit(None).cast("long"))
+    # NULL and 0 are the same amount once filled.
+    odd = (unique.unionByName(unique.where(f"{record} < 60")).unionByName(unique.where(f"{record} < 90").withColumn("AMT_ANNUITY", F.lit(0.0)))
+           .unionByName(null).unionByName(null))
+    want = fill_defaults(odd, cleaned.default_fills(table), True).distinct()
+    assert rows(cleaned.clean_table(odd, table, partial=True)) == rows(want)
+
+
 def test_hot_copies_are_imputed_like_any_other(spark):
     """A third of all rows in one value neither moves nor breaks the statistics."""
     df = spark.range(9000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("x"))

@@ -47,6 +47,18 @@ def test_distinct_moves_only_repeated_rows(spark, rows):
     assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
 
 
+def test_distinct_by_columns_that_rarely_repeat(spark, rows):
+    unique = spark.range(20_000).selectExpr("id", "id % 3 AS x", "CAST(id AS STRING) AS s")
+    odd = unique.where("id < 50").unionByName(unique.where("id < 30")).unionByName(
+        unique.where("id < 20").withColumn("x", F.lit(None).cast("long"))).unionByName(
+        unique.where("id < 10").withColumn("id", F.lit(None).cast("long"))).unionByName(
+        unique.where("id < 10").withColumn("id", F.lit(None).cast("long")))
+    for df in (unique, odd, unique.where("false")):
+        found = sketches.distinct_of_mostly_unique(df, by=["id"])
+        assert rows(found) == rows(df.distinct()) and found.schema == df.schema
+    assert rows(sketches.distinct_of_mostly_unique(odd, most=5, by=["id"])) == rows(odd.distinct())
+
+
 def test_count_from_footers(spark, tmp_path):
     layers.write_layer(spark.range(1000), f"{tmp_path}/t", files=3)
     before = spark.conf.get("spark.sql.sources.useV1SourceList")
